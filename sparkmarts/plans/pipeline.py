@@ -51,3 +51,29 @@ def marts(
 def mart(raw: Mapping[str, DataFrame], name: str) -> DataFrame:
     """One mart by name."""
     return marts(raw)[name]
+
+
+def build_marts(warehouse, write_staging: bool = True) -> list[str]:
+    """Batch build: raw tables in ``warehouse`` -> staging -> the six marts, all written back.
+
+    Missing raw tables are first created empty. With ``write_staging`` the three staging
+    tables are landed and read back, so each is computed once and every mart starts from a
+    durable table (lineage cut at shared storage, not in executor memory); without it each
+    mart plans straight from the raw scans. Returns the mart names in build order.
+    """
+    warehouse.ensure_raw()
+    raw = warehouse.read_raw()
+    staged = stage(raw)
+    if write_staging:
+        for name, df in staged.items():
+            warehouse.write_table(name, df)
+        staged = {name: warehouse.read(name) for name in STAGING_NAMES}
+    for name, df in marts(raw, staged).items():
+        warehouse.write_table(name, df)
+    return list(MART_NAMES)
+
+
+def extract_to_warehouse(frames: Mapping[str, DataFrame], warehouse,
+                         full_refresh: bool = False) -> list[str]:
+    """Land extracted source frames as raw tables (see ``Warehouse.write_raw``)."""
+    return warehouse.write_raw(frames, full_refresh=full_refresh)

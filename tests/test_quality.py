@@ -1,0 +1,71 @@
+"""Data-quality checks find seeded violations and stay quiet on the clean fixture."""
+
+from __future__ import annotations
+
+from sparkmarts.operators import quality as Q
+from sparkmarts.plans import pipeline
+from sparkmarts.sources.normalize import normalize
+from tests.conftest import bag, rows
+
+
+def dirty_events(spark, sample):
+    extra = spark.createDataFrame(
+        [
+            ("x1", "2026-05-06T10:00:00Z", "not_allowed", "server", "org-404", None,
+             '{"email": "someone@example.com"}'),
+            ("x1", "2026-05-06T10:05:00Z", "cta_clicked", None, "org-404", "club-9", None),
+            (None, None, None, "", "org-1", "club-1", '{"ok": 1}'),
+        ],
+        "id string, created_at string, event_name string, source string, "
+        "organization_id string, club_id string, properties string")
+    return sample["analytics_events"].unionByName(normalize(extra, "analytics_events"))
+
+
+def test_clean_fixture_has_no_findings(sample, sample_marts):
+    ev = sample["analytics_events"]
+    assert Q.event_allowlist_violations(ev).count() == 0
+    nulls = Q.null_counts(ev).first().asDict()
+    assert nulls["total_rows"] == 10 and sum(v for k, v in nulls.items() if k != "total_rows") == 0
+    assert Q.duplicate_ids(sample).count() == 0
+    assert Q.orphan_references(ev, {"organizations": sample["organizations"],
+                                    "clubs": sample["clubs"]}).count() == 0
+    stg = pipeline.stage(sample)["stg_analytics_events"]
+    assert Q.pii_hits(stg).first()["pii_hits"] == 0
+    assert bag(Q.finance_domains(sample_marts["mart_finance"])) == [
+        ("club_match", True, True), ("league", True, True), ("tournament", True, True)]
+    assert rows(Q.finance_totals(sample_marts["mart_finance"])) == [(5, 36300.0, 36150.0)]
+    assert bag(Q.non_empty(sample_marts)) == [("mart_admin_usage", True),
+                                              ("mart_entity_ranking", True),
+                                              ("mart_growth_daily", True)]
+
+
+def test_seeded_violations(spark, sample):
+    ev = dirty_events(spark, sample)
+    assert rows(Q.event_allowlist_violations(ev), ["id", "event_name"]) == [("x1", "not_allowed")]
+    nulls = Q.null_counts(ev).first().asDict()
+    # the missing properties value was normalised to '{}', so it is not NULL any more
+    assert {k: v for k, v in nulls.items() if v} == {
+        "total_rows": 13, "id_nulls": 1, "created_at_nulls": 1, "event_name_nulls": 1,
+        "source_nulls": 1}
+    assert rows(Q.duplicate_keys(ev, "id")) == [("x1", 2)]
+    orphans = bag(Q.orphan_references(ev, {"organizations": sample["organizations"],
+                                           "clubs": sample["clubs"]}))
+    assert orphans == [("club_id", "club-9", 1), ("organization_id", "org-404", 2)]
+    stg = pipeline.stage({**sample, "analytics_events": ev})["stg_analytics_events"]
+    assert Q.pii_hits(stg).first()["pii_hits"] == 1
+    assert rows(Q.pii_rows(stg)) == [("x1", "properties")]
+
+
+def test_finance_domain_missing_and_empty_mart(spark, sample_marts):
+    fin = sample_marts["mart_finance"].where("domain <> 'tournament'")
+    assert ("tournament", False, True) in bag(Q.finance_domains(fin))
+    empty = {**sample_marts, "mart_admin_usage": sample_marts["mart_admin_usage"].limit(0)}
+    assert ("mart_admin_usage", False) in bag(Q.non_empty(empty))
+
+
+def test_forbidden_findings(sample_marts):
+    assert Q.forbidden_findings(["raw_players"], sample_marts["mart_entity_ranking"].columns) == []
+    found = Q.forbidden_findings(["raw_organization_billing_payments"],
+                                 ["organization_id", "paid_amount"])
+    assert found == ["forbidden table raw_organization_billing_payments",
+                     "mart_entity_ranking carries paid_amount"]
