@@ -14,38 +14,44 @@ from pyspark.sql import DataFrame
 
 from sparkmarts.operators import marts as M
 from sparkmarts.operators import staging as S
+from sparkmarts.plans.lazy import LazyFrames
 
 STAGING_NAMES = ("stg_analytics_events", "stg_organizations", "stg_matches")
 MART_NAMES = M.MART_NAMES
 
 
-def stage(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The three staging views of the raw tables."""
-    return {
-        "stg_analytics_events": S.stg_analytics_events(raw["analytics_events"]),
-        "stg_organizations": S.stg_organizations(raw["organizations"]),
-        "stg_matches": S.stg_matches(raw["matches"]),
-    }
+def stage(raw: Mapping[str, DataFrame]) -> LazyFrames:
+    """The three staging views of the raw tables (each defined on first access)."""
+    return LazyFrames({
+        "stg_analytics_events": lambda: S.stg_analytics_events(raw["analytics_events"]),
+        "stg_organizations": lambda: S.stg_organizations(raw["organizations"]),
+        "stg_matches": lambda: S.stg_matches(raw["matches"]),
+    })
 
 
 def marts(
     raw: Mapping[str, DataFrame], staged: Mapping[str, DataFrame] | None = None
-) -> dict[str, DataFrame]:
-    """The six marts, in build order, from raw tables (and staging, if already landed)."""
-    st = dict(staged) if staged is not None else stage(raw)
-    ev, org, mt = st["stg_analytics_events"], st["stg_organizations"], st["stg_matches"]
-    return {
-        "mart_growth_daily": M.growth_daily(ev),
-        "mart_admin_usage": M.admin_usage(ev),
-        "mart_product_activity": M.product_activity(org, raw["players"], mt),
-        "mart_finance": M.finance(
+) -> LazyFrames:
+    """The six marts, in build order, from raw tables (and staging, if already landed).
+
+    Each mart is defined on first access, so asking for one mart only touches its inputs.
+    """
+    st = staged if staged is not None else stage(raw)
+    return LazyFrames({
+        "mart_growth_daily": lambda: M.growth_daily(st["stg_analytics_events"]),
+        "mart_admin_usage": lambda: M.admin_usage(st["stg_analytics_events"]),
+        "mart_product_activity": lambda: M.product_activity(
+            st["stg_organizations"], raw["players"], st["stg_matches"]),
+        "mart_finance": lambda: M.finance(
             raw["league_billing_payments"],
             raw["tournament_billing_payments"],
             raw["club_match_payments"],
         ),
-        "mart_retention": M.retention(org, ev),
-        "mart_entity_ranking": M.entity_ranking(org, raw["players"], mt),
-    }
+        "mart_retention": lambda: M.retention(st["stg_organizations"],
+                                              st["stg_analytics_events"]),
+        "mart_entity_ranking": lambda: M.entity_ranking(
+            st["stg_organizations"], raw["players"], st["stg_matches"]),
+    })
 
 
 def mart(raw: Mapping[str, DataFrame], name: str) -> DataFrame:

@@ -10,11 +10,13 @@ numeric columns) so that the defensive typing of staging is exercised at every s
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmarts.contracts import SOURCE_TABLES
+from sparkmarts.plans.lazy import LazyFrames
 from sparkmarts.sources.normalize import empty_frame, normalize
 
 DRIVER_TABLES = ("events", "customer", "part", "orders", "lineitem")
@@ -42,20 +44,24 @@ TOURNAMENT_STATUS = {"A": "approved", "N": "rejected", "R": "pending"}
 CALENDAR_START = "2024-01-01"
 
 
-def _pick(key: Column, options: tuple[str | None, ...]) -> Column:
-    """``options[key mod len(options)]`` as one CASE expression."""
-    m = key % len(options)
-    expr = F.when(m == 0, F.lit(options[0]))
-    for i, value in enumerate(options[1:], start=1):
-        expr = expr.when(m == i, F.lit(value))
-    return expr
+def _sql_literal(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
-def _decode(code: Column, mapping: Mapping[str, str]) -> Column:
-    expr = None
-    for k, v in mapping.items():
-        expr = F.when(code == k, F.lit(v)) if expr is None else expr.when(code == k, F.lit(v))
-    return expr
+def _pick_sql(key: str, options: tuple[str | None, ...]) -> str:
+    """SQL for ``options[key mod len(options)]``; built as text so that a long CASE costs one
+    expression parse instead of one driver round trip per branch."""
+    arms = " ".join(f"WHEN {i} THEN {_sql_literal(v)}" for i, v in enumerate(options))
+    return f"CASE {key} % {len(options)} {arms} END"
+
+
+def _pick(key: str, options: tuple[str | None, ...]) -> Column:
+    return F.expr(_pick_sql(key, options))
+
+
+def _decode(code: str, mapping: Mapping[str, str]) -> Column:
+    arms = " ".join(f"WHEN {_sql_literal(k)} THEN {_sql_literal(v)}" for k, v in mapping.items())
+    return F.expr(f"CASE {code} {arms} END")
 
 
 def _prefixed(prefix: str, key: Column) -> Column:
@@ -68,16 +74,14 @@ def _unless(test: Column, value: Column) -> Column:
 
 def raw_analytics_events(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
-    name = None
-    for event_type, names in EVENT_NAME_BY_TYPE.items():
-        pick = _pick(eid, names)
-        is_type = F.col("event_type") == event_type
-        name = F.when(is_type, pick) if name is None else name.when(is_type, pick)
+    name = F.expr("CASE event_type " + " ".join(
+        f"WHEN {_sql_literal(t)} THEN {_pick_sql('event_id', names)}"
+        for t, names in EVENT_NAME_BY_TYPE.items()) + " END")
     df = events.select(
         eid.cast("string").alias("id"),
         F.when(eid % 97 == 0, F.lit("bad")).otherwise(F.col("ts").cast("string")).alias("created_at"),
         name.alias("event_name"),
-        _pick(eid, EVENT_SOURCES).alias("source"),
+        _pick("event_id", EVENT_SOURCES).alias("source"),
         _unless(eid % 7 == 0, _prefixed("admin-", F.col("user_id"))).alias("admin_id"),
         _unless(eid % 5 == 0, _prefixed("org-", F.col("user_id") % 40)).alias("organization_id"),
         F.col("props").alias("properties"),
@@ -94,7 +98,7 @@ def raw_organizations(customer: DataFrame) -> DataFrame:
         _unless(key % 11 == 0, _prefixed("admin-", key % 200)).alias("created_by"),
         F.col("c_name").alias("name"),
         F.lower(F.col("c_name")).alias("slug"),
-        _pick(key, ("true", "no", "bad", None)).alias("is_public"),
+        _pick("c_custkey", ("true", "no", "bad", None)).alias("is_public"),
     )
     return normalize(df, "organizations")
 
@@ -120,7 +124,7 @@ def raw_matches(orders: DataFrame) -> DataFrame:
         created.alias("created_at"),
         _prefixed("admin-", F.col("o_custkey") % 200).alias("created_by"),
         _unless(key % 17 == 0, _prefixed("org-", F.col("o_custkey"))).alias("organization_id"),
-        _decode(F.col("o_orderstatus"), MATCH_STATUS).alias("status"),
+        _decode("o_orderstatus", MATCH_STATUS).alias("status"),
         F.col("o_orderpriority").alias("modality"),
         created.alias("scheduled_at"),
         F.when(F.col("o_orderstatus") == "F", finished_day.cast("string")).alias("finished_at"),
@@ -142,7 +146,7 @@ def raw_league_billing_payments(orders: DataFrame) -> DataFrame:
         .when(key % 2 == 0, F.lit("USD"))
         .otherwise(F.lit("ARS"))
         .alias("currency_id"),
-        _decode(F.col("o_orderstatus"), LEAGUE_STATUS).alias("status"),
+        _decode("o_orderstatus", LEAGUE_STATUS).alias("status"),
         F.when(priority == "5-LOW", F.lit(""))
         .when(priority == "4-NOT SPECIFIED", F.lit(None).cast("string"))
         .otherwise(priority)
@@ -157,7 +161,7 @@ def raw_tournament_billing_payments(lineitem: DataFrame) -> DataFrame:
         F.col("l_shipdate").cast("string").alias("created_at"),
         _prefixed("tournament-", F.col("l_suppkey")).alias("created_tournament_id"),
         F.col("l_extendedprice").alias("amount"),
-        _decode(F.col("l_returnflag"), TOURNAMENT_STATUS).alias("status"),
+        _decode("l_returnflag", TOURNAMENT_STATUS).alias("status"),
     )
     return normalize(df, "tournament_billing_payments")
 
@@ -178,28 +182,54 @@ def raw_club_match_payments(lineitem: DataFrame) -> DataFrame:
     return normalize(df, "club_match_payments")
 
 
-def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy parquet scans of the driver tables the mapping needs."""
-    return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in DRIVER_TABLES}
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer input splits than the session has cores.
+
+    A parquet file is split by row group, and each test table is a single file with a single
+    row group, so its scan is one task and all the per-row work after it (text parsing,
+    classification, partial aggregation) would run on one core. A round-robin exchange of the
+    scanned columns spreads that work. Large inputs (many files or row groups) already have at
+    least as many splits as cores, and are returned unchanged, so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spread_small_scan(spark.read.parquet(path))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def read_driver_tables(spark: SparkSession, sf_dir: str) -> LazyFrames:
+    """Parquet scans of the driver tables the mapping needs (defined on first use)."""
+    root = sf_dir.rstrip("/")
+    return LazyFrames({t: partial(_scan, spark, f"{root}/{t}.parquet") for t in DRIVER_TABLES})
+
+
+_MAPPING = {
+    "analytics_events": ("events", raw_analytics_events),
+    "organizations": ("customer", raw_organizations),
+    "players": ("part", raw_players),
+    "matches": ("orders", raw_matches),
+    "league_billing_payments": ("orders", raw_league_billing_payments),
+    "tournament_billing_payments": ("lineitem", raw_tournament_billing_payments),
+    "club_match_payments": ("lineitem", raw_club_match_payments),
+}
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> LazyFrames:
     """All eleven raw source tables derived from the driver tables in ``sf_dir``.
 
     Tables without a driver counterpart (admins, organization_admins, clubs, club_matches) are
-    empty frames of their contract.
+    empty frames of their contract. Each table is defined on first access.
     """
     d = read_driver_tables(spark, sf_dir)
-    raw = {
-        "analytics_events": raw_analytics_events(d["events"]),
-        "organizations": raw_organizations(d["customer"]),
-        "players": raw_players(d["part"]),
-        "matches": raw_matches(d["orders"]),
-        "league_billing_payments": raw_league_billing_payments(d["orders"]),
-        "tournament_billing_payments": raw_tournament_billing_payments(d["lineitem"]),
-        "club_match_payments": raw_club_match_payments(d["lineitem"]),
-    }
-    for table in SOURCE_TABLES:
-        if table not in raw:
-            raw[table] = empty_frame(spark, table)
-    return {t: raw[t] for t in SOURCE_TABLES}
+
+    def factory(table: str):
+        if table in _MAPPING:
+            source, mapper = _MAPPING[table]
+            return lambda: mapper(d[source])
+        return lambda: empty_frame(spark, table)
+
+    return LazyFrames({t: factory(t) for t in SOURCE_TABLES})
