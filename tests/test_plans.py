@@ -1,0 +1,105 @@
+"""Physical-plan properties that matter at scale, checked with explain()."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+
+from sparkmarts.operators import reports as R
+from sparkmarts.plans import pipeline
+from sparkmarts.plans.inspect import (
+    count_nodes,
+    partition_filters,
+    plan_text,
+    pushed_filters,
+    scanned_columns,
+    unbounded_joins,
+)
+from sparkmarts.plans.registry import queries
+from sparkmarts.sources.warehouse import Warehouse
+from tests.conftest import SF_SMALL
+
+QUERIES = queries()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_unkeyed_joins(spark, name):
+    plan = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert unbounded_joins(plan) == []
+
+
+def test_growth_scan_is_pruned(spark):
+    plan = plan_text(QUERIES["mart_growth_daily"](spark, SF_SMALL))
+    cols = scanned_columns(plan)
+    assert cols == [["event_id", "ts", "user_id", "event_type"]]
+
+
+def test_finance_scans_are_pruned(spark):
+    plan = plan_text(QUERIES["mart_finance"](spark, SF_SMALL))
+    for cols in scanned_columns(plan):
+        assert "l_discount" not in cols and "l_tax" not in cols and "o_comment" not in cols
+    assert count_nodes(plan, "SortMergeJoin") == 0
+    assert count_nodes(plan, "HashAggregate") == 0
+
+
+def test_growth_is_two_stage_exact_distinct(spark):
+    plan = plan_text(QUERIES["mart_growth_daily"](spark, SF_SMALL))
+    assert count_nodes(plan, "Expand") == 1
+    assert "approx" not in plan.lower()
+    assert "partial_count" in plan
+
+
+def test_retention_reduces_activity_before_join(spark):
+    plan = plan_text(QUERIES["mart_retention"](spark, SF_SMALL), "simple")
+    join_at = plan.find("Join")
+    distinct_at = plan.find("HashAggregate(keys=[active_admin_id")
+    assert join_at != -1 and distinct_at > join_at  # the distinct sits below the join
+    assert "LeftOuter" in plan
+
+
+def test_ranking_aggregates_before_joins(spark):
+    plan = plan_text(QUERIES["mart_entity_ranking"](spark, SF_SMALL), "simple")
+    assert plan.count("LeftOuter") == 2
+    assert sum("partial_count" in line for line in plan.splitlines()) == 2
+
+
+def test_product_activity_single_aggregate(spark):
+    plan = plan_text(QUERIES["mart_product_activity"](spark, SF_SMALL))
+    assert count_nodes(plan, "Union") == 1
+    assert plan.count("partial_count") == 1
+
+
+def test_kpis_have_no_join(spark):
+    plan = plan_text(QUERIES["dash_kpis"](spark, SF_SMALL))
+    assert "Join" not in plan
+
+
+def test_ranking_top_is_bounded_sort(spark):
+    plan = plan_text(QUERIES["ranking_top20"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_orphans_pre_aggregate_then_anti_join(spark):
+    plan = plan_text(QUERIES["dq_orphans"](spark, SF_SMALL), "simple")
+    assert "LeftAnti" in plan
+    anti_at = plan.find("LeftAnti")
+    agg_at = plan.find("HashAggregate(keys=[fk_column")
+    assert agg_at > anti_at
+
+
+def test_stored_mart_range_prunes_partitions(spark, sample, tmp_path):
+    wh = Warehouse(spark, str(tmp_path / "wh"))
+    raw = dict(sample)
+    fin = pipeline.marts(raw)["mart_finance"]
+    wh.write_table("mart_finance", fin)
+    stored = R.in_range(wh.read("mart_finance"), "payment_date", date(2026, 5, 10),
+                        date(2026, 5, 11))
+    plan = plan_text(stored)
+    pf = " ".join(partition_filters(plan))
+    assert "payment_date" in pf and "2026-05-10" in pf
+    assert stored.count() == 2
+    growth = pipeline.marts(raw)["mart_growth_daily"]
+    wh.write_table("mart_growth_daily", growth)
+    g = R.in_range(wh.read("mart_growth_daily"), "event_date", date(2026, 5, 3), date(2026, 5, 4))
+    assert "event_date" in " ".join(pushed_filters(plan_text(g)))
