@@ -1,0 +1,9 @@
+"""Structured Streaming entry points.
+
+The product itself is batch only (whole-table extract, whole-table marts); the one streaming
+piece here is the extract step for sources that drop files continuously.
+"""
+
+from sparkmarts.streaming.ingest import ingest_stream
+
+__all__ = ["ingest_stream"]
