@@ -7,7 +7,6 @@ session it is given. ``local_session`` is for tests, the bench and the smoke ent
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -40,15 +39,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by the session's ``spark.checkpoint.dir``.
 
-    When the session has none (tests, local runs) a folder is set: ``fallback`` if given, else
-    a fresh local temporary folder. On a cluster the setting must point at shared storage.
+    The cluster's setting always wins. Only when the session has none is ``fallback`` set
+    (tests and local runs pass one); with neither, this raises instead of guessing a
+    machine-local folder that other executors could not see.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         return current
-    folder = fallback or tempfile.mkdtemp(prefix="sparkmarts-ckpt-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir() or folder
+    if fallback is None:
+        raise ValueError("spark.checkpoint.dir is not set; point it at shared storage")
+    sc.setCheckpointDir(fallback)
+    return sc.getCheckpointDir() or fallback

@@ -182,31 +182,11 @@ def raw_club_match_payments(lineitem: DataFrame) -> DataFrame:
     return normalize(df, "club_match_payments")
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer input splits than the session has cores.
-
-    A parquet file is split by row group, and each test table is a single file with a single
-    row group, so its scan is one task and all the per-row work after it (text parsing,
-    classification, partial aggregation) would run on one core. An exchange hashed on the
-    table's leading key column spreads that work; unlike a round-robin exchange it needs no
-    local sort to stay deterministic on retry, and only the key column is forced into the scan,
-    so column pruning still applies. Large inputs (many files or row groups) already have at
-    least as many splits as cores and are returned unchanged: no shuffle is added at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, F.col(df.columns[0]))
-    return df
-
-
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    return spread_small_scan(spark.read.parquet(path))
-
-
 def read_driver_tables(spark: SparkSession, sf_dir: str) -> LazyFrames:
     """Parquet scans of the driver tables the mapping needs (defined on first use)."""
     root = sf_dir.rstrip("/")
-    return LazyFrames({t: partial(_scan, spark, f"{root}/{t}.parquet") for t in DRIVER_TABLES})
+    return LazyFrames({t: partial(spark.read.parquet, f"{root}/{t}.parquet")
+                       for t in DRIVER_TABLES})
 
 
 _MAPPING = {

@@ -41,3 +41,12 @@ def test_ingest_is_incremental_and_exactly_once(spark, tmp_path):
                  .select("event_date", "source", "events").collect())
     assert [(str(d), s, n) for d, s, n in got] == [("2026-05-03", "home_hero", 1),
                                                   ("2026-05-04", "unknown", 1)]
+
+
+def test_checkpoint_dir_prefers_session_setting(spark, tmp_path):
+    from sparkmarts.session import checkpoint_dir
+
+    first = checkpoint_dir(spark, fallback=str(tmp_path / "ck"))
+    assert str(tmp_path / "ck") in first
+    # once set, the session's folder wins over any later fallback
+    assert checkpoint_dir(spark, fallback=str(tmp_path / "other")) == first
