@@ -144,6 +144,25 @@ def finance_totals(finance: DataFrame, money_digits: int | None = 2) -> DataFram
     )
 
 
+def reconcile_totals(finance: DataFrame, expected_amount: float, paid_amount: float,
+                     tolerance: float = 0.005) -> DataFrame:
+    """One row comparing the finance mart's totals with known control totals.
+
+    Columns: expected_amount, paid_amount (the mart's totals), expected_target, paid_target and
+    ``reconciled`` (both totals within ``tolerance``).
+    """
+    totals = finance_totals(finance, money_digits=None)
+    return totals.select(
+        "expected_amount",
+        "paid_amount",
+        F.lit(float(expected_amount)).alias("expected_target"),
+        F.lit(float(paid_amount)).alias("paid_target"),
+        ((F.abs(F.col("expected_amount") - F.lit(float(expected_amount))) <= tolerance)
+         & (F.abs(F.col("paid_amount") - F.lit(float(paid_amount))) <= tolerance))
+        .alias("reconciled"),
+    )
+
+
 def non_empty(marts: Mapping[str, DataFrame],
               names: Sequence[str] = NON_EMPTY_MARTS) -> DataFrame:
     """(mart, has_rows) for each mart in ``names``; each mart is probed with ``limit(1)``."""

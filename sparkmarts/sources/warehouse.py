@@ -1,8 +1,11 @@
-"""Table store: raw, staging and mart tables as parquet folders under one root.
-
-The root should be shared storage on a cluster (HDFS, object store, or a shared mount); every
-write is a whole-table overwrite done by the executors, so a lost executor only re-runs its tasks
-and readers never see a half-built table's files mixed with old ones under the same name.
+"""Table store: raw, staging and mart tables as parquet folders under one root (``Warehouse``)
+or as tables of the session catalog (``CatalogWarehouse``).
+
+The root should be shared storage on a cluster (HDFS, object store, or a shared mount). Every
+write is a whole-table overwrite done by the executors through Spark's commit protocol, so a
+lost executor only re-runs its tasks and no duplicate files are committed. As in the product,
+each table commits on its own: a build that fails half way leaves some tables new and some old,
+and is repaired by running it again.
 """
 
 from __future__ import annotations
@@ -53,6 +56,13 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def _save(self, writer, name: str) -> None:
+        writer.parquet(self.path(name))
+
+    def stream_sink(self, writer, name: str):
+        """Start a streaming ``writer`` that appends to table ``name``."""
+        return writer.format("parquet").option("path", self.path(name)).start()
+
     def write(self, name: str, df: DataFrame, partition_by: str | None = None,
               sort_within: Sequence[str] = ()) -> str:
         """Overwrite table ``name`` with ``df``.
@@ -72,7 +82,7 @@ class Warehouse:
         writer = out.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path(name))
+        self._save(writer, name)
         return name
 
     def write_table(self, name: str, df: DataFrame) -> str:
@@ -96,7 +106,7 @@ class Warehouse:
                 df = empty_frame(self.spark, table)
             else:
                 continue
-            df.write.mode("overwrite").parquet(self.path(spec.raw_name))
+            self._save(df.write.mode("overwrite"), spec.raw_name)
             written.append(spec.raw_name)
         self.log_run(len(written))
         return written
@@ -106,8 +116,7 @@ class Warehouse:
         created = []
         for table, spec in SOURCE_TABLES.items():
             if not self.exists(spec.raw_name):
-                empty_frame(self.spark, table).write.mode("overwrite").parquet(
-                    self.path(spec.raw_name))
+                self._save(empty_frame(self.spark, table).write.mode("overwrite"), spec.raw_name)
                 created.append(spec.raw_name)
         return created
 
@@ -126,8 +135,38 @@ class Warehouse:
             F.current_timestamp().alias("loaded_at"),
             F.lit(table_count).cast("bigint").alias("table_count"),
         )
-        log.write.mode("overwrite").parquet(self.path(RUN_LOG))
+        self._save(log.write.mode("overwrite"), RUN_LOG)
 
     def present(self, names: Iterable[str]) -> list[str]:
         """Which of ``names`` exist as tables."""
         return [n for n in names if self.exists(n)]
+
+
+class CatalogWarehouse(Warehouse):
+    """The same table store on the session catalog: tables ``<database>.<name>``.
+
+    Use this where a metastore names the tables (``saveAsTable`` / ``spark.table``); existence
+    is a catalog lookup, not a file probe. The database must exist.
+    """
+
+    def __init__(self, spark: SparkSession, database: str):
+        self.spark = spark
+        self.database = check_identifier(database)
+
+    def table(self, name: str) -> str:
+        return f"{self.database}.{check_identifier(name)}"
+
+    def path(self, name: str) -> str:
+        raise TypeError("catalog tables are addressed by name; use table()")
+
+    def exists(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(self.table(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(self.table(name))
+
+    def _save(self, writer, name: str) -> None:
+        writer.format("parquet").saveAsTable(self.table(name))
+
+    def stream_sink(self, writer, name: str):
+        return writer.toTable(self.table(name))

@@ -48,12 +48,10 @@ def ingest_stream(
     stream = normalize(reader.options(**dict(options or {})).load(source_path), table)
     location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest_{spec.name}"
     writer = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", warehouse.path(spec.raw_name))
+        stream.writeStream.outputMode("append")
         .option("checkpointLocation", location)
         .queryName(f"ingest_{spec.name}")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime=interval)
-    return writer.start()
+    return warehouse.stream_sink(writer, spec.raw_name)

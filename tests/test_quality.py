@@ -69,3 +69,10 @@ def test_forbidden_findings(sample_marts):
                                  ["organization_id", "paid_amount"])
     assert found == ["forbidden table raw_organization_billing_payments",
                      "mart_entity_ranking carries paid_amount"]
+
+
+def test_reconcile_totals(sample_marts):
+    fin = sample_marts["mart_finance"]
+    ok = Q.reconcile_totals(fin, 36300.0, 36150.0).first()
+    assert ok["reconciled"] and (ok["expected_amount"], ok["paid_amount"]) == (36300.0, 36150.0)
+    assert not Q.reconcile_totals(fin, 36300.0, 36000.0).first()["reconciled"]

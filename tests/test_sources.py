@@ -164,3 +164,22 @@ def test_nan_amount_is_not_paid(spark):
                   empty_frame(spark, "tournament_billing_payments"), club).first()
     assert row["status"] == "paid" and row["expected_amount"] == 0.0
     assert not math.isnan(row["expected_amount"])
+
+
+def test_catalog_warehouse_round_trip(spark, sample, tmp_path):
+    from sparkmarts.sources.warehouse import CatalogWarehouse
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS marts_test LOCATION '{tmp_path / 'db'}'")
+    try:
+        wh = CatalogWarehouse(spark, "marts_test")
+        assert not wh.exists("raw_players")
+        wh.write_raw(sample)
+        assert wh.exists("raw_players") and wh.exists("etl_runs")
+        pipeline.build_marts(wh)
+        got = bag(wh.read("mart_entity_ranking").select(*GOLDEN_COLUMNS("mart_entity_ranking")))
+        assert got == sorted(GOLDEN["mart_entity_ranking"], key=repr)
+        assert spark.catalog.tableExists("marts_test.mart_finance")
+        with pytest.raises(ValueError):
+            CatalogWarehouse(spark, "bad name")
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS marts_test CASCADE")
