@@ -124,9 +124,10 @@ class Warehouse:
         """Raw tables by contract name; a missing one reads as an empty contract frame."""
         out = {}
         for table in tables or SOURCE_TABLES:
-            raw_name = SOURCE_TABLES[table].raw_name
-            out[table] = self.read(raw_name) if self.exists(raw_name) else empty_frame(
-                self.spark, table)
+            try:  # one listing per table: read directly, a missing table raises at resolution
+                out[table] = self.read(SOURCE_TABLES[table].raw_name)
+            except AnalysisException:
+                out[table] = empty_frame(self.spark, table)
         return out
 
     def log_run(self, table_count: int) -> None:
