@@ -63,35 +63,44 @@ def duplicate_keys(df: DataFrame, key: str = "id", table: str | None = None) ->
 
 
 def duplicate_ids(raw: Mapping[str, DataFrame], tables: Iterable[str] | None = None) -> DataFrame:
-    """Repeated ``id`` values across raw tables: (table_name, id, occurrences)."""
+    """Repeated ``id`` values across raw tables: (table_name, id, occurrences).
+
+    The ids of all tables are one union of tagged rows and one aggregate, so the check costs a
+    single shuffle however many tables it covers.
+    """
     names = list(tables) if tables is not None else list(raw)
-    out = None
+    ids = None
     for t in names:
-        part = duplicate_keys(raw[t], "id", t)
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = raw[t].select(F.lit(t).alias("table_name"), to_text(F.col("id")).alias("id"))
+        ids = part if ids is None else ids.unionByName(part)
+    return (
+        ids.groupBy("table_name", "id")
+        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .where(F.col("occurrences") > 1)
+    )
 
 
 def orphan_references(raw_events: DataFrame, targets: Mapping[str, DataFrame],
                       foreign_keys: Mapping[str, str] = EVENT_FOREIGN_KEYS) -> DataFrame:
     """Foreign-key values of events with no row in the referenced table.
 
-    Returns (fk_column, fk_value, events). The event side is first reduced to one row per
-    (column, value) with its event count; only that reduced side meets the referenced ids in a
-    left anti join.
+    Returns (fk_column, fk_value, events). Events are read once: each row emits one tagged row
+    per non-NULL foreign key, and these are reduced to one row per (column, value) with its
+    event count before they meet the referenced ids in a left anti join.
     """
-    stacked = None
+    tagged = F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("fk_column"),
+                                              to_text(F.col(c)).alias("fk_value")))
+        for c in foreign_keys
+    ])
+    refs = raw_events.select(F.inline(F.filter(tagged, lambda t: t.isNotNull())))
     ids = None
     for column, table in foreign_keys.items():
-        refs = raw_events.where(F.col(column).isNotNull()).select(
-            F.lit(column).alias("fk_column"), to_text(F.col(column)).alias("fk_value")
-        )
         known = targets[table].where(F.col("id").isNotNull()).select(
             F.lit(column).alias("fk_column"), to_text(F.col("id")).alias("fk_value")
         )
-        stacked = refs if stacked is None else stacked.unionByName(refs)
         ids = known if ids is None else ids.unionByName(known)
-    per_value = stacked.groupBy("fk_column", "fk_value").agg(F.count(F.lit(1)).alias("events"))
+    per_value = refs.groupBy("fk_column", "fk_value").agg(F.count(F.lit(1)).alias("events"))
     return per_value.join(ids, ["fk_column", "fk_value"], "left_anti")
 
 
