@@ -90,10 +90,11 @@ def product_activity(
             F.struct(finished_day.alias("activity_date"), F.lit("matches_finished").alias("metric")),
         ),
     )
-    matches = stg_matches.select(
-        "organization_id",
-        F.inline(F.filter(tagged, lambda t: t.isNotNull())),
-    ).select("activity_date", "organization_id", "metric")
+    # A match that is not finished contributes a NULL element, which inlines to an all-NULL row;
+    # the date filter below drops it. (No lambda filter here: higher-order functions are not
+    # code-generated and would split the whole-stage codegen span.)
+    matches = stg_matches.select("organization_id", F.inline(tagged)).select(
+        "activity_date", "organization_id", "metric")
     rows = groups.unionByName(players).unionByName(matches)
     return (
         rows.where(F.col("activity_date").isNotNull())

@@ -93,7 +93,9 @@ def orphan_references(raw_events: DataFrame, targets: Mapping[str, DataFrame],
                                               to_text(F.col(c)).alias("fk_value")))
         for c in foreign_keys
     ])
-    refs = raw_events.select(F.inline(F.filter(tagged, lambda t: t.isNotNull())))
+    # A NULL key gives a NULL element, which inlines to an all-NULL row: drop it (a plain
+    # inline stays inside whole-stage code generation, a lambda filter would not).
+    refs = raw_events.select(F.inline(tagged)).where(F.col("fk_value").isNotNull())
     ids = None
     for column, table in foreign_keys.items():
         known = targets[table].where(F.col("id").isNotNull()).select(
