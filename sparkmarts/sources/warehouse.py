@@ -10,7 +10,9 @@ and is repaired by running it again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -142,6 +144,16 @@ class Warehouse:
         """Which of ``names`` exist as tables."""
         return [n for n in names if self.exists(n)]
 
+    def query(self, sql_text: str, args: Mapping[str, Any] | None = None) -> DataFrame:
+        """Run SQL over stored tables: ``{table}`` names a table, ``:name`` a parameter.
+
+        Tables are passed to ``spark.sql`` as DataFrame arguments (no shared temporary views)
+        and values as parameter markers, so nothing from ``args`` is pasted into the SQL text.
+        """
+        names = set(re.findall(r"\{([A-Za-z_][A-Za-z0-9_]*)\}", sql_text))
+        frames = {n: self.read(n) for n in names}
+        return self.spark.sql(sql_text, args=dict(args) if args else None, **frames)
+
 
 class CatalogWarehouse(Warehouse):
     """The same table store on the session catalog: tables ``<database>.<name>``.

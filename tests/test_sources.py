@@ -107,6 +107,12 @@ def test_build_marts_end_to_end(spark, sample, tmp_path):
     assert names == list(pipeline.MART_NAMES)
     for name in names:
         assert bag(wh.read(name).select(*GOLDEN_COLUMNS(name))) == sorted(GOLDEN[name], key=repr)
+    from datetime import date
+
+    q = wh.query("SELECT funnel_stage, SUM(events) AS events FROM {mart_growth_daily} "
+                 "WHERE event_date BETWEEN :start AND :end GROUP BY funnel_stage",
+                 {"start": date(2026, 5, 3), "end": date(2026, 5, 4)})
+    assert sorted(tuple(r) for r in q.collect()) == [("acquisition", 2), ("activation", 2)]
     # date-keyed marts are stored one folder per date, so report filters prune partitions
     assert any(p.startswith("payment_date=") for p in os.listdir(tmp_path / "wh2" / "mart_finance"))
     assert wh.exists("stg_analytics_events")
