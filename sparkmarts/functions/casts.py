@@ -2,9 +2,13 @@
 
 Every parser turns a malformed value into NULL instead of failing the job (Spark 4 runs with
 ANSI mode, where a plain cast of bad text raises). The accepted text shapes are those of the
-SQL engine the marts are specified against, which is stricter than Spark's own parser in a few
-places (a bare year, padded text, ``1d`` as a double, padded booleans); each parser therefore
-checks the shape with a regular expression before it calls ``try_cast``. All of it stays a
+SQL engine the marts are specified against, which differs from Spark's own parser both ways: it
+rejects a bare year, ``1d`` as a double or padded booleans, and accepts ``/`` in dates, several
+blanks before the time, zone names and ``1_000``. Each parser checks the shape with a regular
+expression and rewrites it to Spark's form before it calls ``try_cast``. Known remaining
+differences (rare forms, NULL here): years with 2 or 5+ digits, hour-only times such as ``9:``,
+``24:00``, the keywords ``infinity``/``epoch`` as timestamps; text ``nan`` becomes NULL on
+purpose, since NaN compares above every amount. All of it stays a
 built-in expression, so it runs inside whole-stage code generation.
 
 The functions take the column's data type as well, because the raw layer keeps whatever type the
@@ -17,10 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Date first, then optionally a time part separated by a space or "T"; no padding.
-TIMESTAMP_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\S.*)?$"
-# Plain decimal or scientific notation, optionally padded; no type suffix such as "1d".
-NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Timestamp text: a 4-digit-year date with "-" or "/" (the same one twice), then optionally a
+# time after "T" or blanks, an optional zone designator (Z, +hh, +hh:mm, +hhmm, UTC or a zone
+# name; ignored, the wall clock is kept) and trailing blanks. Leading blanks are allowed, a
+# date-only value with trailing blanks is not. Groups 1, 3, 4, 5 rebuild "y-m-d time".
+TIMESTAMP_PARTS = (
+    r"^\s*(\d{4})([-/])(\d{1,2})\2(\d{1,2})"
+    r"(?:(?:T|\s+)(\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)"
+    r"\s*(?:Z|[+-]\d{2}(?::?\d{2})?|UTC|[A-Za-z]+/[A-Za-z_]+)?\s*)?$"
+)
+# The common ISO form (a subset of the above) that Spark's parser reads exactly the same way.
+TIMESTAMP_ISO = (r"^\d{4}-\d{1,2}-\d{1,2}"
+                 r"(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:\d{2})?)?$")
+# Plain decimal or scientific notation, optionally padded, single "_" allowed between digits;
+# no type suffix such as "1d".
+_DIGITS = r"\d+(?:_\d+)*"
+NUMBER_SHAPE = (rf"^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})"
+                rf"(?:[eE][+-]?{_DIGITS})?\s*$")
 # Infinity spelled out, which the reference engine accepts and Spark's parser does too.
 INFINITY_SHAPE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 # A boolean token has no surrounding blanks.
@@ -48,7 +65,16 @@ def to_timestamp_ntz(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return column.cast(T.TimestampNTZType())
     if isinstance(dtype, T.StringType):
-        return F.when(column.rlike(TIMESTAMP_SHAPE), column.try_cast(T.TimestampNTZType()))
+        # ISO text goes straight to Spark's parser (which ignores a zone for timestamp_ntz);
+        # other accepted shapes are parsed directly too and, only if Spark gives up, rewritten
+        # to "y-m-d time" and parsed again. The cheap ISO test keeps the common case fast.
+        direct = column.try_cast(T.TimestampNTZType())
+        canonical = F.trim(F.regexp_replace(column, TIMESTAMP_PARTS, "$1-$3-$4 $5"))
+        return (
+            F.when(column.rlike(TIMESTAMP_ISO), direct)
+            .when(column.rlike(TIMESTAMP_PARTS),
+                  F.coalesce(direct, canonical.try_cast(T.TimestampNTZType())))
+        )
     return F.lit(None).cast(T.TimestampNTZType())
 
 
@@ -65,7 +91,8 @@ def to_double(column: Column, dtype: T.DataType) -> Column:
         return column.cast(T.DoubleType())
     if isinstance(dtype, T.StringType):
         ok = column.rlike(NUMBER_SHAPE) | column.rlike(INFINITY_SHAPE)
-        return F.when(ok, F.trim(column).try_cast(T.DoubleType()))
+        digits = F.regexp_replace(F.trim(column), "_", "")
+        return F.when(ok, digits.try_cast(T.DoubleType()))
     return F.lit(None).cast(T.DoubleType())
 
 

@@ -62,11 +62,13 @@ def test_identifier_guard():
 
 def test_timestamp_text(spark):
     values = ["2026-05-03T11:00:00Z", "2026-05-03T22:00:00-03:00", "2026-05-03 10:00:00",
-              "2026-05-03", "bad", "2026", "2026-05", " 2026-05-03", "infinity", None]
+              "2026-05-03", "bad", "2026", "2026-05", " 2026-05-03", "2026-05-03 ", "infinity",
+              None, "2026/05/03  10:00 UTC", "2026-05-03T10:00:00+0300", "2026-05/03"]
     df = one_col(spark, values)
     got = [r[0] for r in df.select(to_timestamp_ntz(F.col("v"), T.StringType())).collect()]
     assert got == [datetime(2026, 5, 3, 11), datetime(2026, 5, 3, 22), datetime(2026, 5, 3, 10),
-                   datetime(2026, 5, 3), None, None, None, None, None, None]
+                   datetime(2026, 5, 3), None, None, None, datetime(2026, 5, 3), None, None,
+                   None, datetime(2026, 5, 3, 10), datetime(2026, 5, 3, 10), None]
 
 
 def test_timestamp_typed_inputs(spark):
@@ -79,11 +81,12 @@ def test_timestamp_typed_inputs(spark):
 
 
 def test_double_text(spark):
-    values = ["1", "1.5", " 2 ", "1e3", "-.5", "+3.", "1d", "1f", "n/a", "1,5", "", None, "inf"]
+    values = ["1", "1.5", " 2 ", "1e3", "-.5", "+3.", "1d", "1f", "n/a", "1,5", "", None, "inf",
+              "1_000", "1__0", "nan"]
     df = one_col(spark, values)
     got = [r[0] for r in df.select(to_double(F.col("v"), T.StringType())).collect()]
     assert got == [1.0, 1.5, 2.0, 1000.0, -0.5, 3.0, None, None, None, None, None, None,
-                   float("inf")]
+                   float("inf"), 1000.0, None, None]
 
 
 def test_double_nan_becomes_null(spark):
