@@ -4,8 +4,8 @@ or as tables of the session catalog (``CatalogWarehouse``).
 The root should be shared storage on a cluster (HDFS, object store, or a shared mount). Every
 write is a whole-table overwrite done by the executors through Spark's commit protocol, so a
 lost executor only re-runs its tasks and no duplicate files are committed. As in the product,
-each table commits on its own: a build that fails half way leaves some tables new and some old,
-and is repaired by running it again.
+each table commits on its own: a build that fails part way leaves some tables new and some old,
+and the table being written may be empty or partial; running the build again repairs it.
 """
 
 from __future__ import annotations
