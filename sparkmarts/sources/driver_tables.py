@@ -49,10 +49,14 @@ def _sql_literal(value: str | None) -> str:
 
 
 def _pick_sql(key: str, options: tuple[str | None, ...]) -> str:
-    """SQL for ``options[key mod len(options)]``; built as text so that a long CASE costs one
-    expression parse instead of one driver round trip per branch."""
-    arms = " ".join(f"WHEN {i} THEN {_sql_literal(v)}" for i, v in enumerate(options))
-    return f"CASE {key} % {len(options)} {arms} END"
+    """SQL for ``options[key mod len(options)]`` (NULL for a negative key).
+
+    A lookup in a constant array keeps the generated code small: long CASE chains, repeated in
+    the pushed-down filter and the projection, can push a fused stage past the size the JVM
+    compiles, and such a stage then runs several times slower."""
+    values = ", ".join(_sql_literal(v) for v in options)
+    n = len(options)
+    return f"IF({key} >= 0, element_at(array({values}), CAST({key} % {n} AS INT) + 1), NULL)"
 
 
 def _pick(key: str, options: tuple[str | None, ...]) -> Column:
