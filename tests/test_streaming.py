@@ -54,3 +54,23 @@ def test_checkpoint_dir_prefers_session_setting(spark, tmp_path):
         assert str(tmp_path / "ck") in first
     # once set, the session's folder wins over any later fallback
     assert checkpoint_dir(spark, fallback=str(tmp_path / "other")) == first
+
+
+def test_ingest_into_catalog_table(spark, tmp_path):
+    from sparkmarts.sources.warehouse import CatalogWarehouse
+
+    src = tmp_path / "drop"
+    src.mkdir()
+    _write(src / "a.json", [{"id": "9", "created_at": "2026-05-05T10:00:00Z",
+                             "event_name": "match_created", "source": "server"}])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS ingest_test LOCATION '{tmp_path / 'db'}'")
+    try:
+        wh = CatalogWarehouse(spark, "ingest_test")
+        q = ingest_stream(spark, str(src), "analytics_events", wh,
+                          checkpoint=str(tmp_path / "ckpt"))
+        q.awaitTermination(120)
+        assert wh.exists("raw_analytics_events")
+        row = wh.read("raw_analytics_events").first()
+        assert (row["id"], row["event_name"], row["properties"]) == ("9", "match_created", "{}")
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS ingest_test CASCADE")
