@@ -24,6 +24,7 @@ from sparkmarts.contracts import (
     TOURNAMENT_FLOW,
 )
 from sparkmarts.functions import blank_to, parsed, to_day, to_text
+from sparkmarts.functions.once import with_column_once
 from sparkmarts.operators.staging import players_with_day
 
 MART_NAMES = (
@@ -103,12 +104,17 @@ def product_activity(
     )
 
 
+def _payment_day(raw: DataFrame) -> DataFrame:
+    """``raw`` with its payment day, parsed once although the mart filters on it."""
+    return with_column_once(raw, "_payment_date",
+                            to_day(parsed(raw, "created_at", "timestamp")))
+
+
 def _billing_branch(raw: DataFrame, domain: str, flow, entity_column: str) -> DataFrame:
-    created_at = parsed(raw, "created_at", "timestamp")
     amount = F.coalesce(parsed(raw, "amount", "double"), F.lit(0.0))
     status = to_text(F.col("status"))
-    return raw.select(
-        to_day(created_at).alias("payment_date"),
+    return _payment_day(raw).select(
+        F.col("_payment_date").alias("payment_date"),
         F.lit(domain).alias("domain"),
         flow.alias("flow"),
         to_text(F.col(entity_column)).alias("entity_id"),
@@ -140,8 +146,8 @@ def finance(
     club = raw_club_match_payments
     expected = F.coalesce(parsed(club, "expected_cents", "double"), F.lit(0.0))
     paid = F.coalesce(parsed(club, "paid_cents", "double"), F.lit(0.0))
-    club_rows = club.select(
-        to_day(parsed(club, "created_at", "timestamp")).alias("payment_date"),
+    club_rows = _payment_day(club).select(
+        F.col("_payment_date").alias("payment_date"),
         F.lit("club_match").alias("domain"),
         F.lit(CLUB_MATCH_FLOW).alias("flow"),
         to_text(F.col("match_id")).alias("entity_id"),

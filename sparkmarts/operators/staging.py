@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkmarts.contracts import UNKNOWN_SOURCE
 from sparkmarts.functions import blank_to, funnel_stage, parsed, to_day, to_text
+from sparkmarts.functions.once import with_column_once
 
 
 def stg_analytics_events(raw_events: DataFrame) -> DataFrame:
@@ -20,10 +21,12 @@ def stg_analytics_events(raw_events: DataFrame) -> DataFrame:
     admin_id, organization_id, club_id, league_id, entity_type, entity_id, path, properties,
     funnel_stage.
     """
-    event_at = parsed(raw_events, "created_at", "timestamp")
     passthrough = ["admin_id", "organization_id", "club_id", "league_id", "entity_type",
                    "entity_id", "path", "properties"]
-    return raw_events.where(F.col("event_name").isNotNull() & event_at.isNotNull()).select(
+    named = raw_events.where(F.col("event_name").isNotNull())
+    timed = with_column_once(named, "_event_at", parsed(raw_events, "created_at", "timestamp"))
+    event_at = F.col("_event_at")
+    return timed.where(event_at.isNotNull()).select(
         to_text(F.col("id")).alias("id"),
         event_at.alias("event_at"),
         to_day(event_at).alias("event_date"),
@@ -36,9 +39,12 @@ def stg_analytics_events(raw_events: DataFrame) -> DataFrame:
 
 def stg_organizations(raw_organizations: DataFrame) -> DataFrame:
     """One row per organisation with an id; an unparseable creation time stays as NULL."""
-    created_at = parsed(raw_organizations, "created_at", "timestamp")
     is_public = parsed(raw_organizations, "is_public", "boolean")
-    return raw_organizations.where(F.col("id").isNotNull()).select(
+    # marts filter on the creation day, so the parse is emitted once (see with_column_once)
+    dated = with_column_once(raw_organizations.where(F.col("id").isNotNull()), "_created_at",
+                             parsed(raw_organizations, "created_at", "timestamp"))
+    created_at = F.col("_created_at")
+    return dated.select(
         to_text(F.col("id")).alias("organization_id"),
         created_at.alias("created_at"),
         to_day(created_at).alias("created_date"),
@@ -67,10 +73,11 @@ def stg_matches(raw_matches: DataFrame) -> DataFrame:
 
 def players_with_day(raw_players: DataFrame) -> DataFrame:
     """Players with an id, their organisation as text and their creation day (may be NULL)."""
-    created_at = parsed(raw_players, "created_at", "timestamp")
-    return raw_players.where(F.col("id").isNotNull()).select(
+    dated = with_column_once(raw_players.where(F.col("id").isNotNull()), "_created_at",
+                             parsed(raw_players, "created_at", "timestamp"))
+    return dated.select(
         to_text(F.col("organization_id")).alias("organization_id"),
-        to_day(created_at).alias("created_date"),
+        to_day(F.col("_created_at")).alias("created_date"),
     )
 
 
