@@ -84,3 +84,13 @@ def test_in_range_is_inclusive(sample_marts):
     g = R.in_range(sample_marts["mart_growth_daily"], "event_date", date(2026, 5, 5),
                    date(2026, 5, 5))
     assert g.count() == 3
+
+
+def test_dashboard_on_empty_marts(spark, sample_marts):
+    empty = {name: df.limit(0) for name, df in sample_marts.items()}
+    assert R.default_range(empty["mart_growth_daily"]) == (None, None)
+    dash = R.dashboard(empty)
+    assert dash["kpis"].first().asDict() == {"total_events": 0, "active_admins": 0,
+                                             "paid_amount": 0.0, "finished_matches": 0}
+    assert dash["events_by_stage"].count() == 0
+    assert dash["ranking_top"].count() == 0
