@@ -93,3 +93,16 @@ def test_hot_login_bucket_is_combined_map_side(spark):
     assert total == stg.where("event_name = 'admin_login_succeeded'").count()
     g = growth_daily(stg)
     assert g.agg(F.sum("events")).first()[0] == stg.count()
+
+
+def test_hot_duplicate_id_is_combined_map_side(spark):
+    from sparkmarts.operators.quality import duplicate_ids
+
+    n = 30000
+    players = normalize(spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("p-hot"))
+        .otherwise(F.concat(F.lit("p-"), F.col("id").cast("string"))).alias("id")), "players")
+    dup = duplicate_ids({"players": players})
+    plan = plan_text(dup)
+    assert "partial_count" in plan
+    assert [tuple(r) for r in dup.collect()] == [("players", "p-hot", n // 3)]
