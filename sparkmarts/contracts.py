@@ -67,7 +67,8 @@ SOURCE_TABLES: dict[str, TableSpec] = {
             json_columns=("properties",),
         ),
         _spec("admins", "id, created_at TIMESTAMP, display_name"),
-        _spec("organizations", "id, created_at TIMESTAMP, created_by, name, slug, is_public BOOLEAN"),
+        _spec("organizations",
+              "id, created_at TIMESTAMP, created_by, name, slug, is_public BOOLEAN"),
         _spec("organization_admins", "id, created_at TIMESTAMP, organization_id, admin_id, role"),
         _spec("players", "id, created_at TIMESTAMP, organization_id, active BOOLEAN"),
         _spec(
@@ -75,7 +76,8 @@ SOURCE_TABLES: dict[str, TableSpec] = {
             "id, created_at TIMESTAMP, created_by, organization_id, status, modality, "
             "scheduled_at TIMESTAMP, finished_at TIMESTAMP",
         ),
-        _spec("clubs", "id, created_at TIMESTAMP, created_by, name, slug, status, is_public BOOLEAN"),
+        _spec("clubs",
+              "id, created_at TIMESTAMP, created_by, name, slug, status, is_public BOOLEAN"),
         _spec(
             "club_matches",
             "id, created_at TIMESTAMP, created_by, club_id, status, played_at TIMESTAMP, "
@@ -88,8 +90,8 @@ SOURCE_TABLES: dict[str, TableSpec] = {
         ),
         _spec(
             "tournament_billing_payments",
-            "id, created_at TIMESTAMP, admin_id, created_tournament_id, amount DOUBLE, currency_id, "
-            "status, approved_at TIMESTAMP",
+            "id, created_at TIMESTAMP, admin_id, created_tournament_id, amount DOUBLE, "
+            "currency_id, status, approved_at TIMESTAMP",
         ),
         _spec(
             "league_billing_payments",

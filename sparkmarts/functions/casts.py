@@ -134,7 +134,8 @@ def _sorted_keys(column: Column, dtype: T.DataType) -> Column:
         return F.map_from_entries(F.array_sort(F.map_entries(column)))
     if isinstance(dtype, T.StructType):
         fields = sorted(dtype.fields, key=lambda f: f.name)
-        rebuilt = F.struct(*[_sorted_keys(column[f.name], f.dataType).alias(f.name) for f in fields])
+        rebuilt = F.struct(*[_sorted_keys(column[f.name], f.dataType).alias(f.name)
+                             for f in fields])
         return F.when(column.isNotNull(), rebuilt)
     return column
 

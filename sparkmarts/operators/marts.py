@@ -88,7 +88,8 @@ def product_activity(
                  F.lit("matches_created").alias("metric")),
         F.when(
             F.col("status").isin(list(FINISHED_STATUSES)),
-            F.struct(finished_day.alias("activity_date"), F.lit("matches_finished").alias("metric")),
+            F.struct(finished_day.alias("activity_date"),
+                     F.lit("matches_finished").alias("metric")),
         ),
     )
     # A match that is not finished contributes a NULL element, which inlines to an all-NULL row;
@@ -184,7 +185,8 @@ def retention(stg_organizations: DataFrame, stg_events: DataFrame) -> DataFrame:
     )
     active_days = (
         stg_events.where(F.col("admin_id").isNotNull())
-        .select(F.col("admin_id").alias("active_admin_id"), F.col("event_date").alias("activity_date"))
+        .select(F.col("admin_id").alias("active_admin_id"),
+                F.col("event_date").alias("activity_date"))
         .distinct()
     )
     in_window = (

@@ -83,7 +83,9 @@ def raw_analytics_events(events: DataFrame) -> DataFrame:
         for t, names in EVENT_NAME_BY_TYPE.items()) + " END")
     df = events.select(
         eid.cast("string").alias("id"),
-        F.when(eid % 97 == 0, F.lit("bad")).otherwise(F.col("ts").cast("string")).alias("created_at"),
+        F.when(eid % 97 == 0, F.lit("bad"))
+        .otherwise(F.col("ts").cast("string"))
+        .alias("created_at"),
         name.alias("event_name"),
         _pick("event_id", EVENT_SOURCES).alias("source"),
         _unless(eid % 7 == 0, _prefixed("admin-", F.col("user_id"))).alias("admin_id"),
@@ -98,7 +100,8 @@ def raw_organizations(customer: DataFrame) -> DataFrame:
     day = F.date_add(F.lit(CALENDAR_START).cast("date"), (key % 28).cast("int"))
     df = customer.select(
         _prefixed("org-", key).alias("id"),
-        _unless(key % 13 == 0, F.concat(day.cast("string"), F.lit(" 10:00:00"))).alias("created_at"),
+        _unless(key % 13 == 0, F.concat(day.cast("string"), F.lit(" 10:00:00")))
+        .alias("created_at"),
         _unless(key % 11 == 0, _prefixed("admin-", key % 200)).alias("created_by"),
         F.col("c_name").alias("name"),
         F.lower(F.col("c_name")).alias("slug"),

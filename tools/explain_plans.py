@@ -47,7 +47,8 @@ def main() -> None:
     for name, fn in queries().items():
         df = fn(spark, sf_dir)
         plan = final_plan(df)
-        shuffles = plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+        shuffles = (plan.count("Exchange hashpartitioning")
+                    + plan.count("Exchange rangepartitioning"))
         lines += [f"## {name}", "", f"shuffle exchanges: {shuffles}", "", "```", plan.strip(),
                   "```", ""]
     os.makedirs(os.path.dirname(out), exist_ok=True)
