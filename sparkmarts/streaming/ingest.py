@@ -30,6 +30,7 @@ def ingest_stream(
     checkpoint: str | None = None,
     available_now: bool = True,
     interval: str = "60 seconds",
+    max_files_per_batch: int = 10_000,
     options: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
     """Start appending new files under ``source_path`` to the raw table of ``table``.
@@ -38,9 +39,12 @@ def ingest_stream(
     otherwise the query keeps running on a ``interval`` trigger. The checkpoint defaults to a
     folder under the session's ``spark.checkpoint.dir``, which must be shared storage on a
     cluster. Files are read with the contract's column names as text (no inference pass).
+    ``max_files_per_batch`` bounds each micro-batch, so a first run over a large backlog is
+    processed as several bounded batches (``availableNow`` honours it) instead of one.
     """
     spec = spec_for(table)
-    reader = spark.readStream.format(fmt).schema(text_schema(table))
+    reader = (spark.readStream.format(fmt).schema(text_schema(table))
+              .option("maxFilesPerTrigger", str(max_files_per_batch)))
     if fmt == "csv":
         reader = reader.option("header", "true")
     elif fmt != "json":

@@ -24,7 +24,8 @@ def test_ingest_is_incremental_and_exactly_once(spark, tmp_path):
          "source": "home_hero", "properties": {"b": 2, "a": 1}},
         {"id": "2", "created_at": "bad", "event_name": "cta_clicked"},
     ])
-    q = ingest_stream(spark, str(src), "analytics_events", wh, checkpoint=ckpt)
+    q = ingest_stream(spark, str(src), "analytics_events", wh, checkpoint=ckpt,
+                      max_files_per_batch=1)
     q.awaitTermination(120)
     raw = wh.read("raw_analytics_events")
     assert raw.columns[:3] == ["id", "created_at", "event_name"]
