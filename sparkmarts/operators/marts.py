@@ -8,7 +8,7 @@ approximate. Nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmarts.contracts import (
@@ -167,6 +167,12 @@ def finance(
     )
 
 
+def _window_bucket(day) -> Column:
+    """Index of the RETENTION_DAYS-long period that contains ``day`` (periods since 1970-01-01)."""
+    days = F.datediff(day, F.lit("1970-01-01").cast("date"))
+    return F.floor(days / F.lit(RETENTION_DAYS)).cast("bigint")
+
+
 def retention(stg_organizations: DataFrame, stg_events: DataFrame) -> DataFrame:
     """Cohort retention over days 0..30 after an organisation's creation.
 
@@ -175,13 +181,21 @@ def retention(stg_organizations: DataFrame, stg_events: DataFrame) -> DataFrame:
     counts distinct cohort admins and cohort organisations; a cohort row with no activity in
     the window yields ``day_number = NULL``.
 
-    The activity side is reduced to distinct (admin, day) pairs before the join. The mart only
-    counts distinct cohort-side ids, so this keeps the result while bounding the join input by
-    admins x days instead of by events, and a super-active admin no longer multiplies rows.
-    The join is an equi-join on admin with the window as a residual condition (no cartesian).
+    Plan, built for hot admins (one admin may own a third of all organisations):
+
+    * the activity side is reduced to distinct (admin, day) pairs first (map-side partial
+      aggregation), so events never reach the join; only distinct cohort-side ids are counted,
+      so this keeps the result;
+    * the window join is a bucketed range join. Time is cut into 31-day periods; a cohort
+      window starting in period p lies in periods p and p+1, so every active day is emitted
+      under its own period and the previous one, and each cohort row joins on (admin, p): it
+      meets at most 62 candidate days, never all days of its admin, and a hot admin's rows
+      spread over its periods. Each cohort row is one left-join row, so a row without any
+      active day in its window keeps the NULL day of the left join.
     """
     cohorts = stg_organizations.where(F.col("admin_id").isNotNull()).select(
-        "admin_id", "organization_id", F.col("created_date").alias("cohort_date")
+        "admin_id", "organization_id", F.col("created_date").alias("cohort_date"),
+        _window_bucket(F.col("created_date")).alias("period"),
     )
     active_days = (
         stg_events.where(F.col("admin_id").isNotNull())
@@ -189,12 +203,16 @@ def retention(stg_organizations: DataFrame, stg_events: DataFrame) -> DataFrame:
                 F.col("event_date").alias("activity_date"))
         .distinct()
     )
+    own = _window_bucket(F.col("activity_date"))
+    candidates = active_days.select(
+        "*", F.explode(F.array(own, own - 1)).alias("active_period"))
     in_window = (
         (F.col("active_admin_id") == F.col("admin_id"))
+        & (F.col("active_period") == F.col("period"))
         & (F.col("activity_date") >= F.col("cohort_date"))
         & (F.col("activity_date") < F.date_add(F.col("cohort_date"), RETENTION_DAYS))
     )
-    joined = cohorts.join(active_days, in_window, "left")
+    joined = cohorts.join(candidates, in_window, "left")
     return joined.groupBy(
         "cohort_date",
         F.datediff(F.col("activity_date"), F.col("cohort_date")).cast("bigint").alias("day_number"),
