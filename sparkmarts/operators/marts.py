@@ -25,7 +25,7 @@ from sparkmarts.contracts import (
 )
 from sparkmarts.functions import blank_to, parsed, to_day, to_text
 from sparkmarts.functions.once import with_column_once
-from sparkmarts.operators.staging import players_with_day
+from sparkmarts.operators.staging import players_by_organization, players_with_day
 
 MART_NAMES = (
     "mart_growth_daily",
@@ -234,7 +234,7 @@ def entity_ranking(
     broadcast joins at run time only when the measured side is small. Players and matches with
     a NULL organisation form a group that matches nothing.
     """
-    players = players_with_day(raw_players).groupBy("organization_id").agg(
+    players = players_by_organization(raw_players).groupBy("organization_id").agg(
         F.count(F.lit(1)).alias("players")
     )
     matches = stg_matches.groupBy("organization_id").agg(

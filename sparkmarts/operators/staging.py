@@ -81,4 +81,10 @@ def players_with_day(raw_players: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["players_with_day", "stg_analytics_events", "stg_matches", "stg_organizations"]
+def players_by_organization(raw_players: DataFrame) -> DataFrame:
+    """Players with an id and their organisation as text (no date: nothing to parse)."""
+    return raw_players.where(F.col("id").isNotNull()).select(
+        to_text(F.col("organization_id")).alias("organization_id"))
+
+
+__all__ = ["players_by_organization", "players_with_day", "stg_analytics_events", "stg_matches", "stg_organizations"]
