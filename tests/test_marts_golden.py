@@ -79,8 +79,8 @@ def test_retention_null_day_and_null_cohort(spark, sample):
 
 
 def test_retention_counts_all_orgs_of_an_active_admin(spark, sample):
-    """The join is on the admin only: a second organisation of admin-1 on the same day is
-    active whenever admin-1 is, even without events of its own."""
+    """Activity belongs to the admin, not to the organisation: a second organisation of
+    admin-1 on the same day is active whenever admin-1 is, even without events of its own."""
     from sparkmarts.plans import pipeline
     from sparkmarts.sources.normalize import normalize
 
@@ -132,3 +132,33 @@ def test_finance_club_rules(spark):
         ("x", "league_payment", None, 0.0, 0.0, "ARS"),
         ("y", "league_payment", "approved", 7.0, 7.0, "USD"),
     ], key=repr)
+
+
+def test_retention_window_edges_across_periods(spark):
+    """Cohorts on every offset of a 31-day period (also before 1970, where period numbers are
+    negative), with activity one day before, on, inside, on the last day of and one day after
+    the window: exactly days 0, 15 and 30 count, whatever period boundaries the window crosses."""
+    from datetime import date, timedelta
+
+    from sparkmarts.operators.marts import retention
+    from sparkmarts.operators.staging import stg_analytics_events, stg_organizations
+    from sparkmarts.sources.normalize import normalize
+
+    orgs, events = [], []
+    for base in (date(1969, 11, 1), date(2026, 3, 1)):
+        for r in range(31):
+            c = base + timedelta(days=r)
+            admin = f"a-{base.year}-{r}"
+            orgs.append((f"o-{base.year}-{r}", f"{c} 08:00:00", admin))
+            for k in (-1, 0, 15, 30, 31):
+                events.append((f"e-{admin}-{k}", f"{c + timedelta(days=k)} 09:00:00",
+                               "admin_login_succeeded", admin))
+    o = normalize(spark.createDataFrame(orgs, "id string, created_at string, created_by string"),
+                  "organizations")
+    e = normalize(spark.createDataFrame(events, "id string, created_at string, "
+                                                "event_name string, admin_id string"),
+                  "analytics_events")
+    got = rows(retention(stg_organizations(o), stg_analytics_events(e)))
+    assert sorted({r[1] for r in got}) == [0, 15, 30]
+    assert all(r[2] == 1 and r[3] == 1 for r in got)
+    assert len(got) == 62 * 3
