@@ -13,10 +13,12 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from sparkmarts.session import local_session
 
-    session = local_session(cores=4, shuffle_partitions=4, app="sparkmarts-tests")
+    warehouse = str(tmp_path_factory.mktemp("spark-warehouse"))
+    session = local_session(cores=4, shuffle_partitions=4, app="sparkmarts-tests",
+                            extra={"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
 
