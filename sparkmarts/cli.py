@@ -1,8 +1,10 @@
-"""Command line for spark-submit: extract, build, report.
+"""Command line for spark-submit: extract, build, report, quality.
 
     spark-submit -m sparkmarts extract --jdbc-url URL --schema analytics --warehouse ROOT
     spark-submit -m sparkmarts build --warehouse ROOT
-    spark-submit -m sparkmarts report --warehouse ROOT --start 2026-05-01 --end 2026-05-31 --out DIR
+    spark-submit -m sparkmarts report --warehouse ROOT --start 2026-05-01 --end 2026-05-31 \
+        --out DIR
+    spark-submit -m sparkmarts quality --warehouse ROOT --out DIR
 
 The session comes from the cluster (``getOrCreate``); no setting is overridden here.
 """
@@ -40,7 +42,7 @@ def _properties(path: str | None) -> dict[str, str]:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkmarts")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("extract", "build", "report"):
+    for name in ("extract", "build", "report", "quality"):
         s = sub.add_parser(name)
         target = s.add_mutually_exclusive_group(required=True)
         target.add_argument("--warehouse", help="root folder of the table store")
@@ -56,7 +58,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "report":
             s.add_argument("--start")
             s.add_argument("--end")
-            s.add_argument("--out", required=True, help="folder for one parquet per report")
+        if name in ("report", "quality"):
+            s.add_argument("--out", required=True, help="folder for one parquet per result")
     return p
 
 
@@ -74,12 +77,37 @@ def main(argv: Sequence[str] | None = None) -> list[str]:
         from sparkmarts.plans.pipeline import build_marts
 
         return build_marts(store, write_staging=not args.no_staging)
-    from sparkmarts.operators.reports import dashboard
     from sparkmarts.plans.pipeline import MART_NAMES
 
     marts = {n: store.read(n) for n in MART_NAMES}
+    if args.command == "report":
+        from sparkmarts.operators.reports import dashboard
+
+        results = dashboard(marts, args.start, args.end)
+    else:
+        results = quality_checks(store, marts)
     written = []
-    for name, df in dashboard(marts, args.start, args.end).items():
+    for name, df in results.items():
         df.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
         written.append(name)
     return written
+
+
+def quality_checks(store, marts) -> dict:
+    """Every data-quality check over the stored raw tables and marts, as DataFrames."""
+    from sparkmarts.operators import quality as Q
+    from sparkmarts.operators.staging import stg_analytics_events
+
+    raw = store.read_raw()
+    events = raw["analytics_events"]
+    return {
+        "event_allowlist": Q.event_allowlist_violations(events),
+        "not_null": Q.null_counts(events),
+        "unique_id": Q.duplicate_ids(raw),
+        "orphans": Q.orphan_references(events, {"organizations": raw["organizations"],
+                                                "clubs": raw["clubs"]}),
+        "pii": Q.pii_rows(stg_analytics_events(events)),
+        "finance_domains": Q.finance_domains(marts["mart_finance"]),
+        "finance_totals": Q.finance_totals(marts["mart_finance"]),
+        "non_empty": Q.non_empty(marts),
+    }

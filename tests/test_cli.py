@@ -18,6 +18,11 @@ def test_build_and_report(spark, sample, tmp_path):
     k = spark.read.parquet(f"{out}/kpis").first().asDict()
     assert k == {"total_events": 10, "active_admins": 2, "paid_amount": 36000.0,
                  "finished_matches": 2}
+    dq = str(tmp_path / "quality")
+    checks = main(["quality", "--warehouse", root, "--out", dq])
+    assert len(checks) == 8
+    assert spark.read.parquet(f"{dq}/unique_id").count() == 0
+    assert spark.read.parquet(f"{dq}/finance_totals").first()["paid_amount"] == 36150.0
 
 
 def test_properties_file(tmp_path):
