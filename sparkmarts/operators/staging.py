@@ -87,4 +87,5 @@ def players_by_organization(raw_players: DataFrame) -> DataFrame:
         to_text(F.col("organization_id")).alias("organization_id"))
 
 
-__all__ = ["players_by_organization", "players_with_day", "stg_analytics_events", "stg_matches", "stg_organizations"]
+__all__ = ["players_by_organization", "players_with_day", "stg_analytics_events", "stg_matches",
+           "stg_organizations"]
