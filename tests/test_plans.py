@@ -103,3 +103,11 @@ def test_stored_mart_range_prunes_partitions(spark, sample, tmp_path):
     wh.write_table("mart_growth_daily", growth)
     g = R.in_range(wh.read("mart_growth_daily"), "event_date", date(2026, 5, 3), date(2026, 5, 4))
     assert "event_date" in " ".join(pushed_filters(plan_text(g)))
+
+
+def test_timestamp_text_is_parsed_once(spark):
+    """The parsed timestamp is filtered on and projected; the parse must appear in one operator
+    only (the generator of with_column_once), not copied into the pushed-down filter."""
+    plan = plan_text(QUERIES["stg_analytics_events"](spark, SF_SMALL), "simple")
+    parse_lines = [line for line in plan.splitlines() if "RLIKE(created_at" in line]
+    assert len(parse_lines) == 1 and "Generate" in parse_lines[0]
