@@ -26,8 +26,24 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_documents(encoded, path, pattern).drop("decoded")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op7_token_files import checksums, new_path, read, write
+
+    path = new_path(spark)
+    write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return checksums(read(spark, path))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op8_secrets import digest, scan
+
+    words = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return digest(scan(documents(spark, sf_dir), words))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_prefix_bpe": op3_prefix_bpe}
+    return {"op1_packing": op1_packing, "op3_prefix_bpe": op3_prefix_bpe,
+            "op7_token_files": op7_token_files, "op8_secrets": op8_secrets}
 
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.

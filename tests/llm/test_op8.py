@@ -1,0 +1,69 @@
+import hashlib
+import re
+
+import public_tokenizers as P
+import pytest
+
+from sparkmarts.llm.op8_secrets import GuessCost, digest, redact, scan, spans
+from sparkmarts.llm.queries import op8_secrets
+from tests.llm.helpers import ODD_ROWS, docs_frame
+
+WORDS = P.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def cost():
+    return GuessCost.load(WORDS)
+
+
+def base_spans(text):
+    """The base patterns as the contract states them."""
+    kinds = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+              r"""([A-Za-z0-9+/_.=-]+)""", 2, 12, re.I | re.A), (r"AKIA[A-Z0-9]+", 0, 18, 0),
+             (r"[0-9a-f]+", 0, 16, 0)]
+    return sorted((m.start(), k, m.end()) for k, (p, g, n, flags) in enumerate(kinds)
+                  for m in re.finditer(p, text, flags) if len(m[g]) >= n)
+
+
+def test_costs_order_values_by_guesses(cost):
+    weak = ["password", "changeme", "qwertyuiop", "aaaaaaaaaaaaaaaa", "2019-05-17", "abcabcabcabc"]
+    strong = ["Xk9$mQ2!vL8p", "a8f5f167f44f4964e6c998dee827110c", "7h#Kq!29vZ$w"]
+    assert max(map(cost, weak)) < 30 < 45 < min(map(cost, strong))
+    assert cost("") == 0.0
+
+
+def test_spans_keep_base_matches(cost):
+    for text in ("password = 'abcdefghijkl'", "token=token=abcdefghijklmnop", "secret: token: abcdefghijklm",
+                 "x AKIA" + "Z" * 14 + " " + "0123456789abcdef" * 2, 'API_KEY="short"', "é" * 5 + "passwd:" + "a" * 12):
+        got = [s for s in spans(text, cost, 40.0) if s[1] < 3]
+        assert got == base_spans(text)
+    assert (5, 3, 13) in spans("pwd: Xk9$mQ2! and more", cost, 40.0)
+    assert spans("pwd: password1 and more", cost, 40.0) == []
+
+
+def test_odd_rows_and_redaction(spark):
+    rows = [*ODD_ROWS, (20, "my pwd = Zx9$kL2#qP0w, ok"), (21, "token=0123456789abcdef0123")]
+    df = docs_frame(spark, rows)
+    got = {r.doc_id: r for r in digest(scan(df, WORDS)).collect()}
+    assert got[2].spans == "" and got[20].spans == "guess:9:21"
+    assert got[21].spans == "assign:0:26,hex:6:26,guess:6:26"
+    clean = redact(df, WORDS)
+    assert clean.columns == df.columns
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[20] == "my pwd = [SECRET], ok" and texts[21] == "[SECRET]"
+    assert all(texts[k] == t for k, t in ODD_ROWS)
+    assert scan(df.limit(0), WORDS).count() == 0
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op8_secrets(spark, sf).collect()
+    assert len(got) == len(texts)
+    names = ("assign", "access", "hex")
+    for r in got:
+        want = base_spans(texts[r.doc_id])
+        shown = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in want) for j in range(3)]
+        assert set(filter(None, shown.split(","))) <= set(r.spans.split(","))
