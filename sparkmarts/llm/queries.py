@@ -26,6 +26,12 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_documents(encoded, path, pattern).drop("decoded")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op6_simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), shingle=3, radius=3)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op7_token_files import checksums, new_path, read, write
 
@@ -43,7 +49,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op3_prefix_bpe": op3_prefix_bpe,
-            "op7_token_files": op7_token_files, "op8_secrets": op8_secrets}
+            "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets}
 
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
