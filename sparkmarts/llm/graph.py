@@ -15,7 +15,7 @@ FEW_KEYS = 10_000  # hot keys that are broadcast at most
 
 
 def in_blocks(rows: DataFrame, keys: list[str], spread: Column, limit: int) -> DataFrame:
-    """``rows`` with columns block_a and block_b, so that no (keys, block_a, block_b) is large.
+    """``rows`` with block_a, block_b and own (block), so that no (keys, block_a, block_b) is large.
 
     Rows of a key with more than ``limit`` rows are dealt by ``spread`` over blocks of about that
     size, and each pair of blocks is a group: any two rows of a key meet in at least one group.
@@ -25,13 +25,13 @@ def in_blocks(rows: DataFrame, keys: list[str], spread: Column, limit: int) -> D
     heavy = cut(heavy)
     n = heavy.count()
     if not n:
-        return rows.withColumns({"block_a": F.lit(0), "block_b": F.lit(0)})
+        return rows.withColumns({c: F.lit(0) for c in ("block_a", "block_b", "own")})
     dealt = rows.join(F.broadcast(heavy) if n <= FEW_KEYS else heavy, keys, "left")
     own = F.pmod(spread, F.coalesce("blocks", F.lit(1))).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda other: F.struct(
         F.least(other, F.col("own")).alias("block_a"), F.greatest(other, F.col("own")).alias("block_b")))
     out = dealt.withColumn("own", own).withColumn("pair", F.explode(pairs))
-    return out.select(*rows.columns, "pair.block_a", "pair.block_b")
+    return out.select(*rows.columns, "pair.block_a", "pair.block_b", "own")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int

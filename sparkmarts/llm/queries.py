@@ -12,6 +12,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op1_packing import pack_documents
 
@@ -26,6 +30,13 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_documents(encoded, path, pattern).drop("decoded")
 
 
+def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op4_threshold_search import integer_vectors, top_k
+
+    vectors = integer_vectors(embeddings(spark, sf_dir), scale=64.0)
+    return top_k(vectors, vectors.filter("pmod(id, 20) = 0"), k=20)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op6_simhash import near_duplicates
 
@@ -47,8 +58,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(documents(spark, sf_dir), words))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op10_embedding_dedup import near_duplicates
+
+    return near_duplicates(embeddings(spark, sf_dir), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op3_prefix_bpe": op3_prefix_bpe,
+            "op4_threshold_search": op4_threshold_search,
+            "op10_embedding_dedup": op10_embedding_dedup,
             "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets}
 
 

@@ -1,0 +1,137 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from sparkmarts.llm.op10_embedding_dedup import meeting, near_duplicates, sizes
+from sparkmarts.llm.op4_threshold_search import integer_vectors, threshold_search, top_k
+from sparkmarts.llm.queries import op10_embedding_dedup, op4_threshold_search
+
+INF, NAN = float("inf"), float("nan")
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, t int, key string, score long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, None, None, None, None) for r in rows], SCHEMA)
+
+
+ODD = [(0, [1.0, 0.5], 1), (20, [1.0, 0.5], 1), (40, [-1.0, 2.0], 1), (1, None, 1), (2, [None, 1.0], 1),
+       (3, [NAN, 1.0], 1), (60, [INF, 1.0], 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [2.0, 1.0], None),
+       (7, [2.0, 1.0], 2), (8, [2.01, 1.0], 1), (None, [1.0, 0.5], 1), (9, [1.0, 0.5, 0.0], 1),
+       (8, [2.01, 1.0], 1)]
+
+
+def best(vectors, k=20):
+    out = set()
+    for q, v in vectors.items():
+        if q % 20 == 0:
+            score = lambda w: sum(a * b for a, b in zip(v, w))
+            got = sorted(((-score(w), i) for i, w in vectors.items() if i != q))[:k]
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(got)}
+    return out
+
+
+def integers(rows):
+    return {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v, *_ in rows
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+
+
+def test_threshold_search_stops_early_and_is_exact():
+    draw = np.random.default_rng(0)
+    x = np.round(draw.normal(size=(2000, 3)) * 40)
+    x[5:30] = x[5]  # ties
+    q = np.r_[x[:30], np.zeros((1, 3))]
+    ids = draw.permutation(2000)
+    for (own, got, scores), query in zip(threshold_search(x, ids, q, np.r_[ids[:30], -1], 7), q):
+        all_scores = x @ query
+        order = [i for i in np.lexsort((ids, -all_scores)) if ids[i] != own][:7]
+        assert got.tolist() == ids[order].tolist() and scores.tolist() == all_scores[order].tolist()
+
+
+def test_top_k_of_odd_rows_shards_and_blocks(spark):
+    v = integer_vectors(frame(spark, ODD), 64.0)
+    got = top_k(v, v.filter("pmod(id, 20) = 0"), 20).collect()
+    assert {tuple(r) for r in got} == best(integers(ODD))
+    draw = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in draw.integers(-3, 4, 4)], 1) for i in range(300)]
+    v = integer_vectors(frame(spark, rows), 64.0)
+    got = top_k(v, v.filter("pmod(id, 20) = 0"), 20, shard_rows=50, query_rows=4).collect()
+    assert {tuple(r) for r in got} == best(integers(rows)) and len(got) == 300
+    big = [(0, [1e14, 3.0], 1), (1, [3.0, 1e3], 1), (20, [2.0, 7.0], 1)]
+    v = integer_vectors(frame(spark, big), 1.0)
+    assert {(r.query_id, r.vec_id) for r in top_k(v, v, 1).collect()} == {(0, 1), (1, 0), (20, 0)}
+    empty = integer_vectors(frame(spark, ODD).limit(0), 64.0)
+    assert top_k(empty, empty, 20).count() == 0
+
+
+def test_top_k_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ints = integers(rows)
+    ids = np.array(sorted(ints))
+    x = np.array([ints[i] for i in ids])
+    want = set()
+    for q in ids[ids % 20 == 0]:
+        scores = x @ np.array(ints[q])
+        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
+        want |= {(int(q), r + 1, int(ids[i]), int(scores[i])) for r, i in enumerate(order)}
+    assert {tuple(r) for r in op4_threshold_search(spark, sf).collect()} == want
+
+
+def brute(rows, threshold=0.93):
+    n = len(rows)
+    ok = [i is not None and v is not None and len(v) > 0 and lab is not None and all(
+        x is not None and np.isfinite(x) for x in v) and any(v) for i, v, lab in rows]
+    root, links = list(range(n)), [0] * n
+    find = lambda a: a if root[a] == a else find(root[a])
+    vectors = [np.array(v, np.float32).astype(float) if k else None for k, (_, v, _) in zip(ok, rows)]
+    for a in range(n):
+        for b in range(a):
+            if ok[a] and ok[b] and rows[a][2] == rows[b][2] and len(vectors[a]) == len(vectors[b]):
+                u, w = vectors[a], vectors[b]
+                if u @ w / np.sqrt((u @ u) * (w @ w)) >= threshold:
+                    links[a], links[b] = links[a] + 1, links[b] + 1
+                    root[find(a)] = find(b)
+    least = {}
+    for a in range(n):
+        if rows[a][0] is not None:
+            least[find(a)] = min(least.get(find(a), rows[a][0]), rows[a][0])
+    return sorted(((rows[a][0], links[a], least.get(find(a)), rows[a][0] == least.get(find(a)))
+                   for a in range(n)), key=str)
+
+
+def test_near_duplicates_of_odd_rows_and_split_buckets(spark):
+    got = near_duplicates(frame(spark, ODD)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(ODD)
+    assert near_duplicates(frame(spark, ODD).limit(0)).count() == 0
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(6, 16))
+    rows = [(int(i), [float(x) for x in centres[0 if i % 3 else i % 6] + draw.normal(size=16) * 0.12], int(i % 2))
+            for i in range(400)]
+    want = brute(rows)
+    assert max(r[1] for r in want) > 50
+    got = sorted(map(tuple, near_duplicates(frame(spark, rows), block_rows=16, recall=0.9999).collect()), key=str)
+    assert sum(r[1] for r in got) >= 0.995 * sum(r[1] for r in want)
+    assert all(a[1] <= b[1] for a, b in zip(got, want))
+    one = sorted(map(tuple, near_duplicates(frame(spark, rows), recall=0.9999).collect()), key=str)
+    assert one == got
+
+
+def test_near_duplicates_query_recall(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        "vec_id", "embedding", "label").collect()]
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    links = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(links, False)
+    want = dict(zip([r[0] for r in rows], links.sum(axis=1).tolist()))
+    got = {r.vec_id: r.n_links for r in op10_embedding_dedup(spark, sf).collect()}
+    assert set(got) == set(want)
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_sizes_follow_the_count():
+    assert 0 < meeting(1.4, 2.0) < meeting(0.3, 2.0) < 1
+    a, b = sizes(10_000, 0.93, 0.995, 2.0, 32), sizes(10**9, 0.93, 0.995, 2.0, 32)
+    assert a[0] < b[0] and a[1] < b[1]
