@@ -22,6 +22,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op2_toxicity import fit, held_out, score
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(docs, labels.filter(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted",
+                                     "evidence")
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op3_prefix_bpe import decode_documents, encode_documents
 
@@ -65,7 +75,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_prefix_bpe": op3_prefix_bpe,
+    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_prefix_bpe": op3_prefix_bpe,
             "op4_threshold_search": op4_threshold_search,
             "op10_embedding_dedup": op10_embedding_dedup,
             "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets}
