@@ -68,6 +68,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(documents(spark, sf_dir), words))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op9_line_dedup import dedup_lines, digest
+
+    return digest(dedup_lines(documents(spark, sf_dir), max_edits=2, min_chars=24))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op10_embedding_dedup import near_duplicates
 
@@ -78,7 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_prefix_bpe": op3_prefix_bpe,
             "op4_threshold_search": op4_threshold_search,
             "op10_embedding_dedup": op10_embedding_dedup,
-            "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets}
+            "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets,
+            "op9_line_dedup": op9_line_dedup}
 
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
