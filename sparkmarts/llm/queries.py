@@ -47,6 +47,12 @@ def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("pmod(id, 20) = 0"), k=20)
 
 
+def op5_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op5_run_index import digest, remove_repeats
+
+    return digest(remove_repeats(documents(spark, sf_dir), width=100))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op6_simhash import near_duplicates
 
@@ -82,7 +88,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_prefix_bpe": op3_prefix_bpe,
-            "op4_threshold_search": op4_threshold_search,
+            "op5_run_index": op5_run_index, "op4_threshold_search": op4_threshold_search,
             "op10_embedding_dedup": op10_embedding_dedup,
             "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets,
             "op9_line_dedup": op9_line_dedup}
