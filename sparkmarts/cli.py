@@ -16,6 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from sparkmarts.contracts import SOURCE_TABLES
+
 
 def _store(spark: SparkSession, args):
     from sparkmarts.sources.warehouse import CatalogWarehouse, Warehouse
@@ -53,6 +55,12 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--properties-file")
             s.add_argument("--tables", nargs="*", default=None)
             s.add_argument("--full-refresh", action="store_true")
+            s.add_argument("--split", nargs="*", default=[], type=split_of,
+                           metavar="TABLE=COLUMN,LOWER,UPPER,PARTITIONS",
+                           help="read TABLE in parallel ranges of COLUMN")
+            s.add_argument("--single-task", nargs="*", default=[], metavar="TABLE",
+                           help="tables small enough to be read by one task")
+            s.add_argument("--timeout", type=int, default=60, help="seconds a statement may take")
         if name == "build":
             s.add_argument("--no-staging", action="store_true")
         if name == "report":
@@ -70,8 +78,11 @@ def main(argv: Sequence[str] | None = None) -> list[str]:
     if args.command == "extract":
         from sparkmarts.sources.jdbc import JdbcSource, extract_tables
 
-        source = JdbcSource(args.jdbc_url, args.schema, _properties(args.properties_file))
-        frames = extract_tables(spark, source, args.tables)
+        splits = dict(args.split)
+        check_splits(args.tables or SOURCE_TABLES, splits, args.single_task)
+        source = JdbcSource(args.jdbc_url, args.schema, _properties(args.properties_file),
+                            timeout_seconds=args.timeout)
+        frames = extract_tables(spark, source, args.tables, splits=splits)
         return store.write_raw(frames, full_refresh=args.full_refresh)
     if args.command == "build":
         from sparkmarts.plans.pipeline import build_marts
@@ -93,6 +104,23 @@ def main(argv: Sequence[str] | None = None) -> list[str]:
     return written
 
 
+def split_of(text: str) -> tuple:
+    """("table", JdbcSplit) of ``TABLE=COLUMN,LOWER,UPPER,PARTITIONS``."""
+    from sparkmarts.sources.jdbc import JdbcSplit
+
+    table, _, rest = text.partition("=")
+    column, lower, upper, count = rest.split(",")
+    return table, JdbcSplit(column.strip(), lower.strip(), upper.strip(), int(count))
+
+
+def check_splits(tables, splits, single_task) -> None:
+    """Every table is read in ranges or named as small; a forgotten one would be one long task."""
+    open_tables = [t for t in tables if t not in splits and t not in single_task]
+    if open_tables:
+        raise SystemExit("no --split for " + ", ".join(open_tables)
+                         + "; give one, or list the table under --single-task")
+
+
 def quality_checks(store, marts) -> dict:
     """Every data-quality check over the stored raw tables and marts, as DataFrames."""
     from sparkmarts.operators import quality as Q

@@ -7,7 +7,6 @@ not logic, and are listed in their natural order.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -37,68 +36,114 @@ class TableSpec:
         return f"raw_{self.name}"
 
 
-_TYPES = {
-    "VARCHAR": T.StringType(),
-    "TIMESTAMP": T.TimestampNTZType(),
-    "BOOLEAN": T.BooleanType(),
-    "BIGINT": T.LongType(),
-    "DOUBLE": T.DoubleType(),
-}
+TEXT, TIME, FLAG = T.StringType(), T.TimestampNTZType(), T.BooleanType()
+WHOLE, REAL = T.LongType(), T.DoubleType()
 
 
-def _spec(name: str, columns: str, json_columns: tuple[str, ...] = ()) -> TableSpec:
-    """Build a spec from ``"col TYPE, col, ..."``; a column without a type is VARCHAR."""
-    fields = []
-    for item in columns.split(","):
-        parts = item.split()
-        sql_type = parts[1] if len(parts) > 1 else "VARCHAR"
-        fields.append(T.StructField(parts[0], _TYPES[sql_type], True))
-    return TableSpec(name, T.StructType(fields), json_columns)
+def _columns(**types: T.DataType) -> T.StructType:
+    """Nullable columns in the order given."""
+    return T.StructType([T.StructField(name, kind, True) for name, kind in types.items()])
 
 
 # --- fixed values: the eleven source table contracts (name, columns in order, types) ---
 SOURCE_TABLES: dict[str, TableSpec] = {
-    s.name: s
-    for s in (
-        _spec(
-            "analytics_events",
-            "id, created_at TIMESTAMP, event_name, source, admin_id, organization_id, club_id, "
-            "league_id, entity_type, entity_id, path, properties",
-            json_columns=("properties",),
-        ),
-        _spec("admins", "id, created_at TIMESTAMP, display_name"),
-        _spec("organizations",
-              "id, created_at TIMESTAMP, created_by, name, slug, is_public BOOLEAN"),
-        _spec("organization_admins", "id, created_at TIMESTAMP, organization_id, admin_id, role"),
-        _spec("players", "id, created_at TIMESTAMP, organization_id, active BOOLEAN"),
-        _spec(
-            "matches",
-            "id, created_at TIMESTAMP, created_by, organization_id, status, modality, "
-            "scheduled_at TIMESTAMP, finished_at TIMESTAMP",
-        ),
-        _spec("clubs",
-              "id, created_at TIMESTAMP, created_by, name, slug, status, is_public BOOLEAN"),
-        _spec(
-            "club_matches",
-            "id, created_at TIMESTAMP, created_by, club_id, status, played_at TIMESTAMP, "
-            "field_cost_cents BIGINT",
-        ),
-        _spec(
-            "club_match_payments",
-            "id, created_at TIMESTAMP, match_id, expected_cents BIGINT, paid_cents BIGINT, "
-            "paid_at TIMESTAMP",
-        ),
-        _spec(
-            "tournament_billing_payments",
-            "id, created_at TIMESTAMP, admin_id, created_tournament_id, amount DOUBLE, "
-            "currency_id, status, approved_at TIMESTAMP",
-        ),
-        _spec(
-            "league_billing_payments",
-            "id, created_at TIMESTAMP, admin_id, created_league_id, amount DOUBLE, currency_id, "
-            "status, purpose, approved_at TIMESTAMP",
-        ),
-    )
+    "analytics_events": TableSpec("analytics_events", _columns(
+        id=TEXT,
+        created_at=TIME,
+        event_name=TEXT,
+        source=TEXT,
+        admin_id=TEXT,
+        organization_id=TEXT,
+        club_id=TEXT,
+        league_id=TEXT,
+        entity_type=TEXT,
+        entity_id=TEXT,
+        path=TEXT,
+        properties=TEXT,
+    ), json_columns=("properties",)),
+    "admins": TableSpec("admins", _columns(
+        id=TEXT,
+        created_at=TIME,
+        display_name=TEXT,
+    )),
+    "organizations": TableSpec("organizations", _columns(
+        id=TEXT,
+        created_at=TIME,
+        created_by=TEXT,
+        name=TEXT,
+        slug=TEXT,
+        is_public=FLAG,
+    )),
+    "organization_admins": TableSpec("organization_admins", _columns(
+        id=TEXT,
+        created_at=TIME,
+        organization_id=TEXT,
+        admin_id=TEXT,
+        role=TEXT,
+    )),
+    "players": TableSpec("players", _columns(
+        id=TEXT,
+        created_at=TIME,
+        organization_id=TEXT,
+        active=FLAG,
+    )),
+    "matches": TableSpec("matches", _columns(
+        id=TEXT,
+        created_at=TIME,
+        created_by=TEXT,
+        organization_id=TEXT,
+        status=TEXT,
+        modality=TEXT,
+        scheduled_at=TIME,
+        finished_at=TIME,
+    )),
+    "clubs": TableSpec("clubs", _columns(
+        id=TEXT,
+        created_at=TIME,
+        created_by=TEXT,
+        name=TEXT,
+        slug=TEXT,
+        status=TEXT,
+        is_public=FLAG,
+    )),
+    "club_matches": TableSpec("club_matches", _columns(
+        id=TEXT,
+        created_at=TIME,
+        created_by=TEXT,
+        club_id=TEXT,
+        status=TEXT,
+        played_at=TIME,
+        field_cost_cents=WHOLE,
+    )),
+    "club_match_payments": TableSpec("club_match_payments", _columns(
+        id=TEXT,
+        created_at=TIME,
+        match_id=TEXT,
+        expected_cents=WHOLE,
+        paid_cents=WHOLE,
+        paid_at=TIME,
+    )),
+    "tournament_billing_payments": TableSpec("tournament_billing_payments", _columns(
+        id=TEXT,
+        created_at=TIME,
+        admin_id=TEXT,
+        created_tournament_id=TEXT,
+        amount=REAL,
+        currency_id=TEXT,
+        status=TEXT,
+        approved_at=TIME,
+    )),
+    "league_billing_payments": TableSpec("league_billing_payments", _columns(
+        id=TEXT,
+        created_at=TIME,
+        admin_id=TEXT,
+        created_league_id=TEXT,
+        amount=REAL,
+        currency_id=TEXT,
+        status=TEXT,
+        purpose=TEXT,
+        approved_at=TIME,
+    )),
 }
 
 # --- fixed values: tables that must never be extracted or landed ---
@@ -162,13 +207,15 @@ RETENTION_DAYS = 31
 ANONYMOUS_ADMIN = "anonymous"
 UNKNOWN_SOURCE = "unknown"
 
-_IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
-
-
 def check_identifier(identifier: str) -> str:
-    """Return ``identifier`` if it is a plain SQL identifier, else raise ``ValueError``."""
-    if not isinstance(identifier, str) or not _IDENTIFIER.match(identifier):
-        raise ValueError(f"Invalid SQL identifier: {identifier!r}")
+    """``identifier`` itself, if it is safe to put into SQL text and paths.
+
+    Safe names are ASCII letters, digits and underscores, not starting with a digit; anything
+    else (line ends too) raises ``ValueError``.
+    """
+    safe = isinstance(identifier, str) and identifier.isascii() and identifier.isidentifier()
+    if not safe:
+        raise ValueError(f"not a plain table or column name: {identifier!r}")
     return identifier
 
 

@@ -125,13 +125,22 @@ def json_text(column: Column, dtype: T.DataType) -> Column:
         return F.coalesce(column, F.lit("{}"))
     if isinstance(dtype, T.NullType):
         return F.lit("{}")
-    return F.coalesce(F.to_json(_sorted_keys(column, dtype), {"ignoreNullFields": "false"}),
-                      F.lit("{}"))
+    if isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
+        shown = F.to_json(_sorted_keys(column, dtype), {"ignoreNullFields": "false"})
+    else:  # to_json takes no scalars: the value is the one element of an array
+        inner = F.to_json(F.array(column), {"ignoreNullFields": "false"})
+        shown = F.when(column.isNotNull(), F.substring(inner, F.lit(2), F.length(inner) - 2))
+    return F.coalesce(shown, F.lit("{}"))
 
 
 def _sorted_keys(column: Column, dtype: T.DataType) -> Column:
+    """``column`` with the keys of its objects in order, at every depth."""
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(column, lambda item: _sorted_keys(item, dtype.elementType))
     if isinstance(dtype, T.MapType):
-        return F.map_from_entries(F.array_sort(F.map_entries(column)))
+        ordered = F.array_sort(F.map_keys(column))
+        return F.map_from_arrays(ordered, F.transform(
+            ordered, lambda key: _sorted_keys(column[key], dtype.valueType)))
     if isinstance(dtype, T.StructType):
         fields = sorted(dtype.fields, key=lambda f: f.name)
         rebuilt = F.struct(*[_sorted_keys(column[f.name], f.dataType).alias(f.name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_column_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
@@ -18,3 +19,14 @@ def with_column_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     still pruned from the scan.
     """
     return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
+def with_parsed(df: DataFrame, name: str, source: str, expr: Column) -> DataFrame:
+    """``df`` plus ``name`` = ``expr``, the parsed form of column ``source``.
+
+    Text is parsed once (see ``with_column_once``). A column that has its type already is only
+    renamed: a plain projection, through which filters reach the scan.
+    """
+    if isinstance(df.schema[source].dataType, T.StringType):
+        return with_column_once(df, name, expr)
+    return df.withColumn(name, expr)

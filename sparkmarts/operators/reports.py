@@ -14,7 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmarts.operators.ordering import ordered
+from sparkmarts.operators.ordering import ordered, ordered_spread
 
 MONEY_DIGITS = 2
 TOP_N = 20
@@ -110,7 +110,7 @@ def growth_series(growth: DataFrame) -> DataFrame:
 
 def growth_detail(growth: DataFrame) -> DataFrame:
     """Growth rows, latest day first and busiest row first within a day."""
-    return ordered(growth, ("-event_date", "-events"))
+    return ordered_spread(growth, ("-event_date", "-events"))
 
 
 def usage_by_day(usage: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def finance_by_flow(finance: DataFrame, money_digits: int | None = MONEY_DIGITS)
 
 def finance_detail(finance: DataFrame) -> DataFrame:
     """Payments, latest day first."""
-    return ordered(finance, ("-payment_date",))
+    return ordered_spread(finance, ("-payment_date",))
 
 
 def ranking_top(ranking: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -153,19 +153,18 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """Every report of the dashboard for the range [start, end].
 
-    A missing bound falls back to the growth mart's first or last day (one aggregate row is
+    Unless both bounds are given, the growth mart's full range counts (one aggregate row is
     fetched to the driver for that). Retention and ranking are not date-filtered.
     """
     growth_all = marts["mart_growth_daily"]
     if start is None or end is None:
-        lo, hi = default_range(growth_all)
-        start = lo if start is None else start
-        end = hi if end is None else end
+        start, end = default_range(growth_all)
     growth = in_range(growth_all, "event_date", start, end)
     usage = in_range(marts["mart_admin_usage"], "event_date", start, end)
     activity = in_range(marts["mart_product_activity"], "activity_date", start, end)
     fin = in_range(marts["mart_finance"], "payment_date", start, end)
     return {
+        "date_bounds": date_bounds(growth_all),
         "kpis": kpis(growth, usage, activity, fin),
         "events_by_stage": events_by_stage(growth),
         "finance_by_status": finance_by_status(fin),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkmarts.contracts import UNKNOWN_SOURCE
 from sparkmarts.functions import blank_to, funnel_stage, parsed, to_day, to_text
-from sparkmarts.functions.once import with_column_once
+from sparkmarts.functions.once import with_parsed
 
 
 def stg_analytics_events(raw_events: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def stg_analytics_events(raw_events: DataFrame) -> DataFrame:
     passthrough = ["admin_id", "organization_id", "club_id", "league_id", "entity_type",
                    "entity_id", "path", "properties"]
     named = raw_events.where(F.col("event_name").isNotNull())
-    timed = with_column_once(named, "_event_at", parsed(raw_events, "created_at", "timestamp"))
+    timed = with_parsed(named, "_event_at", "created_at", parsed(raw_events, "created_at", "timestamp"))
     event_at = F.col("_event_at")
     return timed.where(event_at.isNotNull()).select(
         to_text(F.col("id")).alias("id"),
@@ -40,8 +40,8 @@ def stg_analytics_events(raw_events: DataFrame) -> DataFrame:
 def stg_organizations(raw_organizations: DataFrame) -> DataFrame:
     """One row per organisation with an id; an unparseable creation time stays as NULL."""
     is_public = parsed(raw_organizations, "is_public", "boolean")
-    # marts filter on the creation day, so the parse is emitted once (see with_column_once)
-    dated = with_column_once(raw_organizations.where(F.col("id").isNotNull()), "_created_at",
+    # marts filter on the creation day, so the parse is emitted once (see with_parsed)
+    dated = with_parsed(raw_organizations.where(F.col("id").isNotNull()), "_created_at", "created_at",
                              parsed(raw_organizations, "created_at", "timestamp"))
     created_at = F.col("_created_at")
     return dated.select(
@@ -73,7 +73,7 @@ def stg_matches(raw_matches: DataFrame) -> DataFrame:
 
 def players_with_day(raw_players: DataFrame) -> DataFrame:
     """Players with an id, their organisation as text and their creation day (may be NULL)."""
-    dated = with_column_once(raw_players.where(F.col("id").isNotNull()), "_created_at",
+    dated = with_parsed(raw_players.where(F.col("id").isNotNull()), "_created_at", "created_at",
                              parsed(raw_players, "created_at", "timestamp"))
     return dated.select(
         to_text(F.col("organization_id")).alias("organization_id"),
