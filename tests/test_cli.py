@@ -16,13 +16,13 @@ def test_build_and_report(spark, sample, tmp_path):
     written = main(["report", "--warehouse", root, "--out", out])
     assert "kpis" in written and "ranking_top" in written
     k = spark.read.parquet(f"{out}/kpis").first().asDict()
-    assert k == {"total_events": 10, "active_admins": 2, "paid_amount": 36000.0,
-                 "finished_matches": 2}
+    assert k == {"total_events": 11, "active_admins": 3, "paid_amount": 7250.5,
+                 "finished_matches": 3}
     dq = str(tmp_path / "quality")
     checks = main(["quality", "--warehouse", root, "--out", dq])
     assert len(checks) == 8
     assert spark.read.parquet(f"{dq}/unique_id").count() == 0
-    assert spark.read.parquet(f"{dq}/finance_totals").first()["paid_amount"] == 36150.0
+    assert spark.read.parquet(f"{dq}/finance_totals").first()["paid_amount"] == 7275.51
 
 
 def test_properties_file(tmp_path):
@@ -30,3 +30,27 @@ def test_properties_file(tmp_path):
     f.write_text("# comment\nuser = reader\npassword=s3cr=t\n\n")
     assert _properties(str(f)) == {"user": "reader", "password": "s3cr=t"}
     assert _properties(None) == {}
+
+
+def test_extract_needs_a_split_or_a_small_table():
+    import pytest
+
+    from sparkmarts.cli import check_splits, parser
+
+    args = parser().parse_args([
+        "extract", "--jdbc-url", "u", "--schema", "s", "--warehouse", "w", "--timeout", "900",
+        "--split", "players=created_at,2025-01-01,2026-01-01,64", "--single-task", "clubs"])
+    split = dict(args.split)["players"].options()
+    assert split["numPartitions"] == "64" and split["lowerBound"] == "2025-01-01"
+    assert args.timeout == 900
+    check_splits(["players", "clubs"], dict(args.split), args.single_task)
+    with pytest.raises(SystemExit, match="matches"):
+        check_splits(["players", "matches"], dict(args.split), args.single_task)
+
+
+def test_report_and_quality_of_an_empty_product(spark, tmp_path):
+    root = str(tmp_path / "empty")
+    main(["build", "--warehouse", root])
+    main(["report", "--warehouse", root, "--out", str(tmp_path / "r")])
+    main(["quality", "--warehouse", root, "--out", str(tmp_path / "q")])
+    assert spark.read.parquet(str(tmp_path / "r" / "kpis")).first()["total_events"] == 0

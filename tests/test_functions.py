@@ -55,7 +55,7 @@ def test_marts_only_expect_allowed_events():
 def test_identifier_guard():
     assert quote_identifier("public") == '"public"'
     assert check_identifier("_a1") == "_a1"
-    for bad in ["1abc", "a-b", "a;drop", "", "a b", 'a"']:
+    for bad in ["1abc", "a-b", "a;drop", "", "a b", 'a"', "abc\n", "é"]:
         with pytest.raises(ValueError):
             check_identifier(bad)
 
@@ -134,3 +134,17 @@ def test_email_like(spark):
     df = one_col(spark, ['{"contact": "ana@example.org"}', '{"n": 1}', "a@b", "x @y.z", None])
     got = [r[0] for r in df.select(email_like(F.col("v"))).collect()]
     assert got == [True, False, False, False, None]
+
+
+def test_json_text_sorts_keys_at_every_depth_and_takes_scalars(spark):
+    from pyspark.sql import functions as F
+
+    from sparkmarts.functions.casts import json_text
+
+    df = spark.sql("""select named_struct('b', array(named_struct('d', 1, 'c', null)),
+        'a', map('z', map('y', 1, 'x', 2), 'k', null)) as deep, 7L as whole, true as flag,
+        'plain' as text, cast(null as bigint) as none, cast(null as array<int>) as nothing""")
+    got = df.select([json_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
+    assert got["deep"] == '{"a":{"k":null,"z":{"x":2,"y":1}},"b":[{"c":null,"d":1}]}'
+    assert (got["whole"], got["flag"], got["text"]) == ("7", "true", "plain")
+    assert (got["none"], got["nothing"]) == ("{}", "{}")

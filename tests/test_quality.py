@@ -14,7 +14,7 @@ def dirty_events(spark, sample):
             ("x1", "2026-05-06T10:00:00Z", "not_allowed", "server", "org-404", None,
              '{"email": "someone@example.com"}'),
             ("x1", "2026-05-06T10:05:00Z", "cta_clicked", None, "org-404", "club-9", None),
-            (None, None, None, "", "org-1", "club-1", '{"ok": 1}'),
+            (None, None, None, "", "g-north", "club-s", '{"ok": 1}'),
         ],
         "id string, created_at string, event_name string, source string, "
         "organization_id string, club_id string, properties string")
@@ -25,7 +25,7 @@ def test_clean_fixture_has_no_findings(sample, sample_marts):
     ev = sample["analytics_events"]
     assert Q.event_allowlist_violations(ev).count() == 0
     nulls = Q.null_counts(ev).first().asDict()
-    assert nulls["total_rows"] == 10 and sum(v for k, v in nulls.items() if k != "total_rows") == 0
+    assert nulls["total_rows"] == 12 and sum(v for k, v in nulls.items() if k != "total_rows") == 0
     assert Q.duplicate_ids(sample).count() == 0
     assert Q.orphan_references(ev, {"organizations": sample["organizations"],
                                     "clubs": sample["clubs"]}).count() == 0
@@ -33,7 +33,7 @@ def test_clean_fixture_has_no_findings(sample, sample_marts):
     assert Q.pii_hits(stg).first()["pii_hits"] == 0
     assert bag(Q.finance_domains(sample_marts["mart_finance"])) == [
         ("club_match", True, True), ("league", True, True), ("tournament", True, True)]
-    assert rows(Q.finance_totals(sample_marts["mart_finance"])) == [(5, 36300.0, 36150.0)]
+    assert rows(Q.finance_totals(sample_marts["mart_finance"])) == [(6, 12325.5, 7275.51)]
     assert bag(Q.non_empty(sample_marts)) == [("mart_admin_usage", True),
                                               ("mart_entity_ranking", True),
                                               ("mart_growth_daily", True)]
@@ -45,7 +45,7 @@ def test_seeded_violations(spark, sample):
     nulls = Q.null_counts(ev).first().asDict()
     # the missing properties value was normalised to '{}', so it is not NULL any more
     assert {k: v for k, v in nulls.items() if v} == {
-        "total_rows": 13, "id_nulls": 1, "created_at_nulls": 1, "event_name_nulls": 1,
+        "total_rows": 15, "id_nulls": 1, "created_at_nulls": 1, "event_name_nulls": 1,
         "source_nulls": 1}
     assert rows(Q.duplicate_keys(ev, "id")) == [("x1", 2)]
     orphans = bag(Q.orphan_references(ev, {"organizations": sample["organizations"],
@@ -73,6 +73,6 @@ def test_forbidden_findings(sample_marts):
 
 def test_reconcile_totals(sample_marts):
     fin = sample_marts["mart_finance"]
-    ok = Q.reconcile_totals(fin, 36300.0, 36150.0).first()
-    assert ok["reconciled"] and (ok["expected_amount"], ok["paid_amount"]) == (36300.0, 36150.0)
-    assert not Q.reconcile_totals(fin, 36300.0, 36000.0).first()["reconciled"]
+    ok = Q.reconcile_totals(fin, 12325.5, 7275.51).first()
+    assert ok["reconciled"] and (ok["expected_amount"], ok["paid_amount"]) == (12325.5, 7275.51)
+    assert not Q.reconcile_totals(fin, 12325.5, 7000.0).first()["reconciled"]

@@ -9,13 +9,17 @@ from tests.conftest import bag, rows
 
 
 def test_default_range_and_kpis(sample_marts):
-    assert R.default_range(sample_marts["mart_growth_daily"]) == (date(2026, 5, 3),
-                                                                  date(2026, 5, 12))
+    assert R.default_range(sample_marts["mart_growth_daily"]) == (date(2025, 9, 1),
+                                                                  date(2025, 10, 1))
     dash = R.dashboard(sample_marts)
     k = dash["kpis"].first().asDict()
-    # payments of 05-14 lie outside the growth mart's range, so 36000 and not 36150
-    assert k == {"total_events": 10, "active_admins": 2, "paid_amount": 36000.0,
-                 "finished_matches": 2}
+    # payments of 2 October lie outside the growth mart's range
+    assert k == {"total_events": 11, "active_admins": 3, "paid_amount": 7250.5,
+                 "finished_matches": 3}
+    bounds = dash["date_bounds"].first()
+    assert tuple(bounds) == (date(2025, 9, 1), date(2025, 10, 1))
+    half = R.dashboard(sample_marts, start=date(2025, 9, 22))["kpis"].first().asDict()
+    assert half == k  # an incomplete range counts as the full one
 
 
 def test_kpis_empty_range_is_zero(sample_marts):
@@ -27,18 +31,18 @@ def test_kpis_empty_range_is_zero(sample_marts):
 def test_events_by_stage(sample_marts):
     dash = R.dashboard(sample_marts)
     assert dict(rows(dash["events_by_stage"])) == {
-        "acquisition": 2, "activation": 2, "product": 2, "referral": 1, "retention": 2,
+        "acquisition": 2, "activation": 2, "product": 1, "referral": 1, "retention": 4,
         "revenue": 1}
 
 
 def test_full_range_finance(sample_marts):
-    dash = R.dashboard(sample_marts, "2026-05-01", "2026-05-31")
-    assert dash["kpis"].first()["paid_amount"] == 36150.0
+    dash = R.dashboard(sample_marts, "2025-09-01", "2025-10-31")
+    assert dash["kpis"].first()["paid_amount"] == 7275.51
     by_status = dict((r[0], (r[1], r[2])) for r in rows(dash["finance_by_status"]))
-    assert by_status == {"approved": (36000.0, 36000.0), "paid": (100.0, 100.0),
-                         "partial": (100.0, 50.0), "pending": (100.0, 0.0)}
+    assert by_status == {"approved": (7250.5, 7250.5), "paid": (25.0, 25.0),
+                         "partial": (25.0, 0.01), "pending": (925.0, 0.0), "rejected": (4100.0, 0.0)}
     by_flow = {(r[0], r[1]): (r[2], r[3]) for r in rows(dash["finance_by_flow"])}
-    assert by_flow[("club_match", "field_cost_collection")] == (300.0, 150.0)
+    assert by_flow[("club_match", "field_cost_collection")] == (75.0, 25.01)
 
 
 def test_finance_by_status_drops_null_status(spark):
@@ -50,11 +54,11 @@ def test_finance_by_status_drops_null_status(spark):
 
 def test_usage_by_day_and_series(sample_marts):
     dash = R.dashboard(sample_marts)
-    assert sorted(rows(dash["usage_by_day"])) == [(date(2026, 5, 5), 1, 1),
-                                                (date(2026, 5, 12), 1, 1)]
+    assert sorted(rows(dash["usage_by_day"])) == [(date(2025, 9, 3), 2, 1),
+                                                (date(2025, 9, 22), 2, 2)]
     series = bag(dash["growth_series"])
-    assert (date(2026, 5, 3), "acquisition", 2) in series
-    assert len(bag(dash["retention_series"])) == 5
+    assert (date(2025, 9, 1), "acquisition", 2) in series
+    assert len(bag(dash["retention_series"])) == 7
 
 
 def test_growth_detail_order(sample_marts):
@@ -81,9 +85,9 @@ def test_ranking_top_ties_and_limit(spark):
 
 
 def test_in_range_is_inclusive(sample_marts):
-    g = R.in_range(sample_marts["mart_growth_daily"], "event_date", date(2026, 5, 5),
-                   date(2026, 5, 5))
-    assert g.count() == 3
+    g = R.in_range(sample_marts["mart_growth_daily"], "event_date", date(2025, 9, 3),
+                   date(2025, 9, 3))
+    assert g.count() == 2
 
 
 def test_dashboard_on_empty_marts(spark, sample_marts):

@@ -26,9 +26,9 @@ from sparkmarts.sources.jdbc import (
     time_slice_predicates,
 )
 from sparkmarts.sources.normalize import empty_frame, normalize
-from sparkmarts.sources.warehouse import Warehouse
+from sparkmarts.sources.warehouse import IncompleteTableError, Warehouse, built_schema
 from tests.conftest import bag
-from tests.fixtures import GOLDEN
+from tests.fixtures import GOLDEN, MART_COLUMNS
 
 
 def test_normalize_adds_drops_and_orders(spark):
@@ -111,7 +111,7 @@ def test_build_marts_end_to_end(spark, sample, tmp_path):
 
     q = wh.query("SELECT funnel_stage, SUM(events) AS events FROM {mart_growth_daily} "
                  "WHERE event_date BETWEEN :start AND :end GROUP BY funnel_stage",
-                 {"start": date(2026, 5, 3), "end": date(2026, 5, 4)})
+                 {"start": date(2025, 9, 1), "end": date(2025, 9, 2)})
     assert sorted(tuple(r) for r in q.collect()) == [("acquisition", 2), ("activation", 2)]
     # date-keyed marts are stored one folder per date, so report filters prune partitions
     assert any(p.startswith("payment_date=") for p in os.listdir(tmp_path / "wh2" / "mart_finance"))
@@ -120,11 +120,40 @@ def test_build_marts_end_to_end(spark, sample, tmp_path):
 
 def test_build_marts_creates_missing_raw(spark, tmp_path):
     wh = Warehouse(spark, str(tmp_path / "wh3"))
-    pipeline.build_marts(wh, write_staging=False)
-    assert wh.read("mart_growth_daily").count() == 0
+    pipeline.build_marts(wh)
+    for name in (*pipeline.STAGING_NAMES, *pipeline.MART_NAMES):
+        assert wh.exists(name) and wh.read(name).count() == 0
+        assert wh.read(name).schema == built_schema(name)
     assert wh.read("raw_analytics_events").schema == SOURCE_TABLES["analytics_events"].schema
 
 
+def test_stored_marts_keep_schema_and_column_order(spark, sample, tmp_path):
+    wh = Warehouse(spark, str(tmp_path / "wh4"))
+    some = {k: v for k, v in sample.items() if "payments" not in k}
+    wh.write_raw(some)
+    pipeline.build_marts(wh)
+    assert wh.read("mart_finance").count() == 0
+    lazy = pipeline.marts(wh.read_raw())
+    for name in pipeline.MART_NAMES:
+        assert wh.read(name).columns == lazy[name].columns == list(MART_COLUMNS[name])
+        assert wh.read(name).schema == built_schema(name)
+
+
+def test_unfinished_tables_are_neither_read_nor_replaced(spark, sample, tmp_path):
+    wh = Warehouse(spark, str(tmp_path / "wh5"))
+    wh.write_raw(sample)
+    left = tmp_path / "wh5" / "raw_matches"
+    (left / "_SUCCESS").unlink()
+    files = sorted(p.name for p in left.iterdir())
+    for act in (lambda: wh.exists("raw_matches"), lambda: wh.read("raw_matches"), wh.ensure_raw,
+                wh.read_raw, lambda: pipeline.build_marts(wh)):
+        with pytest.raises(IncompleteTableError):
+            act()
+    assert sorted(p.name for p in left.iterdir()) == files
+    with pytest.raises(ValueError):
+        wh.read("mart_finance")
+
+
 def GOLDEN_COLUMNS(name):
     from tests.fixtures import MART_COLUMNS
 
