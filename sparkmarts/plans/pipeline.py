@@ -77,9 +77,3 @@ def build_marts(warehouse, write_staging: bool = True) -> list[str]:
     for name, df in marts(raw, staged).items():
         warehouse.write_table(name, df)
     return list(MART_NAMES)
-
-
-def extract_to_warehouse(frames: Mapping[str, DataFrame], warehouse,
-                         full_refresh: bool = False) -> list[str]:
-    """Land extracted source frames as raw tables (see ``Warehouse.write_raw``)."""
-    return warehouse.write_raw(frames, full_refresh=full_refresh)

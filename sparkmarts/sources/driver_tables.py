@@ -9,7 +9,6 @@ numeric columns) so that the defensive typing of staging is exercised at every s
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 from functools import partial
 
@@ -191,33 +190,10 @@ def raw_club_match_payments(lineitem: DataFrame) -> DataFrame:
     return normalize(df, "club_match_payments")
 
 
-_SCHEMAS: dict[tuple[str, float], T.StructType] = {}
-
-
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan of ``path``; its schema is inferred once per file version.
-
-    Schema inference reads parquet footers on the driver every time a scan is defined; the test
-    tables are fixed files, so the inferred schema is remembered per (path, modification time)
-    and passed to later reads. Files are still listed afresh on every read, and a changed file
-    gets a new modification time and is inferred again.
-    """
-    try:
-        key = (path, os.path.getmtime(path))
-    except OSError:
-        return spark.read.parquet(path)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
 def read_driver_tables(spark: SparkSession, sf_dir: str) -> LazyFrames:
     """Parquet scans of the driver tables the mapping needs (defined on first use)."""
     root = sf_dir.rstrip("/")
-    return LazyFrames({t: partial(_scan, spark, f"{root}/{t}.parquet") for t in DRIVER_TABLES})
+    return LazyFrames({t: partial(spark.read.parquet, f"{root}/{t}.parquet") for t in DRIVER_TABLES})
 
 
 _MAPPING = {

@@ -12,12 +12,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkmarts.contracts import SOURCE_TABLES, check_identifier, quote_identifier, spec_for
 from sparkmarts.sources.normalize import empty_frame, normalize
 
 STATEMENT_TIMEOUT_SECONDS = 60
+UNDEFINED_TABLE = frozenset({"42P01", "42S02"})
 
 
 @dataclass(frozen=True)
@@ -93,18 +95,27 @@ def qualified_table(source: JdbcSource, table: str) -> str:
 
 
 def existing_columns(spark: SparkSession, source: JdbcSource, table: str) -> set[str]:
-    """Column names of ``table`` in the source schema; empty when the table is absent.
+    """Columns of ``table`` as the JDBC relation resolves them; empty when the table is absent.
 
-    One small catalog query; both names pass the identifier guard before they are quoted.
+    Spark asks the driver for the relation's schema, which works for any database. Only the
+    standard's "undefined table" states count as absent; any other error is raised.
     """
-    name = spec_for(table).name
-    query = (
-        "SELECT column_name FROM information_schema.columns "
-        f"WHERE table_schema = '{check_identifier(source.schema)}' "
-        f"AND table_name = '{check_identifier(name)}'"
-    )
-    cols = spark.read.format("jdbc").options(**reader_options(source)).option("query", query)
-    return {row[0] for row in cols.load().collect()}
+    relation = spark.read.format("jdbc").options(**reader_options(source))
+    try:
+        return set(relation.option("dbtable", qualified_table(source, table)).load().columns)
+    except Py4JJavaError as error:
+        if sql_state(error.java_exception) in UNDEFINED_TABLE:
+            return set()
+        raise
+
+
+def sql_state(error) -> str | None:
+    """SQL state of a Java exception or of the first of its causes that has one."""
+    while error is not None:
+        if hasattr(error, "getSQLState") and "SQL" in error.getClass().getName():
+            return error.getSQLState()
+        error = error.getCause()
+    return None
 
 
 def read_table(

@@ -17,9 +17,10 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkmarts.contracts import SOURCE_TABLES, check_identifier
-from sparkmarts.operators.ordering import MART_ORDER, sort_keys
+from sparkmarts.operators.ordering import MART_ORDER, ordered_spread, sort_keys
 from sparkmarts.sources.normalize import empty_frame, normalize
 
 # --- fixed values: physical layout of each built table (partition column, in-file sort) ---
@@ -36,6 +37,49 @@ TABLE_LAYOUT: dict[str, tuple[str | None, tuple[str, ...]]] = {
 }
 RUN_LOG = "etl_runs"
 
+# --- fixed values: columns of each built table, in order (a table without rows has no file to
+# --- infer them from, and partition columns would be read back last) ---
+BUILT_TABLES: dict[str, str] = {
+    "stg_analytics_events": (
+        "id string, event_at timestamp_ntz, event_date date, event_name string, source string, "
+        "admin_id string, organization_id string, club_id string, league_id string, "
+        "entity_type string, entity_id string, path string, properties string, "
+        "funnel_stage string"),
+    "stg_organizations": (
+        "organization_id string, created_at timestamp_ntz, created_date date, admin_id string, "
+        "organization_name string, organization_slug string, is_public boolean"),
+    "stg_matches": (
+        "match_id string, created_at timestamp_ntz, created_date date, admin_id string, "
+        "organization_id string, status string, modality string, scheduled_at timestamp_ntz, "
+        "finished_at timestamp_ntz"),
+    "mart_growth_daily": (
+        "event_date date, source string, funnel_stage string, event_name string, events bigint, "
+        "admins bigint, organizations bigint"),
+    "mart_admin_usage": (
+        "event_date date, admin_id string, login_events bigint, first_login_at timestamp_ntz, "
+        "last_login_at timestamp_ntz"),
+    "mart_product_activity": (
+        "activity_date date, organization_id string, metric string, value bigint"),
+    "mart_finance": (
+        "payment_date date, domain string, flow string, entity_id string, status string, "
+        "expected_amount double, paid_amount double, currency string"),
+    "mart_retention": (
+        "cohort_date date, day_number bigint, active_admins bigint, active_organizations bigint"),
+    "mart_entity_ranking": (
+        "organization_id string, organization_name string, created_date date, players bigint, "
+        "matches_created bigint, matches_finished bigint, health_score bigint"),
+}
+DONE = "_SUCCESS"  # Spark's committer leaves it in a table's folder when all files are there
+
+
+class IncompleteTableError(RuntimeError):
+    """A table's folder exists, but no finished write has left its marker there."""
+
+
+def built_schema(name: str) -> T.StructType | None:
+    """Declared schema of a staging or mart table; None for any other table."""
+    return T.StructType.fromDDL(BUILT_TABLES[name]) if name in BUILT_TABLES else None
+
 
 class Warehouse:
     """Parquet tables under ``root``: ``root/<name>``."""
@@ -47,40 +91,58 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{check_identifier(name)}"
 
-    def exists(self, name: str) -> bool:
-        """True when a readable table ``name`` exists (False when the root is missing too)."""
+    def _found(self, path: str) -> bool:
+        """Whether ``path`` exists; any error but its absence is raised."""
         try:
-            self.spark.read.parquet(self.path(name)).schema
-        except AnalysisException:
-            return False
+            self.spark.read.text(path)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
         return True
 
+    def exists(self, name: str) -> bool:
+        """True when table ``name`` was written to its end, with or without rows.
+
+        A folder without the commit marker (a load that died or is still running) is neither
+        present nor absent and raises ``IncompleteTableError``. The store needs a committer that
+        leaves the marker, which is Spark's default.
+        """
+        if self._found(f"{self.path(name)}/{DONE}"):
+            return True
+        if self._found(self.path(name)):
+            raise IncompleteTableError(f"{self.path(name)} has no {DONE}: its last write is unfinished")
+        return False
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """Table ``name``; built tables come with their declared columns in declared order."""
+        if not self.exists(name):
+            raise ValueError(f"no table {name} in {self.root}")
+        schema = built_schema(name)
+        if schema is None:
+            return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.fieldNames())
 
     def _save(self, writer, name: str) -> None:
         writer.parquet(self.path(name))
 
-    def stream_sink(self, writer, name: str):
-        """Start a streaming ``writer`` that appends to table ``name``."""
-        return writer.format("parquet").option("path", self.path(name)).start()
-
     def write(self, name: str, df: DataFrame, partition_by: str | None = None,
               sort_within: Sequence[str] = ()) -> str:
         """Overwrite table ``name`` with ``df``.
 
         The rows are rebalanced by AQE before the write (skewed partitions split, small ones
-        merged, so files are evenly sized and one hot date does not land in one task), then
-        sorted within each file; a date-partitioned table gets one folder per date, which the
-        report filters prune.
+        merged, so files are evenly sized and one hot date does not land in one task). A
+        date-partitioned table gets one folder per date, which the report filters prune, sorted
+        within each file. Other tables with sort keys are split into ranges of the keys, so that
+        file statistics are narrow; row numbers end the key, so a frequent key is split too.
         """
         if partition_by:
             out = df.hint("rebalance", partition_by)
             out = out.sortWithinPartitions(F.col(partition_by), *sort_keys(tuple(sort_within)))
+        elif sort_within:
+            out = ordered_spread(df, tuple(sort_within))
         else:
             out = df.hint("rebalance")
-            if sort_within:
-                out = out.sortWithinPartitions(*sort_keys(tuple(sort_within)))
         writer = out.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
@@ -118,19 +180,15 @@ class Warehouse:
         created = []
         for table, spec in SOURCE_TABLES.items():
             if not self.exists(spec.raw_name):
-                self._save(empty_frame(self.spark, table).write.mode("overwrite"), spec.raw_name)
+                self._save(empty_frame(self.spark, table).write.mode("error"), spec.raw_name)
                 created.append(spec.raw_name)
         return created
 
     def read_raw(self, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
         """Raw tables by contract name; a missing one reads as an empty contract frame."""
-        out = {}
-        for table in tables or SOURCE_TABLES:
-            try:  # one listing per table: read directly, a missing table raises at resolution
-                out[table] = self.read(SOURCE_TABLES[table].raw_name)
-            except AnalysisException:
-                out[table] = empty_frame(self.spark, table)
-        return out
+        names = {table: SOURCE_TABLES[table].raw_name for table in tables or SOURCE_TABLES}
+        return {table: self.read(name) if self.exists(name) else empty_frame(self.spark, table)
+                for table, name in names.items()}
 
     def log_run(self, table_count: int) -> None:
         """Replace the run log with one row (loaded_at, table_count)."""
@@ -176,10 +234,8 @@ class CatalogWarehouse(Warehouse):
         return self.spark.catalog.tableExists(self.table(name))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.table(self.table(name))
+        stored, schema = self.spark.table(self.table(name)), built_schema(name)
+        return stored if schema is None else stored.select(*schema.fieldNames())
 
     def _save(self, writer, name: str) -> None:
         writer.format("parquet").saveAsTable(self.table(name))
-
-    def stream_sink(self, writer, name: str):
-        return writer.toTable(self.table(name))
