@@ -19,6 +19,7 @@ null ids come first; an empty table gives no shard; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkmarts.llm.bpe_text import STOPS, byte_letters, plain_word
+from sparkmarts.llm.bpe_text import byte_letters, plain_word
 from sparkmarts.llm.common import Memo, cut, parts, slices, text_rows
 from sparkmarts.session import checkpoint_dir
 
+STOP = re.compile(r"(?<=[^\W\d_])([.,;:!?])(?= |$)")
 BUCKETS = 20  # bits of the hash table that counts pairs
 
 
@@ -56,20 +58,17 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         if not part:
             return b""
-        if "\n" in part and part != "\n":
-            return b"".join(map(self.parts.__getitem__, part.split("\n")))
-        if part[-1] in STOPS and plain_word(part[:-1]):
-            return self.parts[part[:-1]] + self.parts[part[-1]]
-        if part.isascii() and part.isalpha():
-            low = part.lower()
-            if low != part:
-                return self.parts[low]
-            ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in low.encode()]))]
+        if plain_word(part) and part.lower() == part:
+            ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))]
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if "\u0130" not in text and "\u03a3" not in text:  # whose lower case is more than a character's
+            text = text.lower()
+        # line ends are white space like any other; one stop after a letter is a match of its own
+        text = STOP.sub(r" \1", text.replace("\n", " "))
         return b"".join(map(self.parts.__getitem__, text.split(" ")))
 
 
@@ -90,21 +89,25 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int =
         often = counts >= min_count
         if often.sum() > per_round:
             often = counts >= max(min_count, np.partition(counts, -per_round)[-per_round])
+        slot = np.cumsum(often, dtype=np.int32) - 1
         at = np.flatnonzero(often[bucket])
         if not len(at):
             break
-        found, inverse, exact = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        good = exact >= min_count
-        at = at[good[inverse]]
-        run = np.cumsum(np.r_[True, np.diff(at) != 1]) if len(at) else at
-        heads = np.flatnonzero(np.r_[True, np.diff(run) != 0]) if len(at) else at
-        at = at[(np.arange(len(at)) - heads[run - 1]) % 2 == 0] if len(at) else at  # no overlaps
-        used, which, exact = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        good = exact >= min_count
+        which, pair = slot[bucket[at]], pairs[at]
+        first = np.zeros(int(often.sum()), np.uint64)
+        first[which[::-1]] = pair[::-1]  # a bucket stands for the pair that comes first in it
+        own = pair == first[which]
+        at, which = at[own], which[own]
+        heads = np.r_[True, np.diff(at) != 1]
+        begin = np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))
+        apart = (np.arange(len(at)) - begin) % 2 == 0  # no overlaps in a run
+        at, which = at[apart], which[apart]
+        good = np.bincount(which, minlength=len(first)) >= min_count
         if not good.any():
             break
-        at, which = at[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
-        used = used[good]
+        keep = good[which]
+        at, which = at[keep], (np.cumsum(good) - 1)[which[keep]]
+        used = first[good]
         rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1)
                      .astype(np.uint32))
         seq[at] = first_rule + made + which
@@ -239,8 +242,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                           np.frombuffer(symbols, "<u4"))
             ends = np.cumsum(np.array(counts, np.int64))
             begins = ends - counts
-            ids = [shard.range(a, b).astype("<u4").tobytes()
-                   for a, b in zip(begins.tolist(), ends.tolist())]
+            flat = shard.range(0, int(ends[-1])).astype("<u4").tobytes()
+            ids = [flat[4 * a:4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, batch.schema.field("keys").type.value_type),
                  pa.array(start + begins, pa.int64()), pa.array(counts, pa.int64()),
