@@ -77,9 +77,12 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
             new = np.flatnonzero(met & ~seen)
             seen |= met
             new = new[ids[new] != own]
-            rows = np.r_[rows, new]
-            scores = np.r_[scores, x[new] @ query]
+            # many look-ups are cheaper over all rows at once
+            got = (x @ query)[new] if 8 * len(new) > n else x[new] @ query
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, got])
             if len(rows) > k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                rows, scores = rows[scores >= least], scores[scores >= least]
                 best = np.lexsort((ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
             bound = high[stop - 1, up] @ query[up] + low[stop - 1, down] @ query[down]
