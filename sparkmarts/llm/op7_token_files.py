@@ -19,24 +19,24 @@ null ids come first; an empty table gives no shard; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkmarts.llm.bpe_text import byte_letters, plain_word
+from sparkmarts.llm.bpe_text import STOPS, byte_letters, plain_word
 from sparkmarts.llm.common import Memo, cut, parts, slices, text_rows
 from sparkmarts.session import checkpoint_dir
 
-STOP = re.compile(r"(?<=[^\W\d_])([.,;:!?])(?= |$)")
 BUCKETS = 20  # bits of the hash table that counts pairs
 
 
@@ -58,18 +58,37 @@ class WordEncoder:
     def _part(self, part: str) -> bytes:
         if not part:
             return b""
-        if plain_word(part) and part.lower() == part:
-            ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))]
-        else:
+        low = part.lower()
+        plain = low.isalpha() if low.isascii() else plain_word(part) and plain_word(low)
+        if not plain or "\u0130" in part:  # whose lower case is more than a character
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if "\u0130" not in text and "\u03a3" not in text:  # whose lower case is more than a character's
-            text = text.lower()
-        # line ends are white space like any other; one stop after a letter is a match of its own
-        text = STOP.sub(r" \1", text.replace("\n", " "))
-        return b"".join(map(self.parts.__getitem__, text.split(" ")))
+        elif low != part:
+            return self.parts[low]
+        else:
+            if not low.isascii():
+                low = "".join([self.letters[b] for b in low.encode()])
+            ids = [t.id for t in self.model.tokenize(low)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Each different part of the texts is looked up once."""
+        # line ends are white space like any other
+        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        known = self.parts
+        blobs = [known[part] if part[-1:] not in STOPS or not plain_word(part[:-1])
+                 else known[part[:-1]] + known[part[-1]]  # the stop is a match of its own
+                 for part in coded.dictionary.to_numpy(zero_copy_only=False)]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat, codes = np.frombuffer(b"".join(blobs), "<u4"), coded.indices.to_numpy()
+        taken = sizes[codes]
+        ends = np.r_[0, np.cumsum(taken)]
+        source = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], taken)
+        source += np.arange(len(source))
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        ids = flat[source]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -83,8 +102,11 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int =
     for _ in range(rounds):
         if len(seq) < 2 * min_count:
             break
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        bucket = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKETS)).astype(np.uint32)
+        bucket = seq[:-1] * np.uint32(0x9E3779B1)
+        bucket ^= bucket >> np.uint32(15)
+        bucket += seq[1:]
+        bucket *= np.uint32(0x85EBCA77)
+        bucket >>= np.uint32(32 - BUCKETS)
         counts = np.bincount(bucket, minlength=1 << BUCKETS)
         often = counts >= min_count
         if often.sum() > per_round:
@@ -93,7 +115,7 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int =
         at = np.flatnonzero(often[bucket])
         if not len(at):
             break
-        which, pair = slot[bucket[at]], pairs[at]
+        which, pair = slot[bucket[at]], seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         first = np.zeros(int(often.sum()), np.uint64)
         first[which[::-1]] = pair[::-1]  # a bucket stands for the pair that comes first in it
         own = pair == first[which]
@@ -112,7 +134,9 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int =
                      .astype(np.uint32))
         seq[at] = first_rule + made + which
         made += len(used)
-        seq = np.delete(seq, at + 1)
+        left = np.ones(len(seq), bool)
+        left[at + 1] = False
+        seq = seq[left]
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
@@ -198,14 +222,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
                 names=schema.names)
 
         key_arrow = None
-        for batch in slices(batches, 8 << 20):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, 2 << 20):  # about 8 MB of text
             key_arrow = batch.schema.field(0).type
-            unpack = zstandard.ZstdDecompressor().decompress
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                ids = encoder.ids(unpack(packed).decode()) + end
+            texts = [unpack(packed).decode() for packed in batch.column(2).to_pylist()]
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts)):
                 keys.append(key)
-                held.append(ids)
-                size += len(ids) // 4
+                held.append(ids.tobytes() + end)
+                size += len(ids) + 1
                 if size >= shard_ids:
                     yield flush(key_arrow)
                     start += size

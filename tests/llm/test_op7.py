@@ -46,10 +46,13 @@ def test_words_equal_the_library():
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
     own = WordEncoder(PATH)
-    for text in ("It's DON'T  a\n\nb.\nC, d'll ÉCOLE İI Σας ß é é x1y2 !!,. ", "a\x1cb\x85c d",
-                 "<|endoftext|> <|startoftext|>x", "漢字 😀 don't. we'RE", "\n", " ", "", "\n\n. ,a"):
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(own.ids(text), "<u4").tolist() == ids
+    texts = ("It's DON'T  a\n\nb.\nC, d'll ÉCOLE İI Σας ß é é x1y2 !!,. ", "a\x1cb\x85c d",
+             "<|endoftext|> <|startoftext|>x", "漢字 😀 don't. we'RE", "\n", " ", "", "\n\n. ,a",
+             "naïve. NAÏVE, É. x.. x.", "e\u0301. \u0301 .")
+    expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in own.ids(list(texts))] == expected
+    assert [own.ids([text])[0].tolist() for text in texts] == expected
+    assert own.ids([]) == []
 
 
 def test_odd_rows(spark):
