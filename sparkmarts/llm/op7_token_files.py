@@ -70,10 +70,10 @@ class WordEncoder:
             ids = [t.id for t in self.model.tokenize(low)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text. Each different part of the texts is looked up once."""
         # line ends are white space like any other
-        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        spaced = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
         split = pc.split_pattern(spaced, " ")
         coded = split.flatten().dictionary_encode()
         known = self.parts
@@ -182,8 +182,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
     """Writes the shards of ``docs`` to ``path``. ``first_rule``: above all ids."""
     rows = text_rows(docs, id_col, text_col)
     key_type = rows.schema["id"].dataType
-    squeezed = T.StructType([T.StructField("id", key_type), T.StructField("order", T.LongType()),
-                             T.StructField("packed", T.BinaryType())])
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()),
         T.StructField("keys", T.ArrayType(key_type)),
@@ -191,18 +189,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
         T.StructField("first_rule", T.LongType()), T.StructField("rules", T.BinaryType()),
         T.StructField("lengths", T.BinaryType()), T.StructField("symbols", T.BinaryType())])
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, 16 << 20):
-            texts = [squeeze(t.encode()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())],
-                                             names=squeezed.names)
-
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder, end = _ENCODERS[tokenizer], np.array([end_id], "<u4").tobytes()
@@ -222,11 +209,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
                 names=schema.names)
 
         key_arrow = None
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, 2 << 20):  # about 8 MB of text
+        for batch in slices(batches, 4 << 20):
             key_arrow = batch.schema.field(0).type
-            texts = [unpack(packed).decode() for packed in batch.column(2).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts)):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 keys.append(key)
                 held.append(ids.tobytes() + end)
                 size += len(ids) + 1
@@ -237,10 +222,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
         if held:
             yield flush(key_arrow)
 
-    tied = rows.select("id", F.xxhash64("text").alias("order"), "text")
-    small = tied.mapInArrow(shrink, squeezed)
-    dealt = small.repartitionByRange(parts(docs), "id", "order").sortWithinPartitions("id", "order")
-    dealt.mapInArrow(shards, schema).write.parquet(path)
+    tied = rows.withColumn("order", F.xxhash64("text"))
+    dealt = tied.repartitionByRange(parts(docs), "id", "order").sortWithinPartitions("id", "order")
+    dealt.select("id", "text").mapInArrow(shards, schema).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

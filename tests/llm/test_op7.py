@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
@@ -50,9 +51,9 @@ def test_words_equal_the_library():
              "<|endoftext|> <|startoftext|>x", "漢字 😀 don't. we'RE", "\n", " ", "", "\n\n. ,a",
              "naïve. NAÏVE, É. x.. x.", "e\u0301. \u0301 .")
     expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
-    assert [ids.tolist() for ids in own.ids(list(texts))] == expected
-    assert [own.ids([text])[0].tolist() for text in texts] == expected
-    assert own.ids([]) == []
+    assert [ids.tolist() for ids in own.ids(pa.array(texts))] == expected
+    assert [own.ids(pa.array([text]))[0].tolist() for text in texts] == expected
+    assert own.ids(pa.array([], pa.string())) == []
 
 
 def test_odd_rows(spark):
