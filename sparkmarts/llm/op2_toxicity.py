@@ -1,16 +1,17 @@
 """Toxicity scores from the nearest labelled examples.
 
-Method: texts are TF-IDF vectors of features (words and word beginnings); the k examples of largest
-exact cosine are found in a block-max inverted index: examples lie in blocks, each feature's largest
-weight in a block bounds what the block can score, and blocks are read in order of their bounds
-until none can beat the k-th score. Neighbours vote, weighted by distance; the vote is calibrated by
+Method: texts are TF-IDF vectors of features (words and word beginnings), each feature's weight times
+how far its presence goes with the class among the examples (the phi coefficient, plus a floor that
+keeps it above 0); the k examples of largest exact cosine are found in a block-max inverted index:
+examples lie in blocks, each feature's largest weight in a block bounds what the block can score, and
+blocks are read from the largest bounds on until none can beat the k-th score. Neighbours vote, weighted by distance; the vote is calibrated by
 a logistic curve fitted on the examples, each scored without itself. The neighbours are the evidence.
 
-Bounds: at most ``max_examples`` labelled rows of each class (the first by hash of id) are examples,
-and the ``max_features`` features that tell the classes apart best (chi-square on the examples) span
-the vectors; the index, a few MB, is what is broadcast. Document frequencies cover all documents.
+Bounds: at most ``max_examples`` labelled rows of each class (the first by hash of id) are examples.
+Every feature of an example spans the vectors, so the index grows with the text of the examples (about
+16 bytes per feature of an example); it is what is broadcast. Document frequencies cover all documents.
 
-Defined cases: texts without any feature (null and empty ones too) have no neighbours and get the
+Defined cases: texts without any feature of an example (null and empty ones too) have no neighbours and get the
 score of an empty vote; ties among neighbours go to the earlier example; repeated rows are scored
 alike; without labelled rows of both classes the score is the share of toxic rows among them, or 0;
 an empty table gives no rows; columns other than id and text are not read.
@@ -22,7 +23,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from sparkmarts.llm.common import Memo, cut, slices, text_rows
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 BLOCK = 128
+FLOOR = 0.001  # added to phi: no feature is without weight
 
 
 def features_of(part: str) -> list[str]:
@@ -46,64 +49,80 @@ def features_of(part: str) -> list[str]:
     return out
 
 
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """start[0], .., stop[0] - 1, start[1], .., stop[1] - 1 and so on."""
+    size = stop - start
+    return np.repeat(stop - np.cumsum(size), size) + np.arange(size.sum())
+
+
 @dataclass
 class Index:
-    """Example vectors by feature, in blocks of examples, with each block's largest weight."""
+    """Example vectors by feature; a cell is a feature's examples in one block of examples."""
 
     examples: int
-    pointers: np.ndarray  # feature x block: where the postings begin
-    places: np.ndarray  # of the examples in their blocks
+    cells: np.ndarray  # of each feature: where its cells begin
+    blocks: np.ndarray  # of the cells
+    largest: np.ndarray  # weight in each cell
+    pointers: np.ndarray  # of each cell: where its postings begin
+    rows: np.ndarray  # the examples
     weights: np.ndarray
-    largest: np.ndarray  # feature x block
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], features: int) -> Index:
-        rows = np.repeat(np.arange(len(vectors)), [len(f) for f, _ in vectors])
-        found = np.concatenate([np.zeros(0, np.int64), *(f for f, _ in vectors)])
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(f) for f, _ in vectors])
+        found = np.concatenate([np.zeros(0, np.int32), *(f for f, _ in vectors)]).astype(np.int32)
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        order = np.lexsort((rows, found))
+        order = np.argsort(found, kind="stable")
         found, rows, weights = found[order], rows[order], weights[order]
-        cell = found * blocks + rows // BLOCK
-        pointers = np.searchsorted(cell, np.arange(features * blocks + 1))
-        largest = np.zeros(features * blocks)
-        np.maximum.at(largest, cell, weights)
-        return cls(len(vectors), pointers, rows % BLOCK, weights, largest.reshape(features, blocks))
+        new = np.ones(len(rows), bool)
+        new[1:] = (found[1:] != found[:-1]) | (rows[1:] // BLOCK != rows[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        return cls(len(vectors), np.searchsorted(found[first], np.arange(features + 1)),
+                   rows[first] // BLOCK, np.maximum.reduceat(weights, first) if len(first) else weights,
+                   np.r_[first, len(rows)], rows, weights)
 
     def search(self, found: np.ndarray, weights: np.ndarray, k: int, skip: int = -1
                ) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, ties to earlier examples."""
-        blocks = self.largest.shape[1]
-        bounds = weights @ self.largest[found] * (1 + 1e-9)
-        order = np.argsort(-bounds, kind="stable")
+        start, stop = self.cells[found], self.cells[found + 1]
+        cell, term = ranges(start, stop), np.repeat(np.arange(len(found)), stop - start)
+        block = self.blocks[cell]
+        bounds = np.bincount(block, weights[term] * self.largest[cell],
+                             minlength=-(-self.examples // BLOCK)) * (1 + 1e-9)
         rows, scores, least = np.zeros(0, np.int64), np.zeros(0), -1.0
-        cells = [(f * blocks, w) for f, w in zip(found.tolist(), weights.tolist())]
-        bounds = bounds.tolist()
-        for b in order.tolist():
-            if bounds[b] <= 0 or least > bounds[b]:
-                break
-            sums = np.zeros(BLOCK)
-            for cell, w in cells:
-                a, z = self.pointers[cell + b], self.pointers[cell + b + 1]
-                if a < z:
-                    sums[self.places[a:z]] += w * self.weights[a:z]
-            if skip // BLOCK == b:
-                sums[skip % BLOCK] = 0
+        left = bounds > 0
+        while left.any():
+            now = left & (bounds >= 0.5 * bounds[left].max())  # blocks of about the same bounds at once
+            left &= ~now
+            sums = self._sums(cell, term, now[block], weights)
+            if skip >= 0:
+                sums[skip] = 0
             hit = np.flatnonzero((sums > 0) & (sums >= least))
-            if len(hit):
-                rows, scores = np.concatenate([rows, hit + b * BLOCK]), np.concatenate([scores, sums[hit]])
-                best = np.lexsort((rows, -scores))[:k]
-                rows, scores = rows[best], scores[best]
-                least = float(scores[-1]) if len(rows) == k else -1.0
+            if len(hit) > k:
+                hit = hit[sums[hit] >= np.partition(sums[hit], -k)[-k]]
+            rows, scores = np.concatenate([rows, hit]), np.concatenate([scores, sums[hit]])
+            best = np.lexsort((rows, -scores))[:k]
+            rows, scores = rows[best], scores[best]
+            least = float(scores[-1]) if len(rows) == k else -1.0
+            left &= bounds >= least
         return rows, scores
 
+    def _sums(self, cell: np.ndarray, term: np.ndarray, taken: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of all examples by the cells taken."""
+        cell, term = cell[taken], term[taken]
+        start, stop = self.pointers[cell], self.pointers[cell + 1]
+        at = ranges(start, stop)
+        each = self.weights[at]
+        each *= np.repeat(weights[term], stop - start)
+        return np.bincount(self.rows[at], each, minlength=self.examples)
+
 
 @dataclass
 class Model:
     """All that scoring needs; its size is bounded by the numbers of examples and features."""
 
     number: dict[str, int]
-    idf: np.ndarray
+    worth: np.ndarray  # of each feature: inverse document frequency times phi
     index: Index | None
     ids: list
     toxic: np.ndarray
@@ -117,19 +136,18 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "memo": None}
 
-    def counts(self, text: str) -> Counter:
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(features, how often) of a text."""
         if self.memo is None:
-            self.memo = Memo(lambda part: [self.number[f] for f in features_of(part) if f in self.number])
-        out: Counter = Counter()
-        for some in filter(None, map(self.memo.__getitem__, text.lower().split())):
-            out.update(some)
-        return out
+            self.memo = Memo(lambda part: tuple(self.number[f] for f in features_of(part) if f in self.number),
+                             limit=100_000)
+        found = chain.from_iterable(map(self.memo.__getitem__, text.lower().split()))
+        return np.unique(np.fromiter(found, np.int64), return_counts=True)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(features, weights) of length one."""
-        counts = self.counts(text)
-        found = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[f] for f in found.tolist()] or np.zeros(0))) * self.idf[found]
+        found, counts = self.counts(text)
+        weights = (1 + np.log(counts)) * self.worth[found]
         return found, weights / max(np.sqrt(weights @ weights), 1e-12)
 
     def vote(self, found: np.ndarray, weights: np.ndarray, skip: int = -1
@@ -165,9 +183,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_features: int = 8192,
-        min_rows: int = 3, min_chi2: float = 40.0, min_ratio: float = 5.0, k: int = 25, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 25, id_col: str = "doc_id", text_col: str = "text",
+        label_col: str = "toxic") -> Model:
     """The model of ``labels`` (<id_col>, <label_col> 0 or 1; of repeated ids the largest)."""
     rows = text_rows(docs, id_col, text_col)
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(
@@ -200,42 +217,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, max_featur
                 seen[0].clear(), seen[1].clear()
         yield out()
 
-    a, b = F.col("toxic"), F.col("clean")
-    n = toxic + clean
-    chi2 = F.lit(float(n)) * F.pow(a * (clean - b) - b * (toxic - a), F.lit(2.0)) / (
-        (a + b) * F.greatest(n - a - b, F.lit(1)) * F.lit(float(toxic)) * F.lit(float(clean)))
     counted = sample.mapInArrow(count_features, "feature string, clean long, toxic long").groupBy(
-        "feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = (a + 0.5) / toxic * clean / (b + 0.5)  # of the rates in the two classes
-    telling = (ratio >= min_ratio) | (ratio <= 1 / min_ratio)
-    best = counted.filter((a + b >= min_rows) & telling).withColumn("chi2", chi2).filter(
-        F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "feature").limit(max_features).collect()
-    number = {r["feature"]: i for i, r in enumerate(best)}
-    model = Model(number, np.ones(len(best)), None, [], np.zeros(0, int),
+        "feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    counted = counted.sort_by("feature")  # bounded by max_examples
+    model = Model({f: i for i, f in enumerate(counted.column("feature").to_pylist())},
+                  np.ones(counted.num_rows), None, [], np.zeros(0, int),
                   (total[0] / clean, total[1] / toxic), share, k)
-    if not best:
+    if not model.number:
         return model
-    model.idf = inverse_frequencies(rows, model)
+    a, b = (counted.column(c).to_numpy().astype(float) for c in ("toxic", "clean"))
+    phi = np.abs(a * clean - b * toxic) / np.sqrt((a + b) * np.maximum(toxic + clean - a - b, 1) * toxic * clean)
+    model.worth = inverse_frequencies(rows, model) * (phi + FLOOR)
 
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([sample.schema["id"], sample.schema["toxic"],
-                           T.StructField("found", T.ArrayType(T.LongType())),
-                           T.StructField("weights", T.ArrayType(T.DoubleType()))])
+                           T.StructField("found", T.BinaryType()), T.StructField("weights", T.BinaryType())])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             got = [shared.value.vector(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("toxic"),
-                 pa.array([f for f, _ in got], pa.list_(pa.int64())),
-                 pa.array([w for _, w in got], pa.list_(pa.float64()))], names=schema.names)
-
-    examples = sample.mapInArrow(vectors, schema).collect()  # bounded by max_examples, max_features
-    # similar examples in a block: by class and strongest feature
-    examples.sort(key=lambda r: (r["toxic"], r["found"][int(np.argmax(r["weights"]))] if r["found"] else -1,
-                                 r["id"], r["found"], r["weights"]))
-    pairs = [(np.array(r["found"], np.int64), np.array(r["weights"])) for r in examples]
-    model.index = Index.build(pairs, len(best))
+                 pa.array([f.astype(np.int32).tobytes() for f, _ in got], pa.binary()),
+                 pa.array([w.tobytes() for _, w in got], pa.binary())], names=schema.names)
+
+    examples = sample.mapInArrow(vectors, schema).collect()  # bounded by max_examples
+    shared.destroy()
+    pairs = [(np.frombuffer(r["found"], np.int32), np.frombuffer(r["weights"])) for r in examples]
+    spread = np.bincount(np.concatenate([f for f, _ in pairs]), minlength=len(model.number))
+
+    def alike(i: int) -> tuple:
+        """Similar examples in a block: by most common feature (the language), class, strongest feature."""
+        (found, weights), r = pairs[i], examples[i]
+        top = (int(found[np.argmax(spread[found])]), r["toxic"], int(found[np.argmax(weights)])) if len(
+            found) else (-1, r["toxic"], -1)
+        return *top, r["id"], r["found"], r["weights"]
+
+    order = sorted(range(len(pairs)), key=alike)
+    examples, pairs = [examples[i] for i in order], [pairs[i] for i in order]
+    model.index = Index.build(pairs, len(model.number))
     model.ids, model.toxic = [r["id"] for r in examples], np.array([r["toxic"] for r in examples])
     votes = loo_votes(rows, model, pairs)
     weight = np.array(model.class_weight)[model.toxic]
@@ -252,30 +272,36 @@ def inverse_frequencies(rows: DataFrame, model: Model) -> np.ndarray:
         seen = np.zeros(size + 1, np.int64)
         for batch in slices(batches, 8 << 20):
             for text in batch.column(0).to_pylist():
-                seen[[*shared.value.counts(text), size]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(seen)],
-                                         names=["feature", "rows"])
+                seen[shared.value.counts(text)[0]] += 1
+                seen[size] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["feature", "rows"])
 
     got = rows.select("text").mapInArrow(count, "feature long, rows long").groupBy("feature").agg(
-        F.sum("rows").alias("rows")).collect()  # a row per feature
+        F.sum("rows").alias("rows")).toArrow()  # a row per feature
+    shared.destroy()
     frequency = np.zeros(size + 1)
-    for r in got:
-        frequency[r["feature"]] = r["rows"]
+    frequency[got.column("feature").to_numpy()] = got.column("rows").to_numpy()
     return np.log((1 + frequency[size]) / (1 + frequency[:size])) + 1
 
 
 def loo_votes(rows: DataFrame, model: Model, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The vote on each example without itself, in Spark tasks over the example numbers."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((model, pairs))
+    bare = replace(model, number={}, worth=np.zeros(0))
+    ends = np.cumsum([0, *(len(f) for f, _ in pairs)]).tolist()
+    flat = [np.concatenate(c) for c in zip(*pairs)]
+    shared = spark.sparkContext.broadcast((bare, flat, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vectors = shared.value
+        own, vectors, at = shared.value
         for batch in batches:
-            votes = [own.vote(*vectors[i], skip=i)[0] for i in batch.column(0).to_pylist()]
+            votes = [own.vote(*(c[at[i]:at[i + 1]] for c in vectors), skip=i)[0]
+                     for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
 
     got = spark.range(len(pairs)).mapInArrow(run, "id long, vote double").collect()
+    shared.destroy()
     votes = np.zeros(len(pairs))
     for r in got:
         votes[r["id"]] = r["vote"]

@@ -57,3 +57,16 @@ def test_query_held_out_accuracy(spark):
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     share = got.select(F.avg(held_out().cast("int"))).first()[0]
     assert 0.15 < share < 0.25
+
+
+def test_no_feature_of_the_examples_is_dropped(spark):
+    """Toxic words that are each rare, and clean examples, are neighbours too."""
+    rows = [(i, f"blume{'abcdefgh'[i % 8]} kraut" if i % 10 else f"vile{chr(97 + i // 10)}{'xyz'[i % 3]} kraut")
+            for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = fit(docs_frame(spark, rows), labels)
+    assert set(model.number) >= {f for _, t in rows for f in (w + " " for w in t.split())}
+    assert (model.worth > 0).all()
+    got = {r.doc_id: r for r in score(docs_frame(spark, rows), model).collect()}
+    assert all(r.evidence for r in got.values())
+    assert all(got[i].evidence[0].toxic == int(i % 10 == 0) for i in got)
