@@ -15,8 +15,8 @@ there, before the shuffle; anchors of many classes are split into pairs of block
 64-bit hash under a 64-bit anchor hash; windows in the index are compared byte by byte.
 
 Defined cases: null texts are empty; shorter texts have no window; ids are longs, a null one comes
-first; rows of one id are taken as copies of one document (equal places in them are one occurrence);
-an empty table gives no rows; other columns are not read.
+first; rows of one id and one text are copies of one document (equal places in them are one occurrence);
+rows of one id and different texts are documents of their own, in order of the texts' hashes; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmarts.llm.common import cut, parts, slices, text_rows
-from sparkmarts.llm.graph import in_blocks
+from sparkmarts.llm.graph import FEW_KEYS, in_blocks
 
 GRAM = 32
 CHUNK = 1 << 20  # bytes of text hashed at once
@@ -104,79 +104,96 @@ def spans_of(data: np.ndarray, ends: np.ndarray, rolling: Rolling, width: int
 
 
 def repeats(cells: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Rows that equal an earlier one (by ``order``) in all ``cells``."""
+    """Rows that equal an earlier one (by ``order``) in all ``cells``, without copies of the first."""
     rank = np.lexsort((*order[::-1], *cells[::-1]))
-    same = np.ones(max(len(rank) - 1, 0), bool)
+    later = np.ones(len(rank), bool)
+    later[:1] = False
     for c in cells:
-        same &= c[rank[1:]] == c[rank[:-1]]
+        later[1:] &= c[rank[1:]] == c[rank[:-1]]
+    head = rank[np.maximum.accumulate(np.where(later, 0, np.arange(len(rank))))]
+    copy = np.ones(len(rank), bool)
+    for c in order:
+        copy &= c[rank] == c[head]
     out = np.zeros(len(rank), bool)
-    out[rank[1:][same]] = True
+    out[rank[later & ~copy]] = True
     return out
 
 
-def span_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, span, doc, place): k the anchor's hash, place = first window, count - 1 and a flag.
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, variant, text): variant is 0, or a hash of the text where an id has several texts."""
+    rows = text_rows(docs, id_col, text_col).withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
+    own = F.xxhash64("text")
+    several = cut(rows.groupBy("doc").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter(
+        "low <> high").select("doc", F.lit(True).alias("several")))
+    n = several.count()
+    if not n:
+        return rows.select("id", "doc", F.lit(0).cast("long").alias("variant"), "text")
+    joined = rows.join(F.broadcast(several) if n <= FEW_KEYS else several, "doc", "left")
+    return joined.select("id", "doc", F.when(F.col("several"), own).otherwise(0).alias("variant"), "text")
+
+
+def span_rows(rows: DataFrame, width: int) -> DataFrame:
+    """(k, span, doc, variant, place): k the anchor's hash, place = first window, count - 1 and a flag.
 
     Flagged rows repeat a row of their batch; they are dealt by place and only pass through.
     """
-    rows = text_rows(docs, id_col, text_col).select(
-        F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(4 * CHUNK)
         for batch in slices(batches, CHUNK):
             found, held, size = [], [], 0
 
-            def settle(texts: list[tuple[int, int, bytes]]) -> None:
-                data = np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)
-                ends = np.cumsum([len(t) for _, _, t in texts])
+            def settle(texts: list[tuple[int, int, int, bytes]]) -> None:
+                data = np.frombuffer(b"".join(t for *_, t in texts), np.uint8)
+                ends = np.cumsum([len(t) for *_, t in texts])
                 k, span, first, last = spans_of(data, ends, rolling, width)
                 which = np.searchsorted(ends, first, "right")
-                doc = np.array([d for d, _, _ in texts], np.int64)[which]
-                shift = np.array([s - e + len(t) for (_, s, t), e in zip(texts, ends.tolist())], np.int64)
-                found.append((k, span, doc, first + shift[which], last - first))
+                doc, variant = (np.array([t[c] for t in texts], np.int64)[which] for c in (0, 1))
+                shift = np.array([s - e + len(t) for (*_, s, t), e in zip(texts, ends.tolist())], np.int64)
+                found.append((k, span, doc, variant, first + shift[which], last - first))
 
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, variant, text in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
                 for at in range(0, max(len(data) - width + 1, 1), 2 * CHUNK):  # windows from here on
                     piece = data[at:at + 2 * CHUNK + width - 1]
                     if held and size + len(piece) > 2 * CHUNK:
                         settle(held)
                         held, size = [], 0
-                    held.append((doc, at, piece))
+                    held.append((doc, variant, at, piece))
                     size += len(piece)
             if held:
                 settle(held)
-            k, span, doc, first, more = (np.concatenate(c) for c in zip(*found))
-            again = repeats((k, span), (doc, first))
+            k, span, doc, variant, first, more = (np.concatenate(c) for c in zip(*found))
+            again = repeats((k, span), (doc, variant, first))
             place = first << 8 | more << 1 | again
             k = np.where(again, mixed((doc ^ first << 32).astype(np.uint64)), k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc),
-                 pa.array(place.astype(np.int64))], names=["k", "span", "doc", "place"])
+                [pa.array(k.view(np.int64)), pa.array(span.view(np.int64)), pa.array(doc), pa.array(variant),
+                 pa.array(place.astype(np.int64))], names=["k", "span", "doc", "variant", "place"])
 
-    return rows.mapInArrow(run, "k long, span long, doc long, place long")
+    return rows.select("doc", "variant", "text").mapInArrow(
+        run, "k long, span long, doc long, variant long, place long")
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """(doc, first, more, k): repeated windows (k null) and first members of an anchor's classes."""
-    schema = "doc long, first long, more long, k long"
+    """(doc, variant, first, more, k): repeated windows (k null), first members of an anchor's classes."""
+    schema = "doc long, variant long, first long, more long, k long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def batch_of(doc, place, k, null) -> pa.RecordBatch:
+        def batch_of(cells: list[np.ndarray], null: bool) -> pa.RecordBatch:
+            k, _, doc, variant, place = cells
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(place >> 8), pa.array(place >> 1 & 127),
-                 pa.array(k, mask=np.full(len(k), null))], names=["doc", "first", "more", "k"])
+                [pa.array(doc), pa.array(variant), pa.array(place >> 8), pa.array(place >> 1 & 127),
+                 pa.array(k, mask=np.full(len(k), null))], names=["doc", "variant", "first", "more", "k"])
 
         def firsts(cells: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
             """First members of classes, and the others at other places."""
-            k, span, doc, place = cells
+            k, span, doc, variant, place = cells
             same = (k[1:] == k[:-1]) & (span[1:] == span[:-1])
             later = np.r_[False, same]
             head = np.maximum.accumulate(np.where(later, 0, np.arange(len(k))))
-            copy = later & (doc == doc[head]) & (place == place[head])
+            copy = later & (doc == doc[head]) & (variant == variant[head]) & (place == place[head])
             return [c[~later] for c in cells], [c[later & ~copy] for c in cells]
 
         def several(cells: list[np.ndarray]) -> list[np.ndarray]:
@@ -189,9 +206,9 @@ def settled(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cells = [c.to_numpy() for c in batch.columns]
-            flag = cells[3] & 1 == 1
+            flag = cells[4] & 1 == 1
             if flag.any():
-                yield batch_of(cells[2][flag], cells[3][flag], cells[0][flag], True)
+                yield batch_of([c[flag] for c in cells], True)
                 cells = [c[~flag] for c in cells]
             if held is not None:
                 cells = [np.concatenate(c) for c in zip(held, cells)]
@@ -199,17 +216,18 @@ def settled(rows: DataFrame) -> DataFrame:
                 continue
             own, gone = firsts(cells)
             if len(gone[0]):
-                yield batch_of(gone[2], gone[3], gone[0], True)
+                yield batch_of(gone, True)
             last = int(np.searchsorted(own[0], own[0][-1]))
             ready = several([c[:last] for c in own])
             if len(ready[0]):
-                yield batch_of(ready[2], ready[3], ready[0], False)
+                yield batch_of(ready, False)
             held = [c[last:] for c in own]  # first members only
         if held is not None and len(held[0]) > 1:
-            yield batch_of(held[2], held[3], held[0], False)
+            yield batch_of(held, False)
 
     n = parts(rows)
-    return rows.repartition(n, "k").sortWithinPartitions("k", "span", "doc", "place").mapInArrow(run, schema)
+    return rows.repartition(n, "k").sortWithinPartitions(
+        "k", "span", "doc", "variant", "place").mapInArrow(run, schema)
 
 
 class RunIndex:
@@ -293,34 +311,33 @@ class RunIndex:
         return out
 
 
-def shared_windows(firsts: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str,
-                   group_spans: int) -> DataFrame:
-    """(doc, first, more): windows of the spans of ``firsts`` that an earlier span of the anchor has."""
-    dealt = in_blocks(firsts, ["k"], F.xxhash64("doc", "first"), group_spans).drop("own")
+def shared_windows(firsts: DataFrame, rows: DataFrame, width: int, group_spans: int) -> DataFrame:
+    """(doc, variant, first, more): windows of the spans of ``firsts`` that an earlier span of the anchor has."""
+    dealt = in_blocks(firsts, ["k"], F.xxhash64("doc", "variant", "first"), group_spans).drop("own")
     group = ["k", "block_a", "block_b"]
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("spans"))
-    rows = text_rows(docs, id_col, text_col).select(
-        F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    wanted = firsts.groupBy("doc", "variant").agg(F.collect_list(F.struct("first", "more")).alias("spans"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8 << 20):
-            doc, first, held = [], [], []
-            for key, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+            doc, variants, first, held = [], [], [], []
+            for key, variant, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
                 for s in spans:
                     doc.append(key)
+                    variants.append(variant)
                     first.append(s["first"])
                     held.append(data[s["first"]:s["first"] + s["more"] + width])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(held, pa.binary())],
-                names=["doc", "first", "held"])
+                [*(pa.array(c, pa.int64()) for c in (doc, variants, first)), pa.array(held, pa.binary())],
+                names=["doc", "variant", "first", "held"])
 
-    texts = rows.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(
-        extract, "doc long, first long, held binary").dropDuplicates(["doc", "first"])
-    full = dealt.join(texts, ["doc", "first"]).select(*group, "doc", "first", "held")
+    place = ["doc", "variant", "first"]
+    texts = rows.join(wanted, ["doc", "variant"]).select("doc", "variant", "text", "spans").mapInArrow(
+        extract, "doc long, variant long, first long, held binary").dropDuplicates(place)
+    full = dealt.join(texts, place).select(*group, *place, "held")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, first, held, size, current = [], [], [], 0, None
+        doc, variant, first, held, size, current = [], [], [], [], 0, None
 
         def settle() -> pa.RecordBatch:
             lengths = np.array([len(h) for h in held], np.int64)
@@ -332,25 +349,25 @@ def shared_windows(firsts: DataFrame, docs: DataFrame, width: int, id_col: str,
             more = np.diff(np.r_[head, len(hit)]) - 1
             at = which[head]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.array(doc, np.int64)[at]),
+                [pa.array(np.array(doc, np.int64)[at]), pa.array(np.array(variant, np.int64)[at]),
                  pa.array(np.array(first, np.int64)[at] + hit[head] - starts[at]), pa.array(more)],
-                names=["doc", "first", "more"])
+                names=["doc", "variant", "first", "more"])
 
         for batch in batches:
-            for *key, d, f, h in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, d, v, f, h in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != current:
                     # block pairs of one anchor hold the same spans, so they get indexes of their own
                     if held and (size >= SHARD or key[0] == current[0]):
                         yield settle()
-                        doc, first, held, size = [], [], [], 0
+                        doc, variant, first, held, size = [], [], [], [], 0
                     current = key
-                doc.append(d), first.append(f), held.append(h)
+                doc.append(d), variant.append(v), first.append(f), held.append(h)
                 size += len(h)
         if held:
             yield settle()
 
-    return full.repartition(parts(docs), *group).sortWithinPartitions(*group, "doc", "first").mapInArrow(
-        index, "doc long, first long, more long")
+    return full.repartition(parts(rows), *group).sortWithinPartitions(*group, *place).mapInArrow(
+        index, "doc long, variant long, first long, more long")
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text",
@@ -358,12 +375,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     """<id_col>, n_bytes, n_removed, n_spans, kept (binary: the bytes left) of each text."""
     if not GRAM < width < GRAM + 128:
         raise ValueError(f"width must be above {GRAM} and below {GRAM + 128}")
-    found = cut(settled(span_rows(docs, width, id_col, text_col)))
-    later = shared_windows(found.filter("k is not null"), docs, width, id_col, text_col, group_spans)
-    gone = found.filter("k is null").select("doc", "first", "more").unionByName(later)
-    per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
-    rows = text_rows(docs, id_col, text_col)
-    joined = rows.join(per_doc, F.coalesce(rows["id"].cast("long"), F.lit(NO_ID)) == per_doc["doc"], "left")
+    rows = numbered(docs, id_col, text_col)
+    found = cut(settled(span_rows(rows, width)))
+    later = shared_windows(found.filter("k is not null"), rows, width, group_spans)
+    gone = found.filter("k is null").select("doc", "variant", "first", "more").unionByName(later)
+    per_doc = gone.groupBy("doc", "variant").agg(F.collect_list(F.struct("first", "more")).alias("runs"))
+    joined = rows.join(per_doc, ["doc", "variant"], "left")
     schema = T.StructType([
         T.StructField(id_col, rows.schema["id"].dataType), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),

@@ -96,3 +96,18 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = list(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     assert result(op5_run_index(spark, sf)) == brute(rows)
+
+
+def test_rows_that_share_an_id(spark):
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    shared, first, second, other = text(150), text(400), text(300), text(200)
+    copies = docs_frame(spark, [(1, first), (2, second), (1, first)]).coalesce(1)
+    assert [r.n_removed for r in remove_repeats(copies).collect()] == [0, 0, 0]
+    rows = [(None, first + shared), (None, second), (3, other + shared), (3, text(220)), (None, first + shared)]
+    for df in (docs_frame(spark, rows).coalesce(1), docs_frame(spark, rows).repartition(4)):
+        got = {r.kept.decode(): (r.doc_id, r.n_removed) for r in remove_repeats(df).collect()}
+        assert got == {first + shared: (None, 0), second: (None, 0), other: (3, 150), rows[3][1]: (3, 0)}
+    rows = [(None, shared + first), (None, shared + second)]
+    got = remove_repeats(docs_frame(spark, rows).coalesce(1)).collect()
+    assert sorted(r.n_removed for r in got) == [0, 150]
