@@ -22,12 +22,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Collection, Iterator
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,12 +75,20 @@ class Index:
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         order = np.argsort(found, kind="stable")
         found, rows, weights = found[order], rows[order], weights[order]
+        del order
         new = np.ones(len(rows), bool)
         new[1:] = (found[1:] != found[:-1]) | (rows[1:] // BLOCK != rows[:-1] // BLOCK)
         first = np.flatnonzero(new)
         return cls(len(vectors), np.searchsorted(found[first], np.arange(features + 1)),
-                   rows[first] // BLOCK, np.maximum.reduceat(weights, first) if len(first) else weights,
-                   np.r_[first, len(rows)], rows, weights)
+                   (rows[first] // BLOCK).astype(np.int32), np.maximum.reduceat(weights, first) if len(first) else weights,
+                   np.r_[first, len(rows)].astype(np.int32 if len(rows) < 1 << 31 else np.int64), rows, weights)
+
+    def by_example(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, weights) of all examples, and where each example's begin."""
+        order = np.argsort(self.rows, kind="stable")
+        found = np.repeat(np.arange(len(self.cells) - 1), np.diff(self.pointers[self.cells]))
+        return found[order], self.weights[order], np.searchsorted(
+            self.rows[order], np.arange(self.examples + 1))
 
     def search(self, found: np.ndarray, weights: np.ndarray, k: int, skip: int = -1
                ) -> tuple[np.ndarray, np.ndarray]:
@@ -132,21 +141,20 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     memo: Memo | None = field(default=None, repr=False)
+    shared: Broadcast | None = field(default=None, repr=False)  # of this model, without the curve
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": None}
+        return {**self.__dict__, "memo": None, "shared": None}
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(features, how often) of a text."""
+    def found(self, parts: Collection[str]) -> Iterator[int]:
+        """The features of all parts."""
         if self.memo is None:
-            self.memo = Memo(lambda part: tuple(self.number[f] for f in features_of(part) if f in self.number),
-                             limit=100_000)
-        found = chain.from_iterable(map(self.memo.__getitem__, text.lower().split()))
-        return np.unique(np.fromiter(found, np.int64), return_counts=True)
+            self.memo = Memo(lambda part: tuple(self.number[f] for f in features_of(part) if f in self.number))
+        return chain.from_iterable(map(self.memo.__getitem__, parts))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(features, weights) of length one."""
-        found, counts = self.counts(text)
+        found, counts = np.unique(np.fromiter(self.found(text.lower().split()), np.int64), return_counts=True)
         weights = (1 + np.log(counts)) * self.worth[found]
         return found, weights / max(np.sqrt(weights @ weights), 1e-12)
 
@@ -257,7 +265,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, k: int = 2
     examples, pairs = [examples[i] for i in order], [pairs[i] for i in order]
     model.index = Index.build(pairs, len(model.number))
     model.ids, model.toxic = [r["id"] for r in examples], np.array([r["toxic"] for r in examples])
-    votes = loo_votes(rows, model, pairs)
+    del examples, pairs
+    model.shared = rows.sparkSession.sparkContext.broadcast(model)
+    votes = loo_votes(rows, model)
     weight = np.array(model.class_weight)[model.toxic]
     at = np.clip(votes, 1e-6, 1 - 1e-6)
     model.slope, model.shift = logistic(np.log(at / (1 - at)), model.toxic, weight)
@@ -272,8 +282,7 @@ def inverse_frequencies(rows: DataFrame, model: Model) -> np.ndarray:
         seen = np.zeros(size + 1, np.int64)
         for batch in slices(batches, 8 << 20):
             for text in batch.column(0).to_pylist():
-                seen[shared.value.counts(text)[0]] += 1
-                seen[size] += 1
+                seen[[*set(shared.value.found(set(text.lower().split()))), size]] += 1
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["feature", "rows"])
 
@@ -285,24 +294,21 @@ def inverse_frequencies(rows: DataFrame, model: Model) -> np.ndarray:
     return np.log((1 + frequency[size]) / (1 + frequency[:size])) + 1
 
 
-def loo_votes(rows: DataFrame, model: Model, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def loo_votes(rows: DataFrame, model: Model) -> np.ndarray:
     """The vote on each example without itself, in Spark tasks over the example numbers."""
     spark = rows.sparkSession
-    bare = replace(model, number={}, worth=np.zeros(0))
-    ends = np.cumsum([0, *(len(f) for f, _ in pairs)]).tolist()
-    flat = [np.concatenate(c) for c in zip(*pairs)]
-    shared = spark.sparkContext.broadcast((bare, flat, ends))
+    shared, n = model.shared, model.index.examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vectors, at = shared.value
+        own = shared.value
+        found, weights, at = own.index.by_example()
         for batch in batches:
-            votes = [own.vote(*(c[at[i]:at[i + 1]] for c in vectors), skip=i)[0]
+            votes = [own.vote(found[at[i]:at[i + 1]], weights[at[i]:at[i + 1]], skip=i)[0]
                      for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
 
-    got = spark.range(len(pairs)).mapInArrow(run, "id long, vote double").collect()
-    shared.destroy()
-    votes = np.zeros(len(pairs))
+    got = spark.range(n).mapInArrow(run, "id long, vote double").collect()
+    votes = np.zeros(n)
     for r in got:
         votes[r["id"]] = r["vote"]
     return votes
@@ -322,10 +328,12 @@ def scorer(docs: DataFrame, model: Model, text_col: str):
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()),
                            T.StructField("predicted", T.IntegerType()),
                            T.StructField("evidence", T.ArrayType(key))])
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model)
+    curve, at = (model.slope, model.shift), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        own.slope, own.shift = curve
         for batch in slices(batches, 8 << 20):
             scores, evidence = [], []
             for text in batch.column(at).to_pylist():
