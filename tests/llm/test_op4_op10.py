@@ -2,8 +2,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkmarts.llm.op10_embedding_dedup import meeting, near_duplicates, sizes
-from sparkmarts.llm.op4_threshold_search import integer_vectors, threshold_search, top_k
+from sparkmarts.llm.op4_threshold_search import threshold_search, top_k
 from sparkmarts.llm.queries import op10_embedding_dedup, op4_threshold_search
+from sparkmarts.llm.vectors import integer_rows
 
 INF, NAN = float("inf"), float("nan")
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, t int, key string, score long"
@@ -19,19 +20,24 @@ ODD = [(0, [1.0, 0.5], 1), (20, [1.0, 0.5], 1), (40, [-1.0, 2.0], 1), (1, None,
        (8, [2.01, 1.0], 1)]
 
 
-def best(vectors, k=20):
-    out = set()
-    for q, v in vectors.items():
-        if q % 20 == 0:
-            score = lambda w: sum(a * b for a, b in zip(v, w))
-            got = sorted(((-score(w), i) for i, w in vectors.items() if i != q))[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(got)}
-    return out
+def best(rows, k=20, scale=64):
+    """Each query row's k best other rows, by plain integers row by row."""
+    last = 2**70
+    whole = [(last if i is None else i, [int(np.floor(scale * float(np.float32(x)))) for x in v])
+             for i, v, *_ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    clip = lambda s: min(max(s, -2**63), 2**63 - 1)
+    out = []
+    for n, (q, v) in enumerate(whole):
+        if q != last and q % 20 == 0:
+            got = sorted((-clip(sum(a * b for a, b in zip(v, w))), i)
+                         for m, (i, w) in enumerate(whole) if m != n)[:k]
+            out += [(q, r + 1, None if i == last else i, -s) for r, (s, i) in enumerate(got)]
+    return sorted(out, key=repr)
 
 
-def integers(rows):
-    return {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v, *_ in rows
-            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+def searched(v, **options):
+    found = top_k(v, v.filter("not no_id and id % 20 = 0"), 20, **options)
+    return sorted((tuple(r) for r in found.collect()), key=repr)
 
 
 def test_threshold_search_stops_early_and_is_exact():
@@ -40,40 +46,29 @@ def test_threshold_search_stops_early_and_is_exact():
     x[5:30] = x[5]  # ties
     q = np.r_[x[:30], np.zeros((1, 3))]
     ids = draw.permutation(2000)
-    for (own, got, scores), query in zip(threshold_search(x, ids, q, np.r_[ids[:30], -1], 7), q):
+    for (own, got, scores), query in zip(
+            threshold_search(x, ids, np.arange(2000), q, np.r_[np.arange(30), -1], 7), q):
         all_scores = x @ query
-        order = [i for i in np.lexsort((ids, -all_scores)) if ids[i] != own][:7]
-        assert got.tolist() == ids[order].tolist() and scores.tolist() == all_scores[order].tolist()
+        order = [i for i in np.lexsort((ids, -all_scores)) if i != own][:7]
+        assert got.tolist() == order and scores.tolist() == all_scores[order].tolist()
 
 
 def test_top_k_of_odd_rows_shards_and_blocks(spark):
-    v = integer_vectors(frame(spark, ODD), 64.0)
-    got = top_k(v, v.filter("pmod(id, 20) = 0"), 20).collect()
-    assert {tuple(r) for r in got} == best(integers(ODD))
+    more = [*ODD, (1, [2.0, 0.0], 1), (1, [3.0, 0.0], 1), (20, [1.0, 0.0], 1), (20, [1.0, 0.0], 1)]
+    assert searched(integer_rows(frame(spark, more), 64.0)) == best(more)
     draw = np.random.default_rng(2)
     rows = [(i, [float(x) for x in draw.integers(-3, 4, 4)], 1) for i in range(300)]
-    v = integer_vectors(frame(spark, rows), 64.0)
-    got = top_k(v, v.filter("pmod(id, 20) = 0"), 20, shard_rows=50, query_rows=4).collect()
-    assert {tuple(r) for r in got} == best(integers(rows)) and len(got) == 300
-    big = [(0, [1e14, 3.0], 1), (1, [3.0, 1e3], 1), (20, [2.0, 7.0], 1)]
-    v = integer_vectors(frame(spark, big), 1.0)
-    assert {(r.query_id, r.vec_id) for r in top_k(v, v, 1).collect()} == {(0, 1), (1, 0), (20, 0)}
-    empty = integer_vectors(frame(spark, ODD).limit(0), 64.0)
-    assert top_k(empty, empty, 20).count() == 0
+    assert searched(integer_rows(frame(spark, rows), 64.0), shard_rows=50, query_rows=4) == best(rows)
+    big = [(0, [1e14, 3.0], 1), (40, [3.0, 1e3], 1), (20, [2.0, 7.0], 1), (60, [1e20, 0.0], 1), (80, [-1e20], 1)]
+    assert searched(integer_rows(frame(spark, big), 1.0)) == best(big, scale=1)
+    empty = integer_rows(frame(spark, ODD).limit(0), 64.0)
+    assert searched(empty) == []
 
 
 def test_top_k_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
-    ints = integers(rows)
-    ids = np.array(sorted(ints))
-    x = np.array([ints[i] for i in ids])
-    want = set()
-    for q in ids[ids % 20 == 0]:
-        scores = x @ np.array(ints[q])
-        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
-        want |= {(int(q), r + 1, int(ids[i]), int(scores[i])) for r, i in enumerate(order)}
-    assert {tuple(r) for r in op4_threshold_search(spark, sf).collect()} == want
+    assert sorted((tuple(r) for r in op4_threshold_search(spark, sf).collect()), key=repr) == best(rows)
 
 
 def brute(rows, threshold=0.93):
