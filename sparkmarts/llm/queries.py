@@ -103,13 +103,19 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(documents(spark, sf_dir), items, k=20)
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkmarts.llm.op13_html_extraction import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_prefix_bpe": op3_prefix_bpe,
             "op5_run_index": op5_run_index, "op4_threshold_search": op4_threshold_search,
             "op10_embedding_dedup": op10_embedding_dedup,
             "op6_simhash": op6_simhash, "op7_token_files": op7_token_files, "op8_secrets": op8_secrets,
             "op9_line_dedup": op9_line_dedup, "op11_hard_negatives": op11_hard_negatives,
-            "op12_ranked_search": op12_ranked_search}
+            "op12_ranked_search": op12_ranked_search, "op13_html_extraction": op13_html_extraction}
 
 
 _WHOLE = """whole as (
