@@ -25,6 +25,7 @@ from sparkmarts.contracts import (
 )
 from sparkmarts.functions import blank_to, parsed, to_day, to_text
 from sparkmarts.functions.once import with_column_once
+from sparkmarts.operators.day_masks import activity_masks, period_of, place_of, set_bits, window_mask
 from sparkmarts.operators.staging import players_by_organization, players_with_day
 
 MART_NAMES = (
@@ -167,59 +168,65 @@ def finance(
     )
 
 
-def _window_bucket(day) -> Column:
-    """Index of the RETENTION_DAYS-long period that contains ``day`` (periods since 1970-01-01)."""
-    days = F.datediff(day, F.lit("1970-01-01").cast("date"))
-    return F.floor(days / F.lit(RETENTION_DAYS)).cast("bigint")
-
-
 def retention(stg_organizations: DataFrame, stg_events: DataFrame) -> DataFrame:
     """Cohort retention over days 0..30 after an organisation's creation.
 
     A cohort row is (creating admin, organisation, creation day). It is active on day ``d`` when
     its admin has any event on creation day + ``d``. Per (cohort_date, day_number) the mart
     counts distinct cohort admins and cohort organisations; a cohort row with no activity in
-    the window yields ``day_number = NULL``.
+    the window (or without a creation day) yields ``day_number = NULL``.
+
+    Plan, built for hot admins (one admin may own a third of all organisations, created on one day):
 
-    Plan, built for hot admins (one admin may own a third of all organisations):
+    * activity is one bit mask per (admin, 31-day period), folded on the map side, so neither events
+      nor single days reach the join;
+    * cohorts are reduced to (admin, day) with a count of organisations before the join. Each meets
+      at most one mask, that of its day's period with the next one; the window is a shift and an
+      "and", one more bit stands for no activity;
+    * set bits become days after the join: at most 31 rows per (admin, day), summed on the map side.
 
-    * the activity side is reduced to distinct (admin, day) pairs first (map-side partial
-      aggregation), so events never reach the join; only distinct cohort-side ids are counted,
-      so this keeps the result;
-    * the window join is a bucketed range join. Time is cut into 31-day periods; a cohort
-      window starting in period p lies in periods p and p+1, so every active day is emitted
-      under its own period and the previous one, and each cohort row joins on (admin, p): it
-      meets at most 62 candidate days, never all days of its admin, and a hot admin's rows
-      spread over its periods. Each cohort row is one left-join row, so a row without any
-      active day in its window keeps the NULL day of the left join.
+    An organisation id that several admins own on one day must count once per day number. Such ids
+    (rare) are told apart by the least and greatest admin of (day, organisation), keep a row per admin,
+    and their admins' windows are joined bit by bit before they are counted. Rows without an
+    organisation id go the same way and count for their admin only.
     """
-    cohorts = stg_organizations.where(F.col("admin_id").isNotNull()).select(
-        "admin_id", "organization_id", F.col("created_date").alias("cohort_date"),
-        _window_bucket(F.col("created_date")).alias("period"),
-    )
-    active_days = (
-        stg_events.where(F.col("admin_id").isNotNull())
-        .select(F.col("admin_id").alias("active_admin_id"),
-                F.col("event_date").alias("activity_date"))
-        .distinct()
-    )
-    own = _window_bucket(F.col("activity_date"))
-    candidates = active_days.select(
-        "*", F.explode(F.array(own, own - 1)).alias("active_period"))
-    in_window = (
-        (F.col("active_admin_id") == F.col("admin_id"))
-        & (F.col("active_period") == F.col("period"))
-        & (F.col("activity_date") >= F.col("cohort_date"))
-        & (F.col("activity_date") < F.date_add(F.col("cohort_date"), RETENTION_DAYS))
-    )
-    joined = cohorts.join(candidates, in_window, "left")
-    return joined.groupBy(
-        "cohort_date",
-        F.datediff(F.col("activity_date"), F.col("cohort_date")).cast("bigint").alias("day_number"),
-    ).agg(
-        F.count_distinct("admin_id").alias("active_admins"),
-        F.count_distinct("organization_id").alias("active_organizations"),
-    )
+    days, idle = RETENTION_DAYS, RETENTION_DAYS  # the bit after the window: no activity
+    masks = activity_masks(stg_events, "admin_id", "event_date", days)
+    own_rows = stg_organizations.where(F.col("admin_id").isNotNull()).select(
+        "admin_id", "organization_id", F.col("created_date").alias("cohort_date"))
+    owners = own_rows.groupBy("cohort_date", "organization_id").agg(
+        F.min("admin_id").alias("admin_id"), F.max("admin_id").alias("_last"))
+    has_id = F.col("organization_id").isNotNull()
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    single = owners.where(has_id & (F.col("admin_id") == F.col("_last"))).select(
+        "admin_id", "cohort_date", one.alias("organizations"))
+    keys = owners.where(~has_id | (F.col("admin_id") != F.col("_last"))).select(
+        F.col("cohort_date").alias("_day"), F.col("organization_id").alias("_organization"))
+    shared = own_rows.join(keys, F.col("organization_id").eqNullSafe(F.col("_organization"))
+                           & F.col("cohort_date").eqNullSafe(F.col("_day")), "left_semi")
+    cohorts = single.unionByName(
+        shared.select("admin_id", "cohort_date", none.alias("organizations"))
+    ).groupBy("admin_id", "cohort_date").agg(F.sum("organizations").alias("organizations"))
+
+    def windows(rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("period", period_of("cohort_date", days))
+        window = window_mask(F.col("mask"), place_of("cohort_date", days), days)
+        active = F.when(window == 0, F.lit(1 << idle).cast("bigint")).otherwise(window)
+        return keyed.join(masks, ["admin_id", "period"], "left").withColumn("active", active)
+
+    def by_day(rows: DataFrame, admins: Column, organizations: Column) -> DataFrame:
+        return rows.select("cohort_date", F.explode(set_bits(F.col("active"), days + 1)).alias("bit"),
+                           admins.alias("admins"), organizations.alias("organizations"))
+
+    shared_days = windows(shared.where(has_id)).groupBy("cohort_date", "organization_id").agg(
+        F.bit_or("active").alias("active"))
+    counted = by_day(windows(cohorts), one, F.col("organizations")).unionByName(
+        by_day(shared_days, none, one))
+    return counted.groupBy("cohort_date", "bit").agg(
+        F.sum("admins").alias("active_admins"), F.sum("organizations").alias("active_organizations"),
+    ).select(
+        "cohort_date", F.when(F.col("bit") != idle, F.col("bit").cast("bigint")).alias("day_number"),
+        "active_admins", "active_organizations")
 
 
 def entity_ranking(

@@ -50,12 +50,13 @@ def test_growth_is_two_stage_exact_distinct(spark):
     assert "partial_count" in plan
 
 
-def test_retention_reduces_activity_before_join(spark):
+def test_retention_joins_masks_and_cohort_days(spark):
     plan = plan_text(QUERIES["mart_retention"](spark, SF_SMALL), "simple")
-    join_at = plan.find("Join")
-    distinct_at = plan.find("HashAggregate(keys=[active_admin_id")
-    assert join_at != -1 and distinct_at > join_at  # the distinct sits below the join
     assert "LeftOuter" in plan
+    join_at = plan.find("LeftOuter")
+    masks_at = plan.find("partial_bit_or")
+    cohorts_at = plan.find("HashAggregate(keys=[admin_id", join_at)
+    assert masks_at > join_at and cohorts_at > join_at  # both aggregates sit below the join
 
 
 def test_ranking_aggregates_before_joins(spark):
