@@ -24,7 +24,7 @@ from sparkmarts.contracts import (
     TOURNAMENT_FLOW,
 )
 from sparkmarts.functions import blank_to, parsed, to_day, to_text
-from sparkmarts.functions.once import with_column_once
+from sparkmarts.functions.once import with_parsed
 from sparkmarts.operators.day_masks import activity_masks, period_of, place_of, set_bits, window_mask
 from sparkmarts.operators.staging import players_by_organization, players_with_day
 
@@ -107,9 +107,10 @@ def product_activity(
 
 
 def _payment_day(raw: DataFrame) -> DataFrame:
-    """``raw`` with its payment day, parsed once although the mart filters on it."""
-    return with_column_once(raw, "_payment_date",
-                            to_day(parsed(raw, "created_at", "timestamp")))
+    """``raw`` with its payment day; text is parsed once although the mart filters on it, typed times
+    stay a plain projection, so that a report's date range reaches the scan."""
+    timed = with_parsed(raw, "_created_at", "created_at", parsed(raw, "created_at", "timestamp"))
+    return timed.withColumn("_payment_date", to_day(F.col("_created_at")))
 
 
 def _billing_branch(raw: DataFrame, domain: str, flow, entity_column: str) -> DataFrame:

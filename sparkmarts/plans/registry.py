@@ -70,6 +70,26 @@ def json_text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_text_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON columns as text: objects in arrays in objects, maps, NULL objects, arrays and scalars."""
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    even = F.col("event_id") % 2 == 0
+    doc = F.struct(
+        F.array(F.col("event_id"), F.when(F.col("event_id") % 7 != 0, F.col("user_id"))).alias("ids"),
+        F.struct(F.array(F.struct(F.lit("x").alias("c"), F.col("user_id").alias("b"))).alias("z"),
+                 F.col("event_type").alias("a")).alias("inner_"),
+        F.when(F.col("event_id") < 0, F.struct(F.lit(1).alias("y"))).alias("none"),
+        F.create_map(F.lit("even"), even, F.lit("click"), F.col("event_type") == "click").alias("flags"),
+    )
+    given = F.col("event_id") % 5 != 0
+    shown = ev.select(F.col("event_id").cast("string").alias("id"), doc.alias("properties"),
+                      F.array(F.col("event_type"), F.lit(None)).alias("list_properties"),
+                      F.when(given, F.col("event_id")).alias("number_properties"),
+                      F.when(given, even).alias("flag_properties"))
+    return shown.select("id", *[json_text(F.col(f.name), f.dataType).alias(f.name)
+                                for f in shown.schema.fields[1:]])
+
+
 def _marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return pipeline.marts(_raw(spark, sf_dir))
 
@@ -160,6 +180,7 @@ def queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {
         "normalize_events": normalize_events,
         "json_text": json_text_events,
+        "json_text_nested": json_text_nested,
         "funnel_stage": funnel_stage_counts,
     }
     for name in pipeline.STAGING_NAMES:

@@ -3,8 +3,9 @@ source tables, so that the marts can be checked and timed on data of any scale.
 
 Every output row comes from one input row (narrow projections only, no shuffle), and every input
 row is used: the mapping never samples or caps. Dirty values are planted on purpose by the row key
-(unparseable timestamps, blank or missing sources, unknown event names, NULL foreign keys, text in
-numeric columns) so that the defensive typing of staging is exercised at every scale.
+(unparseable timestamps, blank or missing sources, unknown event names, NULL foreign keys, foreign keys
+without a row, e-mail addresses in properties, text in numeric columns) so that the defensive typing of
+staging and the quality checks are exercised at every scale.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from sparkmarts.contracts import SOURCE_TABLES
 from sparkmarts.plans.lazy import LazyFrames
 from sparkmarts.sources.normalize import empty_frame, normalize
 
-DRIVER_TABLES = ("events", "customer", "part", "orders", "lineitem")
+DRIVER_TABLES = ("events", "customer", "part", "orders", "lineitem", "supplier")
 
 # --- fixed values: event name planted for each (event_type, event_id mod k) ---
 EVENT_NAME_BY_TYPE: dict[str, tuple[str | None, ...]] = {
@@ -90,8 +91,12 @@ def raw_analytics_events(events: DataFrame) -> DataFrame:
         name.alias("event_name"),
         _pick("event_id", EVENT_SOURCES).alias("source"),
         _unless(eid % 7 == 0, _prefixed("admin-", F.col("user_id"))).alias("admin_id"),
-        _unless(eid % 5 == 0, _prefixed("org-", F.col("user_id") % 40)).alias("organization_id"),
-        F.col("props").alias("properties"),
+        F.when(eid % 53 == 1, _prefixed("org-gone-", F.col("user_id") % 7))
+        .when(eid % 5 != 0, _prefixed("org-", F.col("user_id") % 40)).alias("organization_id"),
+        _unless(eid % 3 == 0, _prefixed("club-", F.col("user_id") % 30)).alias("club_id"),
+        F.when(eid % 41 == 0, F.concat(F.lit('{"note": "write to user'), F.col("user_id").cast("string"),
+                                       F.lit('@mail.example.com"}')))
+        .otherwise(F.col("props")).alias("properties"),
     )
     return normalize(df, "analytics_events")
 
@@ -111,6 +116,18 @@ def raw_organizations(customer: DataFrame) -> DataFrame:
     return normalize(df, "organizations")
 
 
+def raw_clubs(supplier: DataFrame) -> DataFrame:
+    """Clubs with even numbers, so that events of odd ones refer to none."""
+    df = supplier.select(
+        _prefixed("club-", F.col("s_suppkey") * 2).alias("id"),
+        F.lit(CALENDAR_START).alias("created_at"),
+        _prefixed("admin-", F.col("s_suppkey") % 200).alias("created_by"),
+        F.col("s_name").alias("name"),
+        F.lower(F.col("s_name")).alias("slug"),
+    )
+    return normalize(df, "clubs")
+
+
 def raw_players(part: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
     day = F.date_add(F.lit(CALENDAR_START).cast("date"), (key % 30).cast("int"))
@@ -199,6 +216,7 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> LazyFrames:
 _MAPPING = {
     "analytics_events": ("events", raw_analytics_events),
     "organizations": ("customer", raw_organizations),
+    "clubs": ("supplier", raw_clubs),
     "players": ("part", raw_players),
     "matches": ("orders", raw_matches),
     "league_billing_payments": ("orders", raw_league_billing_payments),
@@ -210,8 +228,8 @@ _MAPPING = {
 def raw_tables(spark: SparkSession, sf_dir: str) -> LazyFrames:
     """All eleven raw source tables derived from the driver tables in ``sf_dir``.
 
-    Tables without a driver counterpart (admins, organization_admins, clubs, club_matches) are
-    empty frames of their contract. Each table is defined on first access.
+    Tables without a driver counterpart (admins, organization_admins, club_matches) are empty
+    frames of their contract. Each table is defined on first access.
     """
     d = read_driver_tables(spark, sf_dir)
 

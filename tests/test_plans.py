@@ -120,3 +120,25 @@ def test_typed_timestamps_need_no_generator(spark):
 
     plan = plan_text(stg_analytics_events(empty_frame(spark, "analytics_events")), "simple")
     assert "Generate" not in plan
+
+
+def test_typed_payment_tables_take_pushed_date_filters(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkmarts.operators.marts import finance
+    from sparkmarts.sources.normalize import empty_frame, normalize
+
+    typed = normalize(spark.range(100).select(
+        F.col("id").cast("string").alias("id"), F.expr(
+            "cast(date_add(date'2026-01-01', cast(id as int)) as timestamp_ntz)").alias("created_at"),
+        F.lit(2.0).alias("amount"), F.lit("approved").alias("status")), "league_billing_payments")
+    typed.write.parquet(str(tmp_path / "league"))
+    stored = spark.read.parquet(str(tmp_path / "league"))
+    mart = finance(stored, empty_frame(spark, "tournament_billing_payments"),
+                   empty_frame(spark, "club_match_payments"))
+    some = R.in_range(mart, "payment_date", date(2026, 1, 10), date(2026, 1, 12))
+    plan = plan_text(some)
+    assert "Generate" not in plan_text(mart, "simple")
+    pushed = " ".join(pushed_filters(plan))
+    assert "GreaterThanOrEqual(created_at" in pushed and "LessThan(created_at" in pushed
+    assert sorted(str(r.payment_date) for r in some.collect()) == ["2026-01-10", "2026-01-11", "2026-01-12"]
