@@ -9,9 +9,9 @@ referencing side per key before the anti join, so their shuffle is bounded by di
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmarts.contracts import EVENT_ALLOWLIST, FINANCE_DOMAINS, FORBIDDEN_TABLES
@@ -198,3 +198,64 @@ def forbidden_findings(table_names: Iterable[str], ranking_columns: Iterable[str
         if c in set(ranking_columns):
             found.append(f"mart_entity_ranking carries {c}")
     return found
+
+
+# -- figures observed while tables are written -------------------------------------------------
+
+
+def _event_figures() -> list[Column]:
+    allowed = F.col("event_name").isin(list(EVENT_ALLOWLIST))
+    return [
+        *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in EVENT_NOT_NULL],
+        F.count_if(F.col("event_name").isNotNull() & ~allowed).alias("event_name_not_allowed"),
+    ]
+
+
+def _staged_event_figures() -> list[Column]:
+    return [F.count_if(F.coalesce(email_like(F.col("properties")), F.lit(False))).alias("pii_hits")]
+
+
+def _finance_figures() -> list[Column]:
+    known = F.col("domain").isin(list(FINANCE_DOMAINS))
+    return [
+        F.sum("expected_amount").alias("expected_amount"),
+        F.sum("paid_amount").alias("paid_amount"),
+        *[F.count_if(F.col("domain") == d).alias(f"domain:{d}") for d in FINANCE_DOMAINS],
+        F.count_if(F.coalesce(~known, F.lit(True))).alias("domain_not_in_contract"),
+    ]
+
+
+#: Figures of each table beside its row count, as aggregates over its columns.
+OBSERVED: dict[str, Callable[[], list[Column]]] = {
+    "raw_analytics_events": _event_figures,
+    "stg_analytics_events": _staged_event_figures,
+    "mart_finance": _finance_figures,
+}
+
+
+def log_rows(spark: SparkSession, stats: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(table_name, metric, value) rows of observed figures (a few per table)."""
+    rows = [(table, metric, float(value)) for table, figures in stats.items()
+            for metric, value in figures.items()]
+    return spark.createDataFrame(rows, "table_name string, metric string, value double")
+
+
+def observed_findings(stats: Mapping[str, Mapping[str, float]],
+                      names: Sequence[str] = NON_EMPTY_MARTS) -> list[str]:
+    """Breaches that observed figures show, without a scan: the checks on nulls, allowed events, addresses,
+    payment domains and empty marts. An empty list is a healthy build."""
+    found = []
+    events = stats.get("raw_analytics_events", {})
+    for figure in (*[f"{c}_nulls" for c in EVENT_NOT_NULL], "event_name_not_allowed"):
+        if events.get(figure):
+            found.append(f"raw_analytics_events: {figure} = {events[figure]:.0f}")
+    if stats.get("stg_analytics_events", {}).get("pii_hits"):
+        found.append(f"stg_analytics_events: pii_hits = {stats['stg_analytics_events']['pii_hits']:.0f}")
+    finance = stats.get("mart_finance")
+    if finance is not None:
+        found += [f"mart_finance: no rows of domain {d}" for d in FINANCE_DOMAINS
+                  if not finance.get(f"domain:{d}")]
+        if finance.get("domain_not_in_contract"):
+            found.append(f"mart_finance: domain_not_in_contract = {finance['domain_not_in_contract']:.0f}")
+    found += [f"{name}: no rows" for name in names if name in stats and not stats[name].get("rows")]
+    return found

@@ -63,3 +63,24 @@ UNBOUNDED_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 def unbounded_joins(plan: str) -> list[str]:
     """Join operators that pair rows without an equality key."""
     return [j for j in UNBOUNDED_JOINS if j in plan]
+
+
+def shuffled_rows(df: DataFrame) -> int:
+    """Rows that ``df`` writes to all its shuffles when it runs (it is run, with adaptive plans off)."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fresh = df.select("*")
+        execution = fresh._jdf.queryExecution()
+        execution.executedPlan().executeCollect()
+        total, nodes = 0, [execution.executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Exchange":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+        return total
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -12,6 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from sparkmarts.contracts import SOURCE_TABLES
 from sparkmarts.operators import marts as M
 from sparkmarts.operators import staging as S
 from sparkmarts.plans.lazy import LazyFrames
@@ -65,15 +66,20 @@ def build_marts(warehouse, write_staging: bool = True) -> list[str]:
     Missing raw tables are first created empty. With ``write_staging`` the three staging
     tables are landed and read back, so each is computed once and every mart starts from a
     durable table (lineage cut at shared storage, not in executor memory); without it each
-    mart plans straight from the raw scans. Returns the mart names in build order.
+    mart plans straight from the raw scans. Readers see all new tables at the end, or, if the
+    build fails, the old ones. The figures observed on the way are logged as a table. Returns the
+    mart names in build order.
     """
     warehouse.ensure_raw()
-    raw = warehouse.read_raw()
-    staged = stage(raw)
-    if write_staging:
-        for name, df in staged.items():
+    with warehouse.switch_at_end():
+        raw = warehouse.read_raw()
+        staged = stage(raw)
+        if write_staging:
+            for name, df in staged.items():
+                warehouse.write_table(name, df)
+            staged = {name: warehouse.read(name) for name in STAGING_NAMES}
+        for name, df in marts(raw, staged).items():
             warehouse.write_table(name, df)
-        staged = {name: warehouse.read(name) for name in STAGING_NAMES}
-    for name, df in marts(raw, staged).items():
-        warehouse.write_table(name, df)
+        logged = [spec.raw_name for spec in SOURCE_TABLES.values()] + list(MART_NAMES)
+        warehouse.log_stats([*logged, *(STAGING_NAMES if write_staging else ())])
     return list(MART_NAMES)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmarts.functions import json_text
+from sparkmarts.operators import id_sets as I
 from sparkmarts.operators import quality as Q
 from sparkmarts.operators import reports as R
 from sparkmarts.plans import pipeline
@@ -125,6 +126,23 @@ def dash_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _growth_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = pipeline.stage(_raw(spark, sf_dir))["stg_analytics_events"]
+    return I.growth_id_sets(events, I.number_ids(events, "admin_id"),
+                            I.number_ids(events, "organization_id"))
+
+
+def _set_queries() -> dict[str, QueryFn]:
+    """Exact distinct counts from mergeable id sets: the mart, date ranges, looking back."""
+    return {
+        "growth_from_sets": lambda s, d: I.growth_daily_from_sets(_growth_sets(s, d)),
+        "active_ids_by_stage": lambda s, d: I.active_ids(_growth_sets(s, d), *GROWTH_RANGE,
+                                                         by=["funnel_stage"]),
+        "active_ids_total": lambda s, d: I.active_ids(_growth_sets(s, d), *GROWTH_RANGE),
+        "rolling_active_ids": lambda s, d: I.rolling_ids(_growth_sets(s, d), 7, by=["funnel_stage"]),
+    }
+
+
 def _report_queries() -> dict[str, QueryFn]:
     mart = pipeline.mart
     return {
@@ -188,5 +206,6 @@ def queries() -> dict[str, QueryFn]:
     for name in pipeline.MART_NAMES:
         q[name] = _mart(name)
     q.update(_report_queries())
+    q.update(_set_queries())
     q.update(_quality_queries())
     return q

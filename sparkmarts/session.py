@@ -7,8 +7,9 @@ session it is given. ``local_session`` is for tests, the bench and the smoke ent
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine is tuned for (recommended for cluster sessions as well): UTC session zone,
 # AQE for run-time coalescing, skew-join splitting and broadcast conversion of small sides, and
@@ -57,3 +58,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise ValueError("spark.checkpoint.dir is not set; point it at shared storage")
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there: its rows stay as they are even
+    if executors are lost. A local session without such a folder gets a temporary one."""
+    spark = df.sparkSession
+    local = spark.sparkContext.master.startswith("local[")
+    fallback = tempfile.mkdtemp(prefix="checkpoint-") if local and not (
+        spark.sparkContext.getCheckpointDir()) else None
+    checkpoint_dir(spark, fallback)
+    return df.checkpoint(eager=True)

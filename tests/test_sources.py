@@ -12,6 +12,7 @@ import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmarts.contracts import SOURCE_TABLES
@@ -114,7 +115,9 @@ def test_build_marts_end_to_end(spark, sample, tmp_path):
                  {"start": date(2025, 9, 1), "end": date(2025, 9, 2)})
     assert sorted(tuple(r) for r in q.collect()) == [("acquisition", 2), ("activation", 2)]
     # date-keyed marts are stored one folder per date, so report filters prune partitions
-    assert any(p.startswith("payment_date=") for p in os.listdir(tmp_path / "wh2" / "mart_finance"))
+    version = wh.pointer("mart_finance").version
+    folder = tmp_path / "wh2" / "mart_finance" / version
+    assert any(p.startswith("payment_date=") for p in os.listdir(folder))
     assert wh.exists("stg_analytics_events")
 
 
@@ -139,19 +142,97 @@ def test_stored_marts_keep_schema_and_column_order(spark, sample, tmp_path):
         assert wh.read(name).schema == built_schema(name)
 
 
-def test_unfinished_tables_are_neither_read_nor_replaced(spark, sample, tmp_path):
+def versions(folder):
+    return sorted(p.name for p in folder.iterdir() if p.is_dir())
+
+
+def test_a_write_that_dies_leaves_the_old_table(spark, sample, tmp_path):
     wh = Warehouse(spark, str(tmp_path / "wh5"))
-    wh.write_raw(sample)
-    left = tmp_path / "wh5" / "raw_matches"
-    (left / "_SUCCESS").unlink()
-    files = sorted(p.name for p in left.iterdir())
-    for act in (lambda: wh.exists("raw_matches"), lambda: wh.read("raw_matches"), wh.ensure_raw,
-                wh.read_raw, lambda: pipeline.build_marts(wh)):
-        with pytest.raises(IncompleteTableError):
-            act()
-    assert sorted(p.name for p in left.iterdir()) == files
+    wh.write("t", spark.range(3))
+    reader = wh.read("t")
+    bad = spark.range(5).select(F.expr("if(id = 4, raise_error('dies'), id)").alias("id"))
+    with pytest.raises(Exception, match="dies"):
+        wh.write("t", bad)
+    assert wh.read("t").count() == 3 == reader.count() and wh.stats("t") == {"rows": 3.0}
+    dead, running = (tmp_path / "wh5" / "t" / v for v in ("v0-killed", "v1-running"))
+    for folder in (dead, running):  # as a killed driver and a running one leave them
+        (folder / "_temporary").mkdir(parents=True)
+    os.utime(dead, (1, 1))
+    assert wh.read("t").count() == 3
+    wh.write("t", wh.read("t").union(spark.range(1)))  # from its own old version
+    assert wh.read("t").count() == 4 and reader.count() == 3
+    assert len(versions(tmp_path / "wh5" / "t")) == 3 and running.exists() and not dead.exists()
+    wh.write("t", spark.range(9))
+    assert len(versions(tmp_path / "wh5" / "t")) == 3 and wh.read("t").count() == 9  # the oldest went
+    # a version that lost its marker is not read
+    (tmp_path / "wh5" / "t" / wh.pointer("t").version / "_SUCCESS").unlink()
+    with pytest.raises(IncompleteTableError):
+        wh.read("t")
     with pytest.raises(ValueError):
         wh.read("mart_finance")
+    with pytest.raises(ValueError):
+        wh.stats("mart_finance")
+
+
+def test_a_build_switches_all_its_tables_at_the_end(spark, sample, tmp_path, monkeypatch):
+    wh = Warehouse(spark, str(tmp_path / "wh6"))
+    wh.write_raw(sample)
+    pipeline.build_marts(wh)
+    before = {n: wh.pointer(n).version for n in (*pipeline.STAGING_NAMES, *pipeline.MART_NAMES)}
+    wh.write_raw({"analytics_events": sample["analytics_events"].limit(0)})
+
+    def dies(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("sparkmarts.operators.marts.entity_ranking", dies)
+        with pytest.raises(RuntimeError, match="killed"):
+            pipeline.build_marts(wh)
+    other = Warehouse(spark, str(tmp_path / "wh6"))
+    assert {n: other.pointer(n).version for n in before} == before
+    assert other.read("mart_growth_daily").count() == len(GOLDEN["mart_growth_daily"])
+    with wh.switch_at_end():
+        wh.write("a", spark.range(1))
+        assert wh.read("a").count() == 1 and not other.exists("a")
+    assert other.exists("a")
+    pipeline.build_marts(wh)
+    assert other.read("mart_growth_daily").count() == 0
+    assert all(other.pointer(n).version != v for n, v in before.items())
+
+
+def test_observed_figures_equal_the_checks(spark, sample, tmp_path):
+    from sparkmarts.operators import quality as Q
+    from tests.test_quality import dirty_events
+
+    raw = {**sample, "analytics_events": dirty_events(spark, sample)}
+    wh = Warehouse(spark, str(tmp_path / "wh7"))
+    wh.write_raw(raw)
+    pipeline.build_marts(wh)
+    events, finance = wh.read("raw_analytics_events"), wh.read("mart_finance")
+    seen = wh.stats("raw_analytics_events")
+    nulls = Q.null_counts(events).first().asDict()
+    assert {**{k: seen[k] for k in nulls if k != "total_rows"}, "total_rows": seen["rows"]} == nulls
+    assert seen["event_name_not_allowed"] == Q.event_allowlist_violations(events).count() == 1
+    staged = wh.read("stg_analytics_events")
+    assert wh.stats("stg_analytics_events")["pii_hits"] == Q.pii_hits(staged).first()["pii_hits"] == 1
+    totals = Q.finance_totals(finance, money_digits=None).first()
+    seen = wh.stats("mart_finance")
+    assert (seen["rows"], seen["expected_amount"], seen["paid_amount"]) == tuple(totals)
+    assert {d for d in ("league", "tournament", "club_match") if seen[f"domain:{d}"]} == {
+        r["domain"] for r in Q.finance_domains(finance).where("in_data").collect()}
+    for name in pipeline.MART_NAMES:
+        assert wh.stats(name)["rows"] == wh.read(name).count()
+    log = {(r["table_name"], r["metric"]): r["value"] for r in wh.read("etl_table_stats").collect()}
+    assert log[("mart_finance", "rows")] == totals["payments"]
+    assert log[("raw_players", "rows")] == sample["players"].count()
+    stats = {n: wh.stats(n) for n in ("raw_analytics_events", "stg_analytics_events", *pipeline.MART_NAMES)}
+    assert Q.observed_findings(stats) == [
+        "raw_analytics_events: id_nulls = 1", "raw_analytics_events: created_at_nulls = 1",
+        "raw_analytics_events: event_name_nulls = 1", "raw_analytics_events: source_nulls = 1",
+        "raw_analytics_events: event_name_not_allowed = 1", "stg_analytics_events: pii_hits = 1"]
+    assert Q.observed_findings({"mart_finance": {"rows": 0.0}, "mart_admin_usage": {"rows": 0.0}}) == [
+        "mart_finance: no rows of domain league", "mart_finance: no rows of domain tournament",
+        "mart_finance: no rows of domain club_match", "mart_admin_usage: no rows"]
 
 
 def GOLDEN_COLUMNS(name):
@@ -214,6 +295,13 @@ def test_catalog_warehouse_round_trip(spark, sample, tmp_path):
         got = bag(wh.read("mart_entity_ranking").select(*GOLDEN_COLUMNS("mart_entity_ranking")))
         assert got == sorted(GOLDEN["mart_entity_ranking"], key=repr)
         assert spark.catalog.tableExists("marts_test.mart_finance")
+        assert wh.stats("mart_finance")["rows"] == wh.read("mart_finance").count() == 6
+        old = wh.pointer("mart_finance").version
+        pipeline.build_marts(wh)
+        pipeline.build_marts(wh)
+        tables = {t.name for t in spark.catalog.listTables("marts_test")}
+        assert wh._version_table("mart_finance", old).split(".")[1] not in tables
+        assert sum(t.startswith("mart_finance__") for t in tables) == 2
         with pytest.raises(ValueError):
             CatalogWarehouse(spark, "bad name")
     finally:
