@@ -82,8 +82,8 @@ TABLE_STATS = "etl_table_stats"
 DONE = "_SUCCESS"  # Spark's committer leaves it in a version's folder when all files are there
 POINTER = "_CURRENT"
 #: --- fixed values: bucket column of catalog tables that are joined on it ---
-BUCKETED = {"stg_organizations": "organization_id", "stg_matches": "organization_id",
-            "stg_players": "organization_id"}
+BUCKETED = {"raw_players": "organization_id", "stg_organizations": "organization_id",
+            "stg_matches": "organization_id"}
 
 
 class IncompleteTableError(RuntimeError):
@@ -312,9 +312,10 @@ class CatalogWarehouse(Warehouse):
     """The same table store on the session catalog: views ``<database>.<name>`` over version tables.
 
     Use this where a metastore names the tables; existence is a catalog lookup, not a file probe, and
-    replacing the view is the switch. The database must exist. Its staging tables are bucketed by
-    organisation, so that joins and aggregates on it need no exchange. With ``bucketed`` the tables of
-    ``BUCKETED`` get that many buckets.
+    replacing the view is the switch. The database must exist. With ``buckets`` the tables of ``BUCKETED``
+    are stored in that many buckets by organisation, so that the ranking's aggregates and joins on it need
+    no exchange. A bucket is written and read by one task: leave it at 0 where one organisation may hold
+    a large share of all players or matches.
     """
 
     def __init__(self, spark: SparkSession, database: str, keep: int = 1, buckets: int = 0):
@@ -360,10 +361,15 @@ class CatalogWarehouse(Warehouse):
     def _save(self, writer, name: str, version: str) -> None:
         writer.format("parquet").saveAsTable(self._version_table(name, version))
 
-    def write_table(self, name: str, df: DataFrame) -> str:
-        """Write a staging or mart table with its standard layout, bucketed where joins need it."""
+    def _commit(self, name: str, df: DataFrame, configure=lambda writer: writer) -> str:
         key = BUCKETED.get(name)
         if not (key and self.buckets):
-            return super().write_table(name, df)
+            return super()._commit(name, df, configure)
         dealt = df.repartition(self.buckets, key).sortWithinPartitions(key)
-        return self._commit(name, dealt, lambda writer: writer.bucketBy(self.buckets, key).sortBy(key))
+        return super()._commit(name, dealt, lambda writer: writer.bucketBy(self.buckets, key).sortBy(key))
+
+    def write_table(self, name: str, df: DataFrame) -> str:
+        """Write a staging or mart table with its standard layout, or in buckets."""
+        if name in BUCKETED and self.buckets:
+            return self._commit(name, df)
+        return super().write_table(name, df)

@@ -306,3 +306,31 @@ def test_catalog_warehouse_round_trip(spark, sample, tmp_path):
             CatalogWarehouse(spark, "bad name")
     finally:
         spark.sql("DROP DATABASE IF EXISTS marts_test CASCADE")
+
+
+def test_ranking_from_bucketed_tables_needs_no_exchange(spark, sample, tmp_path):
+    from sparkmarts.plans.inspect import count_nodes, plan_text
+    from sparkmarts.sources.warehouse import CatalogWarehouse
+
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS marts_buckets LOCATION '{tmp_path / 'db2'}'")
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plain, bucketed = (CatalogWarehouse(spark, "marts_buckets", buckets=n) for n in (0, 4))
+        exchanges = {}
+        for name, wh in (("plain", plain), ("bucketed", bucketed)):
+            wh.write_raw(sample)
+            pipeline.build_marts(wh)
+            staged = {n: wh.read(n) for n in pipeline.STAGING_NAMES}
+            mart = pipeline.marts(wh.read_raw(), staged)["mart_entity_ranking"]
+            plan = plan_text(mart)
+            exchanges[name] = count_nodes(plan, "Exchange")
+            assert count_nodes(plan, "SortMergeJoin") == 2
+            assert bag(mart) == sorted(GOLDEN["mart_entity_ranking"], key=repr)
+        assert exchanges["plain"] >= 3 and exchanges["bucketed"] == 0
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS marts_buckets CASCADE")
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
