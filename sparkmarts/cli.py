@@ -57,7 +57,11 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--full-refresh", action="store_true")
             s.add_argument("--split", nargs="*", default=[], type=split_of,
                            metavar="TABLE=COLUMN,LOWER,UPPER,PARTITIONS",
-                           help="read TABLE in parallel ranges of COLUMN")
+                           help="read TABLE in equal strides of COLUMN between given bounds")
+            s.add_argument("--split-on", nargs="*", default=[], type=split_column,
+                           metavar="TABLE=COLUMN", help="column whose quantiles cut TABLE "
+                           "(without it: created_at)")
+            s.add_argument("--ranges", type=int, default=64, help="ranges a table is cut into")
             s.add_argument("--single-task", nargs="*", default=[], metavar="TABLE",
                            help="tables small enough to be read by one task")
             s.add_argument("--timeout", type=int, default=60, help="seconds a statement may take")
@@ -76,13 +80,14 @@ def main(argv: Sequence[str] | None = None) -> list[str]:
     spark = SparkSession.builder.getOrCreate()
     store = _store(spark, args)
     if args.command == "extract":
-        from sparkmarts.sources.jdbc import JdbcSource, extract_tables
+        from sparkmarts.sources.jdbc import JdbcSource, extract_tables, planned_splits
 
         splits = dict(args.split)
-        check_splits(args.tables or SOURCE_TABLES, splits, args.single_task)
         source = JdbcSource(args.jdbc_url, args.schema, _properties(args.properties_file),
                             timeout_seconds=args.timeout)
-        frames = extract_tables(spark, source, args.tables, splits=splits)
+        planned = planned_splits(spark, source, to_plan(args.tables, splits, args.single_task),
+                                 dict(args.split_on), args.ranges)
+        frames = extract_tables(spark, source, args.tables, splits=splits, predicates=planned)
         return store.write_raw(frames, full_refresh=args.full_refresh)
     if args.command == "build":
         from sparkmarts.plans.pipeline import build_marts
@@ -113,12 +118,17 @@ def split_of(text: str) -> tuple:
     return table, JdbcSplit(column.strip(), lower.strip(), upper.strip(), int(count))
 
 
-def check_splits(tables, splits, single_task) -> None:
-    """Every table is read in ranges or named as small; a forgotten one would be one long task."""
-    open_tables = [t for t in tables if t not in splits and t not in single_task]
-    if open_tables:
-        raise SystemExit("no --split for " + ", ".join(open_tables)
-                         + "; give one, or list the table under --single-task")
+def split_column(text: str) -> tuple[str, str]:
+    """("table", "column") of ``TABLE=COLUMN``."""
+    table, found, column = text.partition("=")
+    if not (table and found and column):
+        raise argparse.ArgumentTypeError(f"{text!r} is not TABLE=COLUMN")
+    return table.strip(), column.strip()
+
+
+def to_plan(tables, splits, single_task) -> list[str]:
+    """Tables whose ranges come from the source: those without given strides and not named as small."""
+    return [t for t in tables or SOURCE_TABLES if t not in splits and t not in single_task]
 
 
 def quality_checks(store, marts) -> dict:

@@ -1,9 +1,10 @@
 """Parallel extraction of the contract tables over JDBC.
 
-Each table becomes one lazy DataFrame read by many tasks at once: Spark splits the scan on a
-numeric, date or timestamp column (``JdbcSplit``), or on explicit WHERE predicates, and rows go
-from the executors straight to their sink without passing through the driver. Only metadata
-(the table's column names) is fetched on the driver.
+Each table becomes one lazy DataFrame read by many tasks at once: the source is asked for the quantiles of
+a column, and each even range between them is one task's WHERE predicate (``planned_splits``); strides of
+a numeric, date or timestamp column (``JdbcSplit``) or own predicates do as well. Rows go from the executors
+straight to their sink without passing through the driver. Only metadata (column names, range ends) is
+fetched on the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from decimal import Decimal
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from sparkmarts.contracts import SOURCE_TABLES, check_identifier, quote_identifi
 from sparkmarts.sources.normalize import empty_frame, normalize
 
 STATEMENT_TIMEOUT_SECONDS = 60
+SPLIT_COLUMN = "created_at"
 UNDEFINED_TABLE = frozenset({"42P01", "42S02"})
 
 
@@ -76,6 +79,65 @@ def time_slice_predicates(column: str, bounds: Sequence[datetime | date | str])
     return preds
 
 
+def quantile_query(relation: str, column: str, parts: int) -> str:
+    """SQL for the lower ends and row counts of ``parts`` equally large ranges of ``column``.
+
+    ``relation`` is a quoted table name. The statement uses standard window functions, so the source
+    ranks the column itself (an index on it serves the order) and answers with one row per range.
+    """
+    if parts < 1:
+        raise ValueError("at least one range is needed")
+    q = quote_identifier(column)
+    return (f"SELECT MIN({q}) AS lower_end, COUNT(*) AS row_count FROM (SELECT {q}, NTILE({int(parts)}) "
+            f"OVER (ORDER BY {q}) AS part FROM {relation} WHERE {q} IS NOT NULL) ranked "
+            "GROUP BY part")
+
+
+def _literal(value) -> str:
+    """A number as it is, any other value as quoted text (dates and times in ISO form)."""
+    if isinstance(value, bool):
+        raise ValueError("a boolean column can't be cut into ranges")
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def range_predicates(column: str, lower_ends: Sequence) -> list[str]:
+    """WHERE predicates for disjoint, covering ranges that begin at ``lower_ends`` (in order).
+
+    Repeated ends are one: a value with more rows than a range is a range of its own. The first range also
+    takes everything below, NULLs get a read of their own.
+    """
+    q = quote_identifier(column)
+    ends = list(dict.fromkeys(lower_ends))
+    cuts = [_literal(value) for value in ends[1:]]
+    if not cuts:
+        return [f"{q} IS NOT NULL", f"{q} IS NULL"]
+    found = [f"{q} < {cuts[0]}"]
+    found += [f"({q} >= {low} AND {q} < {high})" for low, high in zip(cuts, cuts[1:])]
+    return [*found, f"{q} >= {cuts[-1]}", f"{q} IS NULL"]
+
+
+def plan_predicates(spark: SparkSession, source: JdbcSource, table: str, column: str,
+                    parts: int) -> list[str]:
+    """Predicates of even ranges of ``column``, as the source's own quantiles cut them."""
+    query = quantile_query(qualified_table(source, table), column, parts)
+    reader = spark.read.format("jdbc").options(**reader_options(source))
+    rows = reader.option("query", query).load().collect()  # one row a range
+    return range_predicates(column, sorted(row[0] for row in rows))
+
+
+def planned_splits(spark: SparkSession, source: JdbcSource, tables: Iterable[str],
+                   columns: Mapping[str, str] | None = None, parts: int = 64) -> dict[str, list[str]]:
+    """Predicates for every table of ``tables`` that has its split column (``created_at`` by default)."""
+    found = {}
+    for table in tables:
+        column = (columns or {}).get(table, SPLIT_COLUMN)
+        if column in existing_columns(spark, source, table):
+            found[table] = plan_predicates(spark, source, table, column, parts)
+    return found
+
+
 def reader_options(source: JdbcSource) -> dict[str, str]:
     """Options shared by every read: URL, credentials, statement timeout and fetch size."""
     opts = {

@@ -32,20 +32,23 @@ def test_properties_file(tmp_path):
     assert _properties(None) == {}
 
 
-def test_extract_needs_a_split_or_a_small_table():
+def test_extract_plans_the_tables_without_own_splits():
     import pytest
 
-    from sparkmarts.cli import check_splits, parser
+    from sparkmarts.cli import parser, to_plan
 
     args = parser().parse_args([
         "extract", "--jdbc-url", "u", "--schema", "s", "--warehouse", "w", "--timeout", "900",
-        "--split", "players=created_at,2025-01-01,2026-01-01,64", "--single-task", "clubs"])
+        "--split", "players=created_at,2025-01-01,2026-01-01,64", "--single-task", "clubs",
+        "--split-on", "matches=scheduled_at", "--ranges", "8"])
     split = dict(args.split)["players"].options()
     assert split["numPartitions"] == "64" and split["lowerBound"] == "2025-01-01"
-    assert args.timeout == 900
-    check_splits(["players", "clubs"], dict(args.split), args.single_task)
-    with pytest.raises(SystemExit, match="matches"):
-        check_splits(["players", "matches"], dict(args.split), args.single_task)
+    assert args.timeout == 900 and args.ranges == 8 and dict(args.split_on) == {"matches": "scheduled_at"}
+    assert to_plan(["players", "matches", "clubs"], dict(args.split), args.single_task) == ["matches"]
+    assert len(to_plan(None, dict(args.split), args.single_task)) == 9
+    with pytest.raises(SystemExit):
+        parser().parse_args(["extract", "--jdbc-url", "u", "--schema", "s", "--warehouse", "w",
+                             "--split-on", "matches"])
 
 
 def test_report_and_quality_of_an_empty_product(spark, tmp_path):

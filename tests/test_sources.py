@@ -334,3 +334,40 @@ def test_ranking_from_bucketed_tables_needs_no_exchange(spark, sample, tmp_path)
         spark.sql("DROP DATABASE IF EXISTS marts_buckets CASCADE")
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_planned_ranges_are_even_and_cover_every_row(spark):
+    """The planner's SQL and predicates on a Spark relation: uneven values, a hot one, NULLs."""
+    from sparkmarts.sources.jdbc import quantile_query, range_predicates
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 10 != 0, F.pow(F.col("id") / 1000, 4).cast("int")).alias("n"),
+        F.expr("cast(date'2026-01-01' + cast(pow(id / 1000, 4) as int) as timestamp_ntz)").alias("created_at"),
+        F.when(F.col("id") % 3 != 0, F.concat(F.lit("it's "), F.col("id").cast("string")))
+        .otherwise("hot").alias("name"))
+    rows.createOrReplaceTempView("planned_rows")
+    name = "spark.sql.ansi.doubleQuotedIdentifiers"
+    spark.conf.set(name, "true")
+    try:
+        for column, most in (("n", 950), ("created_at", 1050), ("name", 1750)):
+            ends = spark.sql(quantile_query('"planned_rows"', column, 8)).collect()
+            assert len(ends) == 8 and sum(r["row_count"] for r in ends) == rows.where(
+                F.col(column).isNotNull()).count()
+            predicates = range_predicates(column, sorted(r["lower_end"] for r in ends))
+            sizes = [spark.sql(f"SELECT * FROM planned_rows WHERE {p}").count() for p in predicates]
+            assert sum(sizes) == 4000  # disjoint and covering
+            assert sizes[-1] == rows.where(F.col(column).isNull()).count()
+            assert max(sizes) <= most
+            for one, other in zip(predicates, predicates[1:]):
+                assert spark.sql(f"SELECT * FROM planned_rows WHERE {one} AND {other}").count() == 0
+        none = [spark.sql(f"SELECT * FROM planned_rows WHERE {p}").count() for p in range_predicates("n", [])]
+        assert sum(none) == 4000
+    finally:
+        spark.conf.unset(name)
+        spark.catalog.dropTempView("planned_rows")
+    with pytest.raises(ValueError):
+        quantile_query('"t"', "bad column", 8)
+    with pytest.raises(ValueError):
+        quantile_query('"t"', "n", 0)
+    with pytest.raises(ValueError):
+        range_predicates("n", [False, True])
