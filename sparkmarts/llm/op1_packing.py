@@ -6,14 +6,14 @@ that are nearly full are emitted; underfull bins go on as items of the next roun
 partitions pack them again, until one partition holds the rest or a round merges nothing more.
 Rows that move are a few numbers a piece, never token ids; a task packs ``task_items`` items at most.
 
-Defined cases: a null or empty text is one piece that holds the end id alone; ties and repeated rows
+Defined cases: a null or empty text is one piece that holds the end id alone; a very long text is many
+full pieces; the literal of a special token is that token, as the library has it; ties and repeated rows
 are packed as separate items; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,34 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmarts.llm.bpe_text import TextEncoder, byte_letters, plain_word
+from sparkmarts.llm.bpe_text import file_encoder
 from sparkmarts.llm.common import cut, slices, text_rows
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
-def json_encoder(path: str) -> TextEncoder:
-    """The encoder of a byte-level tokenizers file; one a Python worker, so that its memo lasts."""
-    if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        model, letters = tokenizer.model, byte_letters()
-
-        def encode(piece: str) -> bytes:
-            if plain_word(piece.lstrip(" ")) and piece.count(" ") <= 1:  # one match of the pattern
-                shown = "".join([letters[b] for b in piece.encode()])
-                ids = [t.id for t in model.tokenize(shown)]
-            else:
-                ids = tokenizer.encode(piece, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-
-        _ENCODERS[path] = TextEncoder(encode)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: str,
            text_col: str) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32."""
@@ -61,11 +36,11 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: s
         T.StructField("ids_crc32", T.LongType())])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = json_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = file_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 8 << 20):
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.ids(text) + end
+                ids = encoder.ids(text).tobytes() + end
                 n = len(ids) // 4
                 at, stop, k = 0, (n - 1) % max_len + 1, 0
                 while at < n:

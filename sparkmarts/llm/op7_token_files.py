@@ -2,10 +2,11 @@
 
 Method: documents are encoded, each followed by an end id, and laid out in ascending id order in
 shards. Each shard is compressed by Re-Pair: pairs of neighbouring symbols that are frequent are
-replaced by new symbols, round after round; the file holds the rules, the number of ids each symbol
-expands to, and the remaining symbols. The symbols' lengths give the place of any id, so that a
-range is decoded without the rest. A round replaces many pairs at once, and an occurrence that
-overlaps an earlier one in a run stays for the next round.
+replaced by new symbols, round after round until no pair occurs ``min_count`` times; the file holds the
+rules, the number of ids each rule expands to, and the remaining symbols. The stored lengths give the
+place of any id, so that a document or any range is decoded from the symbols that cover it alone. A
+round replaces many pairs at once, and an occurrence that overlaps another one in a run stays for the
+next round.
 
 File format (Parquet): one row per shard: part (number of the range partition), start (ids of the
 partition before the shard), keys and counts of its documents, first_rule, rules (pairs, little-
@@ -13,95 +14,49 @@ endian unsigned 32-bit), lengths (ids per rule), symbols. Spark's committer writ
 shared storage, so a lost executor or a second attempt leaves no stray shard.
 
 Defined cases: a null or empty text is the end id alone; rows with equal ids are ordered by text,
-null ids come first; an empty table gives no shard; other columns are not read.
+null ids come first; a very long text is a shard of its own; the literal of a special token is that
+token, as the library has it; an empty table gives no shard; other columns are not read.
 """
 
 from __future__ import annotations
 
-import os
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from sparkmarts.llm.bpe_text import STOPS, byte_letters, plain_word
-from sparkmarts.llm.common import Memo, cut, parts, slices, text_rows
+from sparkmarts.llm.bpe_text import file_encoder
+from sparkmarts.llm.common import cut, parts, slices, text_rows
 from sparkmarts.session import checkpoint_dir
 
 BUCKETS = 20  # bits of the hash table that counts pairs
 
 
-class WordEncoder:
-    """Ids of texts under a vocabulary that drops white space and keeps words apart.
+def occurrences(at: np.ndarray) -> np.ndarray:
+    """Which of the places do not overlap the place before them in their run."""
+    heads = np.r_[True, np.diff(at) != 1]
+    begin = np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))
+    return (np.arange(len(at)) - begin) % 2 == 0
 
-    Matches never cross white space, so the parts between spaces are encoded on their own.
-    """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.parts = Memo(self._part)
-
-    def _part(self, part: str) -> bytes:
-        if not part:
-            return b""
-        low = part.lower()
-        plain = low.isalpha() if low.isascii() else plain_word(part) and plain_word(low)
-        if not plain or "\u0130" in part:  # whose lower case is more than a character
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        elif low != part:
-            return self.parts[low]
-        else:
-            if not low.isascii():
-                low = "".join([self.letters[b] for b in low.encode()])
-            ids = [t.id for t in self.model.tokenize(low)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def ids(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text. Each different part of the texts is looked up once."""
-        # line ends are white space like any other
-        spaced = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
-        split = pc.split_pattern(spaced, " ")
-        coded = split.flatten().dictionary_encode()
-        known = self.parts
-        blobs = [known[part] if part[-1:] not in STOPS or not plain_word(part[:-1])
-                 else known[part[:-1]] + known[part[-1]]  # the stop is a match of its own
-                 for part in coded.dictionary.to_numpy(zero_copy_only=False)]
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat, codes = np.frombuffer(b"".join(blobs), "<u4"), coded.indices.to_numpy()
-        taken = sizes[codes]
-        ends = np.r_[0, np.cumsum(taken)]
-        source = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], taken)
-        source += np.arange(len(source))
-        cuts = ends[split.offsets.to_numpy()].tolist()
-        ids = flat[source]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int = 2048,
-             min_count: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rules[k] is the pair that symbol first_rule + k stands for."""
+def compress(ids: np.ndarray, first_rule: int, per_round: int = 8192, min_count: int = 16
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rules[k] is the pair that symbol first_rule + k stands for.
+
+    Pairs are first counted by a hash, of whose buckets the fullest ones go on; there they are counted
+    exactly. ``per_round`` bounds the buckets of a round, not what is replaced in the end.
+    """
     seq, rules = ids.astype(np.uint32), []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count:
-            break
+    while len(seq) >= 2 * min_count:
         bucket = seq[:-1] * np.uint32(0x9E3779B1)
         bucket ^= bucket >> np.uint32(15)
         bucket += seq[1:]
@@ -109,27 +64,19 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int =
         bucket >>= np.uint32(32 - BUCKETS)
         counts = np.bincount(bucket, minlength=1 << BUCKETS)
         often = counts >= min_count
+        all_often = often
         if often.sum() > per_round:
-            often = counts >= max(min_count, np.partition(counts, -per_round)[-per_round])
-        slot = np.cumsum(often, dtype=np.int32) - 1
-        at = np.flatnonzero(often[bucket])
-        if not len(at):
-            break
-        which, pair = slot[bucket[at]], seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        first = np.zeros(int(often.sum()), np.uint64)
-        first[which[::-1]] = pair[::-1]  # a bucket stands for the pair that comes first in it
-        own = pair == first[which]
-        at, which = at[own], which[own]
-        heads = np.r_[True, np.diff(at) != 1]
-        begin = np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))
-        apart = (np.arange(len(at)) - begin) % 2 == 0  # no overlaps in a run
-        at, which = at[apart], which[apart]
-        good = np.bincount(which, minlength=len(first)) >= min_count
-        if not good.any():
+            often = counts >= np.partition(counts, -per_round)[-per_round]
+        found = None
+        for some in (often, all_often):
+            at = np.flatnonzero(some[bucket])
+            if len(at):
+                found = frequent(seq, at, min_count)
+            if found is not None or some is all_often:
+                break
+        if found is None:
             break
-        keep = good[which]
-        at, which = at[keep], (np.cumsum(good) - 1)[which[keep]]
-        used = first[good]
+        at, which, used = found
         rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1)
                      .astype(np.uint32))
         seq[at] = first_rule + made + which
@@ -140,41 +87,76 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 5, per_round: int =
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
+def frequent(seq: np.ndarray, at: np.ndarray, min_count: int
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(places, number of the pair at each, pairs) to replace at once, none overlapping; None if no
+    pair has ``min_count`` of them."""
+    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    pairs, which, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    apart = occurrences(at)
+    good = np.bincount(which[apart], minlength=len(pairs)) >= min_count
+    if good.any():
+        keep = apart & good[which]
+        return at[keep], (np.cumsum(good) - 1)[which[keep]], pairs[good]
+    # pairs that overlap others: alone, the most frequent one that has enough places
+    for k in np.argsort(-counts, kind="stable"):
+        if counts[k] < min_count:
+            return None
+        own = at[which == k]
+        own = own[occurrences(own)]
+        if len(own) >= min_count:
+            return own, np.zeros(len(own), np.int64), pairs[k:k + 1]
+    return None
+
+
+def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """Ids that each rule expands to."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - first_rule] if a >= first_rule else 1)
+                   + (out[b - first_rule] if b >= first_rule else 1))
+    return np.array(out, np.int64)
+
+
 class Shard:
-    """Decodes a compressed shard, or any range of it."""
-
-    def __init__(self, rules: np.ndarray, first_rule: int, symbols: np.ndarray):
-        self.symbols, self.first = symbols, first_rule
-        flat: list[np.ndarray] = []
-        for a, b in rules.tolist():
-            both = [flat[x - first_rule] if x >= first_rule else np.array([x], np.uint32)
-                    for x in (a, b)]
-            flat.append(np.concatenate(both))
-        self.rule_lengths = np.array([len(x) for x in flat], np.int64)
-        self.flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
-        self.rule_starts = np.cumsum(self.rule_lengths) - self.rule_lengths
+    """Decodes any range of a compressed shard by the stored lengths of its rules."""
+
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray, first_rule: int, symbols: np.ndarray):
+        self.rules, self.lengths, self.first = rules, lengths.astype(np.int64), first_rule
+        self.symbols = symbols
+        self.ends = np.cumsum(self.sizes(symbols))
+        self.looked_at = 0  # symbols that decoding has met so far
+
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
         sizes = np.ones(len(symbols), np.int64)
-        rule = symbols >= first_rule
-        sizes[rule] = self.rule_lengths[symbols[rule] - first_rule]
-        self.ends = np.cumsum(sizes)
+        rule = symbols >= self.first
+        sizes[rule] = self.lengths[symbols[rule] - self.first]
+        return sizes
 
     def range(self, start: int, stop: int) -> np.ndarray:
-        """ids[start:stop], from the symbols that cover them alone."""
+        """ids[start:stop], from the symbols that cover them alone.
+
+        Level by level rules give way to their two parts, and parts outside of the range are dropped.
+        """
         if start >= stop:
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.ends, start, "right"))
         b = int(np.searchsorted(self.ends, stop, "left")) + 1
-        symbols, ends = self.symbols[a:b], self.ends[a:b]
-        before = int(self.ends[a - 1]) if a else 0
-        sizes = np.diff(np.r_[before, ends])
-        rule = symbols >= self.first
-        source = np.zeros(len(symbols), np.int64)
-        source[rule] = self.rule_starts[symbols[rule] - self.first]
-        within = np.arange(ends[-1] - before) - np.repeat(ends - sizes - before, sizes)
-        out = np.repeat(symbols, sizes)
-        inside = np.repeat(rule, sizes)
-        out[inside] = self.flat[(np.repeat(source, sizes) + within)[inside]]
-        return out[start - before:stop - before]
+        begin = int(self.ends[a - 1]) if a else 0
+        out = self.symbols[a:b]
+        while True:
+            self.looked_at += len(out)
+            rule = out >= self.first
+            if not rule.any():
+                return out[start - begin:stop - begin]
+            places = np.cumsum(1 + rule) - 1 - rule  # of each symbol's first part
+            parts = np.empty(len(out) + int(rule.sum()), np.uint32)
+            parts[places[~rule]] = out[~rule]
+            parts[places[rule]], parts[places[rule] + 1] = self.rules[out[rule] - self.first].T
+            ends = begin + np.cumsum(self.sizes(parts))
+            a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+            begin = int(ends[a - 1]) if a else begin
+            out = parts[a:b]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rule: int = 1 << 16,
@@ -190,9 +172,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
         T.StructField("lengths", T.BinaryType()), T.StructField("symbols", T.BinaryType())])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encoder, end = _ENCODERS[tokenizer], np.array([end_id], "<u4").tobytes()
+        encoder, end = file_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         keys, held, size = [], [], 0
         types = [pa.int32(), pa.int64(), None, pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 3]
@@ -201,7 +181,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
             ids = np.frombuffer(b"".join(held), "<u4")
             rules, symbols = compress(ids, first_rule)
             counts = [len(x) // 4 for x in held]
-            lengths = Shard(rules, first_rule, symbols).rule_lengths.astype("<u4")
+            lengths = rule_lengths(rules, first_rule).astype("<u4")
             row = [part, start, list(keys), counts, first_rule, rules.astype("<u4").tobytes(),
                    lengths.tobytes(), symbols.astype("<u4").tobytes()]
             return pa.RecordBatch.from_arrays(
@@ -211,7 +191,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
         key_arrow = None
         for batch in slices(batches, 4 << 20):
             key_arrow = batch.schema.field(0).type
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encoder.ids(text)
                 keys.append(key)
                 held.append(ids.tobytes() + end)
                 size += len(ids) + 1
@@ -227,39 +208,78 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
     dealt.select("id", "text").mapInArrow(shards, schema).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """From the files: <id_col>, start (ids of all documents before it), n_tokens, ids (binary)."""
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``start`` counted from the first id of all."""
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum(F.expr(
         "aggregate(counts, 0L, (a, x) -> a + x)")).alias("total"))
     # one row per range partition
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    shards = files.join(F.broadcast(before), "part").select(
+    return files.join(F.broadcast(before), "part").select(
         (F.col("before") + F.col("start")).alias("start"), "keys", "counts", "first_rule", "rules",
-        "symbols")
-    key_type = files.schema["keys"].dataType.elementType
+        "lengths", "symbols")
+
+
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, Shard]]:
+    """(start, keys, counts, shard) of rows of ``_shards``, one at a time."""
+    for batch in slices(batches, 1):
+        start, keys, counts, first, rules, lengths, symbols = (c[0].as_py() for c in batch.columns[:7])
+        yield start, keys, np.array(counts, np.int64), Shard(
+            np.frombuffer(rules, "<u4").reshape(-1, 2), np.frombuffer(lengths, "<u4"), first,
+            np.frombuffer(symbols, "<u4"))
+
+
+def read(spark: SparkSession, path: str, id_col: str = "doc_id", only: list | None = None) -> DataFrame:
+    """From the files: <id_col>, start (ids of all documents before it), n_tokens, ids (binary).
+
+    ``only``: decode the documents of these ids alone, each from the symbols that cover it.
+    """
+    shards = _shards(spark, path)
+    key_type = shards.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField(id_col, key_type), T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType())])
+    if only is not None:
+        asked = F.array(*[F.lit(k).cast(key_type) for k in only])
+        shards = shards.filter(F.arrays_overlap("keys", asked))
+    wanted = None if only is None else set(only)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            start, keys, counts, first, rules, symbols = (c[0].as_py() for c in batch.columns)
-            shard = Shard(np.frombuffer(rules, "<u4").reshape(-1, 2), first,
-                          np.frombuffer(symbols, "<u4"))
-            ends = np.cumsum(np.array(counts, np.int64))
+        for start, keys, counts, shard in _shard_rows(batches):
+            ends = np.cumsum(counts)
             begins = ends - counts
-            flat = shard.range(0, int(ends[-1])).astype("<u4").tobytes()
-            ids = [flat[4 * a:4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+            if wanted is None:
+                flat = shard.range(0, int(ends[-1])).astype("<u4").tobytes()
+                ids = [flat[4 * a:4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+            else:
+                some = np.array([k in wanted for k in keys])
+                keys, counts = [k for k in keys if k in wanted], counts[some]
+                begins, ends = begins[some], ends[some]
+                ids = [shard.range(a, b).astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field("keys").type.value_type),
-                 pa.array(start + begins, pa.int64()), pa.array(counts, pa.int64()),
-                 pa.array(ids, pa.binary())], names=schema.names)
+                [pa.array(keys, key_arrow), pa.array(start + begins, pa.int64()),
+                 pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
+    key_arrow = to_arrow_type(key_type)
     return shards.mapInArrow(decode, schema)
 
 
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids): ids[start:stop] of all documents' ids, a row a shard that holds some of them."""
+    size = F.expr("aggregate(counts, 0L, (a, x) -> a + x)")
+    shards = _shards(spark, path).filter((F.col("start") < stop) & (F.col("start") + size > start))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, _, counts, shard in _shard_rows(batches):
+            a, b = max(0, start - first), min(int(counts.sum()), stop - first)
+            ids = shard.range(a, b).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([first + a], pa.int64()), pa.array([ids], pa.binary())],
+                                             names=["start", "ids"])
+
+    return shards.mapInArrow(decode, "start long, ids binary")
+
+
 def new_path(spark: SparkSession) -> str:
     """A new folder in shared storage."""
     cut(spark.range(0))  # sets a folder for local sessions without one

@@ -17,7 +17,6 @@ PATH = P.path("byte_bpe_50k.json")
 def check(rows, texts, max_len):
     """Pieces and places are right; returns the number of sequences."""
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = []
     for key, text in texts:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -47,8 +46,9 @@ def test_best_fit_takes_the_tightest_bin():
 
 
 def test_odd_rows_long_texts_and_ties(spark):
-    rows = pack_documents(docs_frame(spark, ODD_ROWS), PATH, max_len=64).collect()
-    n, least = check(rows, ODD_ROWS, 64)
+    odd = [*ODD_ROWS, (20, "x <|endoftext|> y<|endoftext|>"), (21, "tab\there  and \x1c \u0130 \u2028 \u05d0")]
+    rows = pack_documents(docs_frame(spark, odd), PATH, max_len=64).collect()
+    n, least = check(rows, odd, 64)
     assert n <= least + 1
     assert pack_documents(docs_frame(spark, ODD_ROWS).limit(0), PATH).count() == 0
 
