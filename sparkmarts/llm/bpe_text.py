@@ -5,7 +5,8 @@ of the joined bytes, as long as a token's two parts come before it: within a spa
 merges up to a rank act as on the span alone, so the pair that meets there is the token's own. Tokens that
 BPE never makes of their own bytes are left out, which changes nothing for the same reason. So texts of
 characters whose class has been the same in all versions of Unicode go to a rank encoder; any other text,
-and any that holds a special token's literal, goes whole to the library that the file is for.
+and any that holds a special token's literal, goes whole to the library that the file is for. Of a slice
+of texts each different part between spaces is encoded once.
 
 The pre-tokeniser pattern never matches across a space that follows a non-space character: a match
 takes at most one leading space, and runs of white space hold nothing else. A text may therefore be
@@ -23,6 +24,8 @@ import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from sparkmarts.llm.common import Memo
 
@@ -74,7 +77,8 @@ def byte_letters() -> list[str]:
 
 
 # --- fixed values: how the two kinds of files cut a text into the pieces that BPE sees ---
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# --- (the first as its library has it, but that \x01 is a piece of its own and ends a text)
+BYTE_LEVEL = r"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?![^\s\x01])|\s+"
 BYTE_LEVEL_STEPS = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
                            "use_regex": True})
 WORD_STEPS = (
@@ -90,7 +94,8 @@ WORD_STEPS = (
 #: its own NFC form.
 STABLE = "\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a\u20ac\u0410-\u044f\u4e00-\u9fa5\uac00-\ud7a3"
 OTHER = re.compile(f"[^{STABLE}]")
-END = b"\x00"  # stands for the end of a word; texts with it are not of STABLE
+END = b"\x00"  # stands for the end of a word; texts with it are not of STABLE, nor with these:
+PART, BEFORE = "\x01", "\x02"  # the end of a part; the place before a space
 
 
 def _class(kind: str) -> str:
@@ -171,16 +176,48 @@ class FileEncoder:
                 special_tokens={})
         if self.words:
             letter, number = _class("L"), _class("N")
-            self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\\s{letter}{number}]+")
+            self.split = re.compile(
+                f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|\x01|[^\\s{letter}{number}\x01]+")
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.ranked is None or OTHER.search(text) or self.literals.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _plain(self, text: str) -> bool:
+        """Whether the text may be cut before its spaces and encoded by ranks."""
+        return not (OTHER.search(text) or self.literals.search(text)
+                    or not self.words and UNSAFE.search(text))
+
+    def _ranks(self, text: str) -> np.ndarray:
         if self.words:
             found = self.split.findall(text.lower())
             text = "\0".join(found) + "\0" if found else ""
-        return self.id_of[np.array(self.ranked.encode_ordinary(text), np.int64)]
+        return np.array(self.ranked.encode_ordinary(text), np.int64)
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        own = texts.to_pylist()
+        plain = np.array([self.ranked is not None and self._plain(t) for t in own], bool)
+        out = iter(self._by_parts(texts.filter(pa.array(plain))) if plain.any() else ())
+        return [next(out) if by_parts
+                else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                for text, by_parts in zip(own, plain)]
+
+    def _by_parts(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        if self.words:  # white space ends words and is dropped
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:  # a space belongs to the part after it
+            split = pc.split_pattern(pc.replace_substring(texts, " ", BEFORE + " "), BEFORE)
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        ranks = self._ranks(PART.join([*parts, ""]))
+        mark = 256 + 1 if self.words else 1  # the rank of PART
+        ends = np.flatnonzero(ranks == mark)
+        starts = np.r_[0, ends[:-1] + 1]
+        codes = coded.indices.to_numpy()
+        sizes = (ends - starts)[codes]
+        upto = np.cumsum(sizes)
+        source = np.repeat(starts[codes] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        flat = self.id_of[ranks[source]]
+        cuts = np.r_[0, upto][split.offsets.to_numpy()].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, FileEncoder] = {}

@@ -39,8 +39,8 @@ def pieces(docs: DataFrame, tokenizer: str, max_len: int, end_id: int, id_col: s
         encoder, end = file_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 8 << 20):
             out: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.ids(text).tobytes() + end
+            for key, own in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
+                ids = own.tobytes() + end
                 n = len(ids) // 4
                 at, stop, k = 0, (n - 1) % max_len + 1, 0
                 while at < n:

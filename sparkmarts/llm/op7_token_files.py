@@ -40,73 +40,73 @@ from sparkmarts.session import checkpoint_dir
 BUCKETS = 20  # bits of the hash table that counts pairs
 
 
-def occurrences(at: np.ndarray) -> np.ndarray:
-    """Which of the places do not overlap the place before them in their run."""
-    heads = np.r_[True, np.diff(at) != 1]
-    begin = np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))
-    return (np.arange(len(at)) - begin) % 2 == 0
-
-
-def compress(ids: np.ndarray, first_rule: int, per_round: int = 8192, min_count: int = 16
-             ) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_rule: int, min_count: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rules[k] is the pair that symbol first_rule + k stands for.
 
-    Pairs are first counted by a hash, of whose buckets the fullest ones go on; there they are counted
-    exactly. ``per_round`` bounds the buckets of a round, not what is replaced in the end.
+    A round looks at places where a frequent pair may be: all of them at first, then those that the round
+    before left and those next to its new symbols (any other pair can only have become rarer). Pairs are
+    first counted by a hash; those in buckets of enough places are counted exactly.
     """
-    seq, rules = ids.astype(np.uint32), []
-    made = 0
-    while len(seq) >= 2 * min_count:
-        bucket = seq[:-1] * np.uint32(0x9E3779B1)
+    seq, rules, made = ids.astype(np.uint32), [], 0
+    may = np.ones(len(seq), bool)
+    while True:
+        at = np.flatnonzero(may[:-1])
+        if len(at) < min_count:
+            break
+        left, right = seq[at], seq[at + 1]
+        bucket = left * np.uint32(0x9E3779B1)
         bucket ^= bucket >> np.uint32(15)
-        bucket += seq[1:]
+        bucket += right
         bucket *= np.uint32(0x85EBCA77)
         bucket >>= np.uint32(32 - BUCKETS)
-        counts = np.bincount(bucket, minlength=1 << BUCKETS)
-        often = counts >= min_count
-        all_often = often
-        if often.sum() > per_round:
-            often = counts >= np.partition(counts, -per_round)[-per_round]
-        found = None
-        for some in (often, all_often):
-            at = np.flatnonzero(some[bucket])
-            if len(at):
-                found = frequent(seq, at, min_count)
-            if found is not None or some is all_often:
-                break
-        if found is None:
+        often = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKETS) >= min_count)[bucket])
+        pair = left[often].astype(np.uint64) << np.uint64(32) | right[often]
+        at, which, used, waiting = frequent(at[often], pair, min_count)
+        if not len(used):
             break
-        at, which, used = found
         rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1)
                      .astype(np.uint32))
-        seq[at] = first_rule + made + which
+        new = first_rule + made
         made += len(used)
-        left = np.ones(len(seq), bool)
-        left[at + 1] = False
-        seq = seq[left]
+        seq[at] = new + which
+        may = np.zeros(len(seq), bool)
+        may[waiting] = True
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, may = seq[stay], may[stay]
+        fresh = seq >= new
+        may |= fresh
+        may[:-1] |= fresh[1:]
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
-def frequent(seq: np.ndarray, at: np.ndarray, min_count: int
-             ) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(places, number of the pair at each, pairs) to replace at once, none overlapping; None if no
-    pair has ``min_count`` of them."""
-    pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    pairs, which, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    apart = occurrences(at)
-    good = np.bincount(which[apart], minlength=len(pairs)) >= min_count
-    if good.any():
-        keep = apart & good[which]
-        return at[keep], (np.cumsum(good) - 1)[which[keep]], pairs[good]
-    # pairs that overlap others: alone, the most frequent one that has enough places
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] < min_count:
-            return None
-        own = at[which == k]
-        own = own[occurrences(own)]
-        if len(own) >= min_count:
-            return own, np.zeros(len(own), np.int64), pairs[k:k + 1]
-    return None
+def frequent(at: np.ndarray, pair: np.ndarray, min_count: int
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of the pair at each, pairs) to replace at once, none overlapping, and other places
+    of frequent pairs. No pairs are returned if none has ``min_count`` places.
+
+    Where places of two pairs overlap, the more frequent pair keeps its place; so the most frequent one
+    keeps all, and every round replaces something.
+    """
+    pairs, which = np.unique(pair, return_inverse=True)
+    # a pair of equal symbols overlaps itself in a run: every other place counts
+    again = np.r_[False, (np.diff(at) == 1) & (which[1:] == which[:-1])]
+    begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+    even = (np.arange(len(at)) - begin) % 2 == 0
+    counts = np.bincount(which[even], minlength=len(pairs))
+    often = counts[which] >= min_count
+    places = at[often]
+    at, which = at[often & even], which[often & even]
+    rank = np.empty(len(pairs), np.int64)
+    rank[np.lexsort((np.arange(len(pairs)), counts))] = np.arange(len(pairs))
+    own, touch = rank[which], np.diff(at) == 1
+    keep = np.ones(len(at), bool)
+    keep[1:] &= ~touch | (own[1:] > own[:-1])
+    keep[:-1] &= ~touch | (own[:-1] > own[1:])
+    at, which = at[keep], which[keep]
+    good = np.bincount(which, minlength=len(pairs)) >= min_count
+    keep = good[which]
+    return at[keep], (np.cumsum(good) - 1)[which[keep]], pairs[good], places
 
 
 def rule_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -189,10 +189,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
                 names=schema.names)
 
         key_arrow = None
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 8 << 20):
             key_arrow = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.ids(text)
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 keys.append(key)
                 held.append(ids.tobytes() + end)
                 size += len(ids) + 1

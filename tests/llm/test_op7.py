@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from sparkmarts.llm.bpe_text import FileEncoder, file_ranks
@@ -32,7 +33,7 @@ def test_grammar_round_trip_and_ranges():
     draw = np.random.default_rng(3)
     phrases = [draw.integers(0, 500, draw.integers(3, 30)) for _ in range(40)]
     ids = np.concatenate([phrases[k] for k in draw.integers(0, 40, 3000)]).astype(np.uint32)
-    for options in ({}, {"per_round": 8}):
+    for options in ({}, {"min_count": 4}):
         rules, shard = shard_of(ids, **options)
         assert len(shard.symbols) + 2 * len(rules) < len(ids) / 4
         assert (shard.range(0, len(ids)) == ids).all()
@@ -78,7 +79,8 @@ def test_grammar_of_degenerate_sequences():
 TEXTS = ("It's DON'T  a\n\nb.\nC, d'll ÉCOLE İI Σας ß é é x1y2 !!,. ", "a\x1cb\x85c d",
          "<|endoftext|> <|startoftext|>x", "漢字 😀 don't. we'RE", "\n", " ", "", "\n\n. ,a",
          "naïve. NAÏVE, É. x.. x.", "e\u0301. \u0301 .", "x <|endoftext|> y <|start", "a\0b \0", "ªº µ²½ 3⁄4 —“q” …",
-         "Привет, мир 12", "한국어 漢字文", "soft\u00adhyphen\u00a0no-break \u200bzero", "'s's 'll 'LL d'D")
+         "Привет, мир 12", "한국어 漢字文", "soft\u00adhyphen\u00a0no-break \u200bzero",
+         "ends in spaces  ", "\n \n", "a \n b", "tab\t \tx", "word\n\n", " lead", "\x01 a\x02 b", "'s's 'll 'LL d'D")
 
 
 def test_encoders_equal_the_library():
@@ -88,8 +90,10 @@ def test_encoders_equal_the_library():
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         tokenizer, own = Tokenizer.from_file(P.path(name)), FileEncoder(P.path(name))
         assert own.ranked is not None
-        for text in (*TEXTS, *drawn):
-            assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        for some in ([*TEXTS, *drawn], *([text] for text in TEXTS)):
+            want = [tokenizer.encode(text, add_special_tokens=False).ids for text in some]
+            assert [ids.tolist() for ids in own.ids(pa.array(some))] == want, some
+        assert own.ids(pa.array([], pa.string())) == []
 
 
 def test_merges_out_of_order_go_to_the_library():
