@@ -1,18 +1,16 @@
-"""Byte-level BPE of whole texts: by ranks, or word by word with a memo.
+"""Byte-level BPE of whole texts, each different part of a slice of texts once.
+
+The pre-tokeniser pattern never matches across a space that follows a non-space character: a match
+takes at most one leading space, and runs of white space hold nothing else. A text may therefore be
+cut before each such space and the parts encoded apart (``encode_parts``). Texts in which white space
+precedes a space are encoded whole.
 
 ``FileEncoder`` gives the ids that a tokenizers file gives. BPE by a list of merges equals BPE by the rank
 of the joined bytes, as long as a token's two parts come before it: within a span that no merge crosses,
 merges up to a rank act as on the span alone, so the pair that meets there is the token's own. Tokens that
 BPE never makes of their own bytes are left out, which changes nothing for the same reason. So texts of
 characters whose class has been the same in all versions of Unicode go to a rank encoder; any other text,
-and any that holds a special token's literal, goes whole to the library that the file is for. Of a slice
-of texts each different part between spaces is encoded once.
-
-The pre-tokeniser pattern never matches across a space that follows a non-space character: a match
-takes at most one leading space, and runs of white space hold nothing else. A text may therefore be
-cut before each such space and the parts encoded apart. Parts repeat, so most of them are looked up.
-Texts in which white space precedes a space (where that cut is not safe) are encoded part by part
-of the pattern, or whole.
+and any that holds a special token's literal, goes whole to the library that the file is for.
 """
 
 from __future__ import annotations
@@ -22,45 +20,37 @@ import os
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sparkmarts.llm.common import Memo
-
 UNSAFE = re.compile(r"[\s\x85] ")
-#: Single characters that form a match of their own after letters.
-STOPS = frozenset(".,;:!?")
-
-
-def plain_word(word: str) -> bool:
-    """Letters only, below the scripts in which Unicode versions differ."""
-    return word.isalpha() and max(word) < "\u0250"
+PART, BEFORE = "\x01", "\x02"  # the end of a part; the place before a space
 
 
-class TextEncoder:
-    """Encodes texts with ``encode(piece) -> bytes`` (little-endian unsigned 32-bit ids).
+def encode_parts(texts: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
+                 spaces: bool = True) -> list[np.ndarray]:
+    """The ids of each text by its parts; the texts hold neither UNSAFE places nor PART nor BEFORE.
 
-    ``whole`` encodes a text that can't be cut at its spaces (default: ``encode``).
+    ``encode``: of a list of different parts, the ids of all of them and the place of each one's end.
+    Without ``spaces`` white space only ends parts and is no part of the one after it.
     """
-
-    def __init__(self, encode, whole=None, limit: int = 300_000):
-        self.encode, self.whole = encode, whole or encode
-        self.first = Memo(lambda part: self._part("", part), limit)
-        self.spaced = Memo(lambda part: self._part(" ", part), limit)
-
-    def _part(self, space: str, part: str) -> bytes:
-        if part and part[-1] in STOPS and plain_word(part[:-1]):
-            memo = self.spaced if space else self.first
-            return memo[part[:-1]] + self.first[part[-1]] if part[:-1] else self.encode(space + part)
-        return self.encode(space + part) if space or part else b""
-
-    def ids(self, text: str) -> bytes:
-        if UNSAFE.search(text):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
+    texts = texts.cast(pa.large_string())
+    if spaces:
+        split = pc.split_pattern(pc.replace_substring(texts, " ", BEFORE + " "), BEFORE)
+    else:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    coded = split.flatten().dictionary_encode()
+    flat, ends = encode(coded.dictionary.to_pylist())
+    starts, codes = np.r_[0, ends[:-1]], coded.indices.to_numpy()
+    sizes = (ends - starts)[codes]
+    upto = np.cumsum(sizes)
+    source = np.repeat(starts[codes] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+    out = flat[source]
+    cuts = np.r_[0, upto][split.offsets.to_numpy()].tolist()
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def byte_letters() -> list[str]:
@@ -94,8 +84,7 @@ WORD_STEPS = (
 #: its own NFC form.
 STABLE = "\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u203a\u20ac\u0410-\u044f\u4e00-\u9fa5\uac00-\ud7a3"
 OTHER = re.compile(f"[^{STABLE}]")
-END = b"\x00"  # stands for the end of a word; texts with it are not of STABLE, nor with these:
-PART, BEFORE = "\x01", "\x02"  # the end of a part; the place before a space
+END = b"\x00"  # stands for the end of a word; texts with it are not of STABLE
 
 
 def _class(kind: str) -> str:
@@ -184,40 +173,25 @@ class FileEncoder:
         return not (OTHER.search(text) or self.literals.search(text)
                     or not self.words and UNSAFE.search(text))
 
-    def _ranks(self, text: str) -> np.ndarray:
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = PART.join([*parts, ""])
         if self.words:
             found = self.split.findall(text.lower())
             text = "\0".join(found) + "\0" if found else ""
-        return np.array(self.ranked.encode_ordinary(text), np.int64)
+        ranks = np.array(self.ranked.encode_ordinary(text), np.int64)
+        marks = ranks == (256 + 1 if self.words else 1)  # the rank of PART
+        ends = np.flatnonzero(marks)
+        return self.id_of[ranks[~marks]], ends - np.arange(len(ends))
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         own = texts.to_pylist()
         plain = np.array([self.ranked is not None and self._plain(t) for t in own], bool)
-        out = iter(self._by_parts(texts.filter(pa.array(plain))) if plain.any() else ())
-        return [next(out) if by_parts
+        by_parts = iter(encode_parts(texts.filter(pa.array(plain)), self._parts, not self.words)
+                        if plain.any() else ())
+        return [next(by_parts) if safe
                 else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                for text, by_parts in zip(own, plain)]
-
-    def _by_parts(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = texts.cast(pa.large_string())
-        if self.words:  # white space ends words and is dropped
-            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        else:  # a space belongs to the part after it
-            split = pc.split_pattern(pc.replace_substring(texts, " ", BEFORE + " "), BEFORE)
-        coded = split.flatten().dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        ranks = self._ranks(PART.join([*parts, ""]))
-        mark = 256 + 1 if self.words else 1  # the rank of PART
-        ends = np.flatnonzero(ranks == mark)
-        starts = np.r_[0, ends[:-1] + 1]
-        codes = coded.indices.to_numpy()
-        sizes = (ends - starts)[codes]
-        upto = np.cumsum(sizes)
-        source = np.repeat(starts[codes] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
-        flat = self.id_of[ranks[source]]
-        cuts = np.r_[0, upto][split.offsets.to_numpy()].tolist()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+                for text, safe in zip(own, plain)]
 
 
 _ENCODERS: dict[str, FileEncoder] = {}

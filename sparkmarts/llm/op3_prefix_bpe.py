@@ -4,7 +4,9 @@ Method: for every byte prefix of a word, exactly one vocabulary token can end th
 encoding. ``PrefixTable`` stores that last token per prefix; following it backwards gives the ids.
 A token may follow a prefix if the prefix's last token and it form a stable pair: BPE of their bytes
 makes no merge across their border. The table makes appends exact (old entries stay) and lets an
-edit re-encode only from the edit until entries agree with the old ones again.
+edit re-encode only from the edit until entries agree with the old ones again. Each different word of
+a slice of texts is encoded once, in sorted order: one table serves all, of which the prefix shared with
+the word before stays and the rest is appended.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; other columns are not read;
 each row is encoded alone, so ties, repeated rows and an empty table need no rule.
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkmarts.llm.bpe_text import TextEncoder
+from sparkmarts.llm.bpe_text import BEFORE, PART, UNSAFE, encode_parts
 from sparkmarts.llm.common import Memo, slices, text_rows
 
 NEVER = 1 << 62
@@ -34,11 +36,14 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.longest = [0] * 256  # longest token that ends with a byte
+        # longest token by its last three bytes (fewer: the token itself)
+        self.longest: dict[bytes, int] = {}
         for token in ranks:
-            self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
+            end = token[-3:]
+            self.longest[end] = max(self.longest.get(end, 0), len(token))
+        self.reach = max(self.longest.values(), default=0)
         self.spines = Memo(self._spine, 100_000)
-        self.stable = Memo(self._stable, 1_000_000)
+        self.stable = Memo(self._stable, 500_000)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -74,14 +79,17 @@ class Vocabulary:
                 return None
             token = halves[side]
 
-    def _stable(self, pair: tuple[bytes, bytes]) -> bool:
-        """Whether BPE of both tokens' bytes leaves the two apart.
+    def _stable(self, pair: int) -> bool:
+        """Whether BPE of both tokens' bytes leaves the two apart; the pair is left rank << 32 | right.
 
         Ranks grow along a derivation, so merges happen in order of rank, equal ranks from the left.
         A merge across the border needs its two parts to exist at its rank: the left one must not
         have been used at the same rank already, as that merge comes first.
         """
-        left, right = self.spines[pair[0], -1], self.spines[pair[1], 0]
+        left = self.spines[self.bytes_of[pair >> 32], -1]
+        right = self.spines[self.bytes_of[pair & 0xFFFFFFFF], 0]
+        if left is None or right is None:
+            return False
         for x, x_until in left:
             for y, y_until in right:
                 rank = self.ranks.get(x + y)
@@ -91,19 +99,22 @@ class Vocabulary:
 
 
 class PrefixTable:
-    """The last token of each byte prefix's encoding; data[:i + 1] ends with token last[i]."""
+    """The last token (by rank) of each byte prefix's encoding; data[:i + 1] ends with token last[i]."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _token(self, end: int) -> bytes:
+    def _token(self, end: int) -> int:
         v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest[data[end - 1]]), end):
-            token = data[start:end]
-            if token in v.ranks and v.spines[token, 0] is not None and (
-                    not start or v.stable[last[start - 1], token]):
-                return token
+        rank_of, stable = v.ranks.get, v.stable
+        # tokens that end here: up to the longest with these last bytes, or of one or two bytes
+        reach = v.longest.get(data[end - 3:end], 2) if end > 2 else 2
+        for start in range(end - reach if reach < end else 0, end):
+            rank = rank_of(data[start:end])
+            if rank is not None and (stable[last[start - 1] << 32 | rank] if start else
+                                     v.spines[data[:end], 0] is not None):
+                return rank
         raise ValueError("a byte is missing in the vocabulary")
 
     def append(self, more: bytes) -> None:
@@ -112,13 +123,18 @@ class PrefixTable:
         for end in range(at + 1, len(self.data) + 1):
             self.last.append(self._token(end))
 
+    def cut(self, size: int) -> None:
+        """Keeps the first ``size`` bytes."""
+        self.data = self.data[:size]
+        del self.last[size:]
+
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts ``new`` in place of data[start:stop]; returns how many entries were computed."""
         tail, old = self.data[stop:], self.last[stop:]
         self.data, self.last = self.data[:start], self.last[:start]
         self.append(new)
         self.data += tail
-        same, need = 0, max(self.vocabulary.longest)
+        same, need = 0, self.vocabulary.reach
         for k in range(len(tail)):
             if same >= need:  # every later entry depends on agreeing entries and equal bytes only
                 self.last += old[k:]
@@ -126,15 +142,15 @@ class PrefixTable:
             token = self._token(len(self.last) + 1)
             self.last.append(token)
             # an entry that reaches back to or before the edit is not known to agree
-            same = same + 1 if token == old[k] and k >= len(token) else 0
+            same = same + 1 if token == old[k] and k >= len(self.vocabulary.bytes_of[token]) else 0
         return len(new) + len(tail)
 
     def ids(self) -> list[int]:
         out, end = [], len(self.last)
         while end:
-            token = self.last[end - 1]
-            out.append(self.vocabulary.ranks[token])
-            end -= len(token)
+            rank = self.last[end - 1]
+            out.append(rank)
+            end -= len(self.vocabulary.bytes_of[rank])
         return out[::-1]
 
 
@@ -144,21 +160,45 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pattern = regex.compile(pattern)
-        self.pieces = Memo(self._piece, 200_000)
-        self.texts = TextEncoder(self._text)
-
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        return np.array(ids, "<u4").tobytes()
 
-    def _text(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+    def _pieces(self, pieces: set[str]) -> dict[str, list[int]]:
+        """The ids of each piece, by one table that goes from piece to piece in order of bytes."""
+        out, ranks = {}, self.vocabulary.ranks
+        table, before = PrefixTable(self.vocabulary), b""
+        for data, piece in sorted((p.encode(), p) for p in pieces):
+            whole = ranks.get(data)
+            if whole is not None:
+                out[piece] = [whole]
+                continue
+            same, most = 0, min(len(before), len(data))
+            while same < most and before[same] == data[same]:
+                same += 1
+            table.cut(same)
+            table.append(data[same:])
+            out[piece], before = table.ids(), data
+        return out
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.pattern.findall(p) for p in parts]
+        ids_of = self._pieces({piece for some in found for piece in some})
+        flat: list[int] = []
+        ends = np.zeros(len(parts), np.int64)
+        for i, some in enumerate(found):
+            for piece in some:
+                flat += ids_of[piece]
+            ends[i] = len(flat)
+        return np.array(flat, "<u4"), ends
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        own = texts.to_pylist()
+        safe = np.array([not (UNSAFE.search(t) or PART in t or BEFORE in t) for t in own], bool)
+        by_parts = iter(encode_parts(texts.filter(pa.array(safe)), self._parts) if safe.any() else ())
+        return [(next(by_parts) if cut else self._parts([text])[0]).tobytes() for text, cut in zip(own, safe)]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.texts.ids(text)
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -184,7 +224,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in slices(batches, 8 << 20):
-            ids = [own.encode(t) for t in batch.column(1).to_pylist()]
+            ids = own.encode_all(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())],
                                              names=schema.names)
 
