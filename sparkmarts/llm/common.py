@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -48,6 +50,18 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Rec
             yield batch.slice(at, step)
 
 
+@contextlib.contextmanager
+def no_collection() -> Iterator[None]:
+    """No search for cycles meanwhile: for code that makes many small objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Memo(dict):
     """A dict that computes missing values; beyond ``limit`` entries it keeps only recent ones.
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from os.path import commonprefix
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sparkmarts.llm.bpe_text import BEFORE, PART, UNSAFE, encode_parts
-from sparkmarts.llm.common import Memo, slices, text_rows
+from sparkmarts.llm.common import Memo, no_collection, slices, text_rows
 
 NEVER = 1 << 62
 
@@ -157,44 +159,49 @@ class PrefixTable:
 class Codec:
     """Encodes and decodes texts: each match of ``pattern`` on its own, no special tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, pattern: str, kept: int = 300_000):
+        self.vocabulary, self.kept = vocabulary, kept
         self.pattern = regex.compile(pattern)
+        self.known: dict[str, bytes] = {}  # ids of parts of the slices before
 
-    def _pieces(self, pieces: set[str]) -> dict[str, list[int]]:
+    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of each piece, by one table that goes from piece to piece in order of bytes."""
         out, ranks = {}, self.vocabulary.ranks
         table, before = PrefixTable(self.vocabulary), b""
         for data, piece in sorted((p.encode(), p) for p in pieces):
             whole = ranks.get(data)
             if whole is not None:
-                out[piece] = [whole]
+                out[piece] = whole.to_bytes(4, "little")
                 continue
-            same, most = 0, min(len(before), len(data))
-            while same < most and before[same] == data[same]:
-                same += 1
+            same = len(commonprefix((before, data)))
             table.cut(same)
             table.append(data[same:])
-            out[piece], before = table.ids(), data
+            ids = table.ids()
+            out[piece], before = pack(f"<{len(ids)}I", *ids), data
         return out
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.pattern.findall(p) for p in parts]
+        known = self.known
+        new = [p for p in parts if p not in known]
+        found = list(map(self.pattern.findall, new))
         ids_of = self._pieces({piece for some in found for piece in some})
-        flat: list[int] = []
-        ends = np.zeros(len(parts), np.int64)
-        for i, some in enumerate(found):
-            for piece in some:
-                flat += ids_of[piece]
-            ends[i] = len(flat)
-        return np.array(flat, "<u4"), ends
+        if len(known) + len(new) > self.kept:
+            # those of this slice stay
+            known = self.known = {p: known[p] for p in parts if p in known}
+        for part, some in zip(new, found):
+            known[part] = ids_of[some[0]] if len(some) == 1 else b"".join([ids_of[x] for x in some])
+        ids = [known[p] for p in parts]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        return np.frombuffer(b"".join(ids), "<u4"), ends
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         own = texts.to_pylist()
         safe = np.array([not (UNSAFE.search(t) or PART in t or BEFORE in t) for t in own], bool)
-        by_parts = iter(encode_parts(texts.filter(pa.array(safe)), self._parts) if safe.any() else ())
-        return [(next(by_parts) if cut else self._parts([text])[0]).tobytes() for text, cut in zip(own, safe)]
+        with no_collection():
+            by_parts = iter(encode_parts(texts.filter(pa.array(safe)), self._parts) if safe.any() else ())
+            return [(next(by_parts) if cut else self._parts([text])[0]).tobytes()
+                    for text, cut in zip(own, safe)]
 
     def encode(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit integers."""
@@ -232,24 +239,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-                     ids_col: str = "ids") -> DataFrame:
-    """<id_col>, n_tokens, ids_sha256, decoded (binary) and decoded_sha256 of each row's ids."""
+                     ids_col: str = "ids", texts: bool = True) -> DataFrame:
+    """<id_col>, n_tokens, ids_sha256, decoded_sha256 and decoded (binary) of each row's ids.
+
+    Without ``texts`` the decoded bytes stay in their task.
+    """
     rows = encoded.select(id_col, ids_col)
     schema = T.StructType([
         T.StructField(id_col, rows.schema[id_col].dataType),
         T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
-        T.StructField("decoded", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())])
+        T.StructField("decoded_sha256", T.StringType()),
+        *([T.StructField("decoded", T.BinaryType())] if texts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in slices(batches, 8 << 20):
             ids = [x or b"" for x in batch.column(1).to_pylist()]
-            texts = [own.decode(x) for x in ids]
+            decoded = [own.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array(texts, pa.binary()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                *([pa.array(decoded, pa.binary())] if texts else []),
             ], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ from sparkmarts.llm.bpe_text import file_encoder
 from sparkmarts.llm.common import cut, parts, slices, text_rows
 from sparkmarts.session import checkpoint_dir
 
-BUCKETS = 20  # bits of the hash table that counts pairs
+BUCKETS = 20  # most bits of the hash table that counts pairs
 
 
 def compress(ids: np.ndarray, first_rule: int, min_count: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +53,14 @@ def compress(ids: np.ndarray, first_rule: int, min_count: int = 16) -> tuple[np.
         at = np.flatnonzero(may[:-1])
         if len(at) < min_count:
             break
-        left, right = seq[at], seq[at + 1]
+        left, right = (seq[:-1], seq[1:]) if len(at) == len(seq) - 1 else (seq[at], seq[at + 1])
+        bits = min(BUCKETS, len(at).bit_length() + 1)
         bucket = left * np.uint32(0x9E3779B1)
         bucket ^= bucket >> np.uint32(15)
         bucket += right
         bucket *= np.uint32(0x85EBCA77)
-        bucket >>= np.uint32(32 - BUCKETS)
-        often = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKETS) >= min_count)[bucket])
+        bucket >>= np.uint32(32 - bits)
+        often = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= min_count)[bucket])
         pair = left[often].astype(np.uint64) << np.uint64(32) | right[often]
         at, which, used, waiting = frequent(at[often], pair, min_count)
         if not len(used):
@@ -133,6 +134,23 @@ class Shard:
         sizes[rule] = self.lengths[symbols[rule] - self.first]
         return sizes
 
+    def whole(self) -> np.ndarray:
+        """All ids: the rules are expanded once, each from its two parts."""
+        flat: list[np.ndarray] = []
+        for a, b in self.rules.tolist():
+            flat.append(np.concatenate([flat[x - self.first] if x >= self.first else np.array([x], np.uint32)
+                                        for x in (a, b)]))
+        table = np.concatenate([*flat, np.zeros(0, np.uint32)])
+        rule = self.symbols >= self.first
+        sizes = self.sizes(self.symbols)
+        starts = np.zeros(len(self.symbols), np.int64)
+        starts[rule] = (np.cumsum(self.lengths) - self.lengths)[self.symbols[rule] - self.first]
+        out = np.repeat(self.symbols, sizes)
+        inside = np.repeat(rule, sizes)
+        within = np.arange(len(out)) - np.repeat(self.ends - sizes, sizes)
+        out[inside] = table[(np.repeat(starts, sizes) + within)[inside]]
+        return out
+
     def range(self, start: int, stop: int) -> np.ndarray:
         """ids[start:stop], from the symbols that cover them alone.
 
@@ -229,16 +247,19 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list,
             np.frombuffer(symbols, "<u4"))
 
 
-def read(spark: SparkSession, path: str, id_col: str = "doc_id", only: list | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, id_col: str = "doc_id", only: list | None = None,
+         checksums: bool = False) -> DataFrame:
     """From the files: <id_col>, start (ids of all documents before it), n_tokens, ids (binary).
 
     ``only``: decode the documents of these ids alone, each from the symbols that cover it.
+    ``checksums``: ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit) in place of ids.
     """
     shards = _shards(spark, path)
     key_type = shards.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField(id_col, key_type), T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+                           T.StructField("ids_crc32", T.LongType()) if checksums
+                           else T.StructField("ids", T.BinaryType())])
     if only is not None:
         asked = F.array(*[F.lit(k).cast(key_type) for k in only])
         shards = shards.filter(F.arrays_overlap("keys", asked))
@@ -249,7 +270,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", only: list | No
             ends = np.cumsum(counts)
             begins = ends - counts
             if wanted is None:
-                flat = shard.range(0, int(ends[-1])).astype("<u4").tobytes()
+                flat = shard.whole().astype("<u4").tobytes()
                 ids = [flat[4 * a:4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
             else:
                 some = np.array([k in wanted for k in keys])
@@ -258,7 +279,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", only: list | No
                 ids = [shard.range(a, b).astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, key_arrow), pa.array(start + begins, pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+                 pa.array(counts, pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64())
+                 if checksums else pa.array(ids, pa.binary())], names=schema.names)
 
     key_arrow = to_arrow_type(key_type)
     return shards.mapInArrow(decode, schema)
@@ -283,17 +305,3 @@ def new_path(spark: SparkSession) -> str:
     """A new folder in shared storage."""
     cut(spark.range(0))  # sets a folder for local sessions without one
     return f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-
-
-def checksums(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """<id_col>, start, n_tokens, ids_crc32 of ``read``'s result."""
-    schema = T.StructType([*decoded.select(id_col, "start", "n_tokens").schema.fields,
-                           T.StructField("ids_crc32", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(x) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())],
-                                             names=schema.names)
-
-    return decoded.select(id_col, "start", "n_tokens", "ids").mapInArrow(run, schema)

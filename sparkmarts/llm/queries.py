@@ -38,7 +38,7 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(documents(spark, sf_dir), path, pattern)
-    return decode_documents(encoded, path, pattern).drop("decoded")
+    return decode_documents(encoded, path, pattern, texts=False)
 
 
 def op4_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkmarts.llm.op7_token_files import checksums, new_path, read, write
+    from sparkmarts.llm.op7_token_files import new_path, read, write
 
     path = new_path(spark)
     write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    return checksums(read(spark, path))
+    return read(spark, path, checksums=True)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

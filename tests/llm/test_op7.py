@@ -6,8 +6,8 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from sparkmarts.llm.bpe_text import FileEncoder, file_ranks
-from sparkmarts.llm.op7_token_files import (Shard, checksums, compress, new_path, read, read_range,
-                                            rule_lengths, write)
+from sparkmarts.llm.op7_token_files import (Shard, compress, new_path, read, read_range, rule_lengths,
+                                            write)
 from sparkmarts.llm.queries import op7_token_files
 from tests.llm.helpers import ODD_ROWS, docs_frame
 
@@ -36,7 +36,7 @@ def test_grammar_round_trip_and_ranges():
     for options in ({}, {"min_count": 4}):
         rules, shard = shard_of(ids, **options)
         assert len(shard.symbols) + 2 * len(rules) < len(ids) / 4
-        assert (shard.range(0, len(ids)) == ids).all()
+        assert (shard.range(0, len(ids)) == ids).all() and (shard.whole() == ids).all()
         for a in draw.integers(0, len(ids), 200).tolist():
             b = min(len(ids), a + int(draw.integers(0, 50)))
             assert (shard.range(a, b) == ids[a:b]).all()
@@ -50,7 +50,7 @@ def test_compression_goes_on_until_no_pair_is_frequent():
     assert len(shard.symbols) < 250 * 32  # a copy is a few symbols
     for ids in (np.tile(one, 40), np.repeat(one[:50], 300), draw.integers(0, 30, 20_000).astype(np.uint32)):
         rules, shard = shard_of(ids)
-        assert (shard.range(0, len(ids)) == ids).all()
+        assert (shard.range(0, len(ids)) == ids).all() and (shard.whole() == ids).all()
         pairs = {}
         at = 0
         while at + 1 < len(shard.symbols):  # occurrences that don't overlap
@@ -73,7 +73,7 @@ def test_a_document_is_decoded_without_its_shard():
 def test_grammar_of_degenerate_sequences():
     for ids in (np.zeros(0, np.uint32), np.ones(1, np.uint32), np.full(1001, 7, np.uint32)):
         _, shard = shard_of(ids)
-        assert (shard.range(0, len(ids)) == ids).all()
+        assert (shard.range(0, len(ids)) == ids).all() and (shard.whole() == ids).all()
 
 
 TEXTS = ("It's DON'T  a\n\nb.\nC, d'll ÉCOLE İI Σας ß é é x1y2 !!,. ", "a\x1cb\x85c d",
@@ -108,7 +108,7 @@ def test_merges_out_of_order_go_to_the_library():
 def test_odd_rows(spark):
     path = new_path(spark)
     write(docs_frame(spark, ODD_ROWS).repartition(3), path, PATH, shard_ids=50)
-    got = {tuple(r) for r in checksums(read(spark, path)).collect()}
+    got = {tuple(r) for r in read(spark, path, checksums=True).collect()}
     ordered = sorted(ODD_ROWS, key=lambda r: -1 if r[0] is None else r[0])
     assert got == brute(ordered)
     rows = {r.doc_id: r for r in read(spark, path).collect()}
