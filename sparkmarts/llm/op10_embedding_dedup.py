@@ -10,8 +10,8 @@ meets first (in the first table they share, in their own blocks), so no pair lea
 counts per class and forests, whose components follow.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows
-without label or id link with nothing; vectors of different lengths too; repeated rows link as other
-vectors do; an empty table gives no rows; other columns are not read.
+without label link with nothing; vectors of different lengths too; rows that are repeated or have no id
+link as other vectors do (a component without any id has a null component_id); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,10 +77,11 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.
     own = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
                       F.col(label_col).alias("label"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & ~bad
+    sound = F.coalesce(F.col("label").isNotNull() & ~bad
                        & F.exists("vec", lambda x: x != 0), F.lit(False))
     classes = cut(own.filter(sound).groupBy("label", "vec").agg(
-        F.min("id").alias("rep"), F.count("*").alias("weight")))
+        F.min("id").alias("least"), F.count("*").alias("weight"))
+        .withColumn("rep", F.monotonically_increasing_id()))
     hashes, tables = sizes(classes.count(), threshold, recall, width, chance_rows)
     hashing = Hashing(hashes, tables, width, seed)
     schema = T.StructType([*classes.withColumn("dim", F.size("vec")).schema.fields,
@@ -114,9 +115,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.
         compare, "a long, b long, n long"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("b is not null")).withColumnRenamed("id", "rep")
-    of = classes.join(counts, "rep", "left").join(roots, "rep", "left").select(
-        "label", "vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"))
+    rooted = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = rooted.join(counts, "rep", "left").join(least, "root").select(
+        "label", "vec", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     linked = own.filter(sound).join(of, ["label", "vec"]).select("id", "n_links", "component_id")
     alone = own.filter(~sound).select("id", F.lit(0).cast("long").alias("n_links"),
                                       F.col("id").alias("component_id"))

@@ -162,13 +162,46 @@ def links(classes: DataFrame, radius: int = 3, small_bucket: int = 64, block_row
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42,
                     id_col: str = "doc_id", text_col: str = "text", small_bucket: int = 64,
                     block_rows: int = 2048) -> DataFrame:
-    """<id_col>, fingerprint (hex), component_id of each row; ids are longs."""
+    """<id_col>, fingerprint (hex), component_id, group_id of each row; ids are longs.
+
+    ``group_id`` names the component also where its rows have no id.
+    """
     own = cut(fingerprints(docs, shingle, seed, id_col, text_col))
-    reps = own.groupBy("fp").agg(F.min("id").alias("rep"))
-    named = cut(reps.filter("rep is not null"))
-    found = components(links(named, radius, small_bucket, block_rows))
-    of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"))
+    classes = cut(own.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.col("fp")))
+    found = components(links(classes, radius, small_bucket, block_rows))
+    rooted = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "fp", "least", F.coalesce("root", "rep").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = rooted.select("fp", "root").join(least, "root")
     return own.join(of, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id")
+        "component_id", F.col("root").alias("group_id"))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: that of smallest id (rows without id last).
+
+    Rows that share an id, or have none, are told apart by their fingerprint; of rows equal in both one
+    stays.
+    """
+    groups = cut(near_duplicates(docs, shingle, radius, seed, id_col, text_col))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                     F.col("fingerprint").alias("fingerprint"))
+    first = cut(groups.groupBy("group_id").agg(F.min(order).alias("first")).select("first.*"))
+    again = cut(groups.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
+                .select(F.col(id_col).alias("id")))
+    sure = first.join(again, "id", "left_anti").filter(~F.col("none")).select("id")
+    # columns by place, so that none can clash with those of the groups
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (own.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = own.join(sure, own[key] == sure["id"], "left_semi")
+    # rows in doubt get a number, so that their fingerprints find them again
+    doubt = cut(own.join(again, own[key].eqNullSafe(again["id"]), "left_semi")
+                .withColumn("number", F.monotonically_increasing_id()))
+    marked = fingerprints(doubt, shingle, seed, "number", text).select(
+        F.col("id").alias("number"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("print"))
+    found = doubt.join(marked, "number")
+    found = found.join(first, found[key].eqNullSafe(first["id"]) & (found["print"] == first["fingerprint"]),
+                       "left_semi").dropDuplicates([key, "print"]).select(*own.columns)
+    return kept.unionByName(found).toDF(*docs.columns)

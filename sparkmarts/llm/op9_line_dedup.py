@@ -230,23 +230,25 @@ def near_links(docs: DataFrame, max_edits: int, min_chars: int, id_col: str,
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """``docs`` without the removed lines, and n_lines, n_removed (longs) at the end."""
+                text_col: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` without the removed lines, and with ``counts`` n_lines, n_removed (longs) at the end."""
     lines = line_rows(docs, id_col, text_col)
     classes = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("place")))
     links = near_links(docs, max_edits, min_chars, id_col, text_col)
     near = links.select("h1", "h2").distinct()
     kept = classes.join(near, ["h1", "h2"], "left_anti").groupBy(
-        F.col("place.id").alias("_kept_id")).agg(F.collect_list("place.line_no").alias("_kept"))
+        F.col("place.id").alias("kept_id")).agg(F.collect_list("place.line_no").alias("kept"))
     names = docs.columns
     at = names.index(text_col)
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left").drop("_kept_id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()),
+    # columns by place: theirs and the new ones may have any names
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    joined = own.join(kept, own[f"c{names.index(id_col)}"].eqNullSafe(kept["kept_id"]), "left").drop("kept_id")
+    schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()),
                            T.StructField("n_removed", T.LongType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 16 << 20):
-            texts, counts, removed = [], [], []
+            texts, lines_of, removed = [], [], []
             for text, keep in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 keep, out, n, gone = set(keep or ()), [], 0, 0
                 for number, line in enumerate(text.split("\n") if text is not None else ()):
@@ -257,15 +259,18 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col
                     else:
                         out.append(line)
                 texts.append(None if text is None else "\n".join(out) if n > gone or not n else "")
-                counts.append(n)
+                lines_of.append(n)
                 removed.append(gone)
             columns = list(batch.columns[:len(names)])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
+                [*columns, pa.array(lines_of, pa.int64()), pa.array(removed, pa.int64())],
                 names=schema.names)
 
-    return joined.mapInArrow(rebuild, schema)
+    rebuilt = joined.mapInArrow(rebuild, schema)
+    if not counts:
+        return rebuilt.select(*own.columns).toDF(*names)
+    return rebuilt.toDF(*names, "n_lines", "n_removed")
 
 
 def digest(kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def op5_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkmarts.llm.op6_simhash import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir), shingle=3, radius=3)
+    return near_duplicates(documents(spark, sf_dir), shingle=3, radius=3).drop("group_id")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_top_k_query(spark):
 
 def brute(rows, threshold=0.93):
     n = len(rows)
-    ok = [i is not None and v is not None and len(v) > 0 and lab is not None and all(
+    ok = [v is not None and len(v) > 0 and lab is not None and all(
         x is not None and np.isfinite(x) for x in v) and any(v) for i, v, lab in rows]
     root, links = list(range(n)), [0] * n
     find = lambda a: a if root[a] == a else find(root[a])
@@ -97,6 +97,9 @@ def test_near_duplicates_of_odd_rows_and_split_buckets(spark):
     got = near_duplicates(frame(spark, ODD)).collect()
     assert sorted(map(tuple, got), key=str) == brute(ODD)
     assert near_duplicates(frame(spark, ODD).limit(0)).count() == 0
+    chain = [(1, [1.0, 0.0], 1), (None, [1.0, 0.36], 1), (2, [1.0, 0.8], 1), (None, [0.0, 1.0], 2)]
+    got = sorted(map(tuple, near_duplicates(frame(spark, chain)).collect()), key=str)
+    assert got == brute(chain) and {r[2] for r in got} == {1, None}
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(6, 16))
     rows = [(int(i), [float(x) for x in centres[0 if i % 3 else i % 6] + draw.normal(size=16) * 0.12], int(i % 2))
