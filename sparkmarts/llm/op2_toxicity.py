@@ -174,7 +174,8 @@ class Model:
         """(text, feature, count) of all features of the texts, in order; each different part of the
         texts is taken apart once."""
         if self.memo is None:
-            self.memo = Memo(lambda part: tuple(self.number[f] for f in features_of(part) if f in self.number))
+            self.memo = Memo(lambda part: tuple(self.number[f] for f in features_of(part) if f in self.number),
+                             100_000)
         low = pa.array([(t or "").lower() for t in texts.to_pylist()], pa.large_string())
         split = pc.utf8_split_whitespace(low)
         coded = split.flatten().dictionary_encode()
