@@ -60,9 +60,11 @@ def compress(ids: np.ndarray, first_rule: int, min_count: int = 16) -> tuple[np.
         bucket += right
         bucket *= np.uint32(0x85EBCA77)
         bucket >>= np.uint32(32 - bits)
-        often = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= min_count)[bucket])
+        full = np.bincount(bucket, minlength=1 << bits) >= min_count
+        often = np.flatnonzero(full[bucket])
         pair = left[often].astype(np.uint64) << np.uint64(32) | right[often]
-        at, which, used, waiting = frequent(at[often], pair, min_count)
+        numbered = numbers(pair, (np.cumsum(full) - 1)[bucket[often]], int(full.sum()))
+        at, which, used, waiting = frequent(at[often], *numbered, min_count)
         if not len(used):
             break
         rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1)
@@ -81,7 +83,19 @@ def compress(ids: np.ndarray, first_rule: int, min_count: int = 16) -> tuple[np.
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
-def frequent(at: np.ndarray, pair: np.ndarray, min_count: int
+def numbers(pair: np.ndarray, slot: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, number of each place's pair): a slot's number is one of its pairs, others get new ones."""
+    pairs, which = np.zeros(slots, np.uint64), slot.copy()
+    pairs[slot] = pair
+    other = np.flatnonzero(pairs[slot] != pair)
+    if len(other):
+        more, which[other] = np.unique(pair[other], return_inverse=True)
+        which[other] += slots
+        pairs = np.concatenate([pairs, more])
+    return pairs, which
+
+
+def frequent(at: np.ndarray, pairs: np.ndarray, which: np.ndarray, min_count: int
              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(places, number of the pair at each, pairs) to replace at once, none overlapping, and other places
     of frequent pairs. No pairs are returned if none has ``min_count`` places.
@@ -89,7 +103,6 @@ def frequent(at: np.ndarray, pair: np.ndarray, min_count: int
     Where places of two pairs overlap, the more frequent pair keeps its place; so the most frequent one
     keeps all, and every round replaces something.
     """
-    pairs, which = np.unique(pair, return_inverse=True)
     # a pair of equal symbols overlaps itself in a run: every other place counts
     again = np.r_[False, (np.diff(at) == 1) & (which[1:] == which[:-1])]
     begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
@@ -207,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, first_rul
                 names=schema.names)
 
         key_arrow = None
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 16 << 20):
             key_arrow = batch.schema.field(0).type
             for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 keys.append(key)
