@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmarts.llm.common import Memo, cut, slices, text_rows
+from sparkmarts.llm.common import cut, slices, text_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -154,7 +154,7 @@ class Index:
 class Model:
     """All that scoring needs; its size is bounded by the numbers of examples and features."""
 
-    number: dict[str, int]
+    names: pa.Array  # of the features; a feature's number is its place
     worth: np.ndarray  # of each feature: inverse document frequency times phi
     index: Index | None
     ids: list
@@ -164,31 +164,42 @@ class Model:
     k: int
     slope: float = 1.0
     shift: float = 0.0
-    memo: Memo | None = field(default=None, repr=False)
+    kinds: list | None = field(default=None, repr=False)  # (letters, names, numbers); 0: whole words
     shared: Broadcast | None = field(default=None, repr=False)  # of this model, without the curve
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": None, "shared": None}
+        return {**self.__dict__, "kinds": None, "shared": None}
+
+    @property
+    def number(self) -> dict[str, int]:
+        return {f: i for i, f in enumerate(self.names.to_pylist())}
+
+    def _kinds(self) -> list[tuple[int, pa.Array, np.ndarray]]:
+        whole = pc.ends_with(self.names, " ")
+        letters = pc.if_else(whole, 0, pc.utf8_length(self.names)).to_numpy()
+        numbers = [(n, np.flatnonzero(letters == n)) for n in (0, *BEGINNINGS)]
+        return [(n, self.names.take(pa.array(own)), own) for n, own in numbers]
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, feature, count) of all features of the texts, in order; each different part of the
-        texts is taken apart once."""
-        if self.memo is None:
-            self.memo = Memo(lambda part: tuple(self.number[f] for f in features_of(part) if f in self.number),
-                             100_000)
-        low = pa.array([(t or "").lower() for t in texts.to_pylist()], pa.large_string())
-        split = pc.utf8_split_whitespace(low)
-        coded = split.flatten().dictionary_encode()
-        found = [self.memo[part] for part in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
-        codes = coded.indices.to_numpy()
-        text = np.repeat(np.arange(len(low)), np.diff(split.offsets.to_numpy()))
-        first = (np.cumsum(sizes) - sizes)[codes]
-        each = sizes[codes]
-        keys = np.repeat(text, each) * max(len(self.number), 1) + flat[ranges(first, first + each)]
-        keys, counts = np.unique(keys, return_counts=True)
-        return *np.divmod(keys, max(len(self.number), 1)), counts
+        """(text, feature, count) of all features of the texts, in order; each different word of the
+        texts is looked up once."""
+        if self.kinds is None:
+            self.kinds = self._kinds()
+        found = [LETTERS.findall((t or "").lower()) for t in texts.to_pylist()]
+        text = np.repeat(np.arange(len(found)), np.fromiter(map(len, found), np.int64, len(found)))
+        coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+        del found
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        size, every = pc.utf8_length(words).to_numpy(), max(len(self.names), 1)
+        keys = []
+        for n, names, numbers in self.kinds:
+            own = pc.utf8_slice_codeunits(words, 0, n) if n else pc.binary_join_element_wise(words, " ", "")
+            place = pc.fill_null(pc.index_in(own, names), -1).to_numpy()
+            place = np.where((place >= 0) & (size > n), place, -1)[codes]
+            known = np.flatnonzero(place >= 0)
+            keys.append(text[known] * every + numbers[place[known]])
+        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+        return *np.divmod(keys, every), counts
 
     def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """(features, weights), of length one, of each text."""
@@ -257,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1200, k: int = 2
     clean, toxic = held.get(0, 0), held.get(1, 0)
     share = total.get(1, 0) / max(sum(total.values()), 1)
     if not clean or not toxic:
-        return Model({}, np.zeros(0), None, [], np.zeros(0, int), (1.0, 1.0), share, k)
+        return Model(pa.array([], pa.string()), np.zeros(0), None, [], np.zeros(0, int), (1.0, 1.0), share, k)
 
     def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -279,10 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1200, k: int = 2
     counted = sample.mapInArrow(count_features, "feature string, clean long, toxic long").groupBy(
         "feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     counted = counted.sort_by("feature")  # bounded by max_examples
-    model = Model({f: i for i, f in enumerate(counted.column("feature").to_pylist())},
-                  np.ones(counted.num_rows), None, [], np.zeros(0, int),
-                  (total[0] / clean, total[1] / toxic), share, k)
-    if not model.number:
+    model = Model(pa.array(counted.column("feature").to_pylist(), pa.string()), np.ones(counted.num_rows), None, [],
+                  np.zeros(0, int), (total[0] / clean, total[1] / toxic), share, k)
+    if not len(model.names):
         return model
     a, b = (counted.column(c).to_numpy().astype(float) for c in ("toxic", "clean"))
     phi = np.abs(a * clean - b * toxic) / np.sqrt((a + b) * np.maximum(toxic + clean - a - b, 1) * toxic * clean)
@@ -304,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1200, k: int = 2
     examples = stored.toArrow().to_pylist()  # bounded by max_examples
     shared.destroy()
     pairs = [(np.frombuffer(r["found"], np.int32), np.frombuffer(r["weights"])) for r in examples]
-    spread = np.bincount(np.concatenate([f for f, _ in pairs]), minlength=len(model.number))
+    spread = np.bincount(np.concatenate([f for f, _ in pairs]), minlength=len(model.names))
 
     def alike(i: int) -> tuple:
         """Similar examples in a block: by most common feature (the language), class, strongest feature."""
@@ -315,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1200, k: int = 2
 
     order = sorted(range(len(pairs)), key=alike)
     examples, pairs = [examples[i] for i in order], [pairs[i] for i in order]
-    model.index = Index.build(pairs, len(model.number))
+    model.index = Index.build(pairs, len(model.names))
     model.ids, model.toxic = [r["id"] for r in examples], np.array([r["toxic"] for r in examples])
     numbers = [r["row"] for r in examples]
     del examples, pairs
@@ -329,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1200, k: int = 2
 
 def inverse_frequencies(rows: DataFrame, model: Model) -> np.ndarray:
     """From all documents."""
-    shared, size = rows.sparkSession.sparkContext.broadcast(model), len(model.number)
+    shared, size = rows.sparkSession.sparkContext.broadcast(model), len(model.names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size + 1, np.int64)

@@ -1,6 +1,11 @@
+import pickle
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+import sparkmarts.llm.op2_toxicity as op2
 from sparkmarts.llm.op2_toxicity import Index, fit, held_out, score
 from sparkmarts.llm.queries import op2_toxicity
 from tests.llm.helpers import ODD_ROWS, docs_frame
@@ -70,3 +75,21 @@ def test_no_feature_of_the_examples_is_dropped(spark):
     got = {r.doc_id: r for r in score(docs_frame(spark, rows), model).collect()}
     assert all(r.evidence for r in got.values())
     assert all(got[i].evidence[0].toxic == int(i % 10 == 0) for i in got)
+
+
+def test_features_are_looked_up_by_different_words(monkeypatch):
+    texts = ["Plain words, plain WORDS; foo-foo_bar4baz", "", "İstanbul ẞ ½Ⅷx étude wordy\x1cwords",
+             "abcd abcde abcdef abcdefg \U00010400\U00010401\U00010402\U00010403\U00010404 unknownword", None]
+    counts = [Counter(f for part in (t or "").lower().split() for f in op2.features_of(part)) for t in texts]
+    names = sorted({f for c in counts for f in c if "unk" not in f}, key=str.encode)
+    model = op2.Model(pa.array(names, pa.string()), np.ones(len(names)), None, [], np.zeros(0, int),
+                      (1.0, 1.0), 0.1, 25)
+    monkeypatch.setattr(op2, "features_of", None)  # no text is taken apart feature by feature
+    for own in (model, pickle.loads(pickle.dumps(model))):
+        got = [{}, {}, {}, {}, {}]
+        for text, feature, count in zip(*(x.tolist() for x in own.features(pa.array(texts)))):
+            got[text][names[feature]] = count
+        assert got == [{f: n for f, n in c.items() if f in names} for c in counts]
+    none = op2.Model(pa.array([], pa.string()), np.zeros(0), None, [], np.zeros(0, int), (1.0, 1.0), 0.1, 25)
+    assert all(len(x) == 0 for x in none.features(pa.array(texts)))
+    assert all(len(x) == 0 for x in model.features(pa.array([], pa.string())))
