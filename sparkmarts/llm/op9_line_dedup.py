@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkmarts.llm.common import cut, parts, slices
 from sparkmarts.llm.graph import in_blocks
@@ -33,6 +32,7 @@ BLANK = " \t\r\x0b\x0c"
 SEED = 42  # of Spark's xxhash64
 FEW_LINES = 500_000  # candidate lines that are broadcast at most (16 bytes each)
 INDEX, PROBE = 1, 2
+BLANK_LINE, KEPT, REMOVED = 0, 1, 2
 
 
 def segments(length: int, count: int) -> list[tuple[int, int]]:
@@ -237,40 +237,30 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col
     links = near_links(docs, max_edits, min_chars, id_col, text_col)
     near = links.select("h1", "h2").distinct()
     kept = classes.join(near, ["h1", "h2"], "left_anti").groupBy(
-        F.col("place.id").alias("kept_id")).agg(F.collect_list("place.line_no").alias("kept"))
+        F.col("place.id").alias("kept_id")).agg(F.sort_array(F.collect_set("place.line_no")).alias("kept"))
+    # a byte a line up to the last one kept: 1 for those kept, so that a line's is found by its number
+    marks = F.transform("kept", lambda number, i: F.concat(
+        F.repeat(F.lit("0"), number - F.coalesce(F.get("kept", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    kept = kept.select("kept_id", F.array_join(marks, "").cast("binary").alias("marks"))
     names = docs.columns
-    at = names.index(text_col)
     # columns by place: theirs and the new ones may have any names
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    joined = own.join(kept, own[f"c{names.index(id_col)}"].eqNullSafe(kept["kept_id"]), "left").drop("kept_id")
-    schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()),
-                           T.StructField("n_removed", T.LongType())])
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16 << 20):
-            texts, lines_of, removed = [], [], []
-            for text, keep in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                keep, out, n, gone = set(keep or ()), [], 0, 0
-                for number, line in enumerate(text.split("\n") if text is not None else ()):
-                    full = line.strip(BLANK) != ""
-                    n += full
-                    if full and number not in keep:
-                        gone += 1
-                    else:
-                        out.append(line)
-                texts.append(None if text is None else "\n".join(out) if n > gone or not n else "")
-                lines_of.append(n)
-                removed.append(gone)
-            columns = list(batch.columns[:len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lines_of, pa.int64()), pa.array(removed, pa.int64())],
-                names=schema.names)
-
-    rebuilt = joined.mapInArrow(rebuild, schema)
+    joined = own.join(kept, own[f"c{names.index(id_col)}"].eqNullSafe(kept["kept_id"]), "left")
+    text = f"c{names.index(text_col)}"
+    lines_of = joined.withColumn("lines", F.split(text, "\n", -1))
+    states = lines_of.withColumn("states", F.transform("lines", lambda line, i: F.when(
+        F.btrim(line, F.lit(BLANK)) == "", BLANK_LINE).when(
+        F.substring("marks", i + 1, F.lit(1)) == F.lit(b"1"), KEPT).otherwise(REMOVED)))
+    counted = states.select(
+        *own.columns, "lines", "states",
+        F.coalesce(F.size(F.filter("states", lambda s: s != BLANK_LINE)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.filter("states", lambda s: s == REMOVED)), F.lit(0)).cast("long").alias("n_removed"))
+    rest = F.array_join(F.filter("lines", lambda _, i: F.get("states", i) != REMOVED), "\n")
+    left = F.when((F.col("n_lines") > F.col("n_removed")) | (F.col("n_lines") == 0), rest).otherwise("")
+    rebuilt = counted.withColumn(text, F.when(F.col(text).isNotNull(), left))
     if not counts:
         return rebuilt.select(*own.columns).toDF(*names)
-    return rebuilt.toDF(*names, "n_lines", "n_removed")
+    return rebuilt.select(*own.columns, "n_lines", "n_removed").toDF(*names, "n_lines", "n_removed")
 
 
 def digest(kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
