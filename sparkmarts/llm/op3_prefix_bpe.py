@@ -30,6 +30,8 @@ from sparkmarts.llm.bpe_text import BEFORE, PART, UNSAFE, encode_parts
 from sparkmarts.llm.common import Memo, no_collection, slices, text_rows
 
 NEVER = 1 << 62
+# bytes of texts and of ids; a task that encodes and decodes has two Python workers, each of which does both in turn
+ENCODED_AT_ONCE, DECODED_AT_ONCE = 4 << 20, 1 << 20
 
 
 class Vocabulary:
@@ -45,7 +47,7 @@ class Vocabulary:
             self.longest[end] = max(self.longest.get(end, 0), len(token))
         self.reach = max(self.longest.values(), default=0)
         self.spines = Memo(self._spine, 100_000)
-        self.stable = Memo(self._stable, 500_000)
+        self.stable = Memo(self._stable, 250_000)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -230,7 +232,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, ENCODED_AT_ONCE):
             ids = own.encode_all(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())],
                                              names=schema.names)
@@ -253,7 +255,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, DECODED_AT_ONCE):
             ids = [x or b"" for x in batch.column(1).to_pylist()]
             decoded = [own.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([

@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import types as T
 
+import sparkmarts.llm.op3_prefix_bpe as op3
 from sparkmarts.llm.op3_prefix_bpe import (Codec, PrefixTable, Vocabulary, decode_documents,
                                            encode_documents)
 from sparkmarts.llm.queries import op3_prefix_bpe
@@ -74,3 +77,37 @@ def test_query_equals_the_library(spark, tik):
         ids = np.array(tik.encode_ordinary(texts[r.doc_id]), "<u4").tobytes()
         assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_batches_are_taken_in_small_slices(monkeypatch, vocabulary):
+    # both of a task's Python workers held the lists of 8 MB at a time
+    texts = [f"text {i} " * 60 for i in range(20_000)]
+    codec, taken = Codec(vocabulary, P.PATTERN), []
+
+    class Frame:
+        def __init__(self, schema):
+            self.schema = schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def encode_all(some):
+        taken.append(some.nbytes)
+        return [b"\0\0\0\0" * 500] * len(some)
+
+    monkeypatch.setattr(codec, "encode_all", encode_all)
+    monkeypatch.setattr(op3, "codec", lambda *_: codec)
+    rows = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    monkeypatch.setattr(op3, "text_rows", lambda *_: Frame(rows))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    out = [*op3.encode_documents(None, PATH, P.PATTERN)(iter([batch]))]
+    assert sum(b.num_rows for b in out) == len(texts) and sum(taken) >= 9 << 20
+    assert max(taken) <= 5 << 20
+    ids = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
+    whole = pa.Table.from_batches(out).combine_chunks().to_batches()
+    got = [*op3.decode_documents(Frame(ids), PATH, P.PATTERN, texts=False)(iter(whole))]
+    assert sum(b.num_rows for b in got) == len(texts)
+    assert max(b.num_rows for b in got) * 2000 <= 2 << 20
